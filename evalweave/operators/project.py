@@ -199,9 +199,10 @@ def _header_turn(m: Column) -> Column:
 
 def render_header(messages: Column, add_generation_prompt: bool = False, bos: str = "") -> Column:
     """Chat text with a header per message; `bos` goes in front once."""
-    turns = F.array_join(F.transform(messages, _header_turn), "\n")
-    opening = "\n<|start_header_id|>assistant<|end_header_id|>\n\n"
-    return F.concat(F.when(F.size(messages) > 0, F.lit(bos + "\n")).otherwise(F.lit("")), turns, _opening(messages, opening, add_generation_prompt))
+    turns = F.array_join(F.transform(messages, _header_turn), "")
+    start = F.when(F.size(messages) > 0, F.lit(bos)).otherwise(F.lit(""))
+    opening = "<|start_header_id|>assistant<|end_header_id|>\n\n"
+    return F.concat(start, turns, _opening(messages, opening, add_generation_prompt))
 
 
 def render_sections(messages: Column, add_generation_prompt: bool = False) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from evalweave.plans.registry import ORACLE, QUERIES
 
-_MODULES = ("extraction", "verification")
+_MODULES = ("extraction", "verification", "preparation")
 
 
 def _load() -> None:
