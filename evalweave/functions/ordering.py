@@ -59,25 +59,25 @@ def prefix_totals(
     the dense 0-based row position.
     """
     v = F.lit(1).cast("bigint") if value is None else value
-    rows = df.withColumn("_bucket", bucket_of(F.col(key), range_bounds(df, key, buckets)))
-    group = [*by, "_bucket"]
+    rows = df.withColumn("_pt_bucket", bucket_of(F.col(key), range_bounds(df, key, buckets)))
+    group = [*by, "_pt_bucket"]
     before = (Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*group).agg(F.sum(v).alias("_total"))
+    totals = rows.groupBy(*group).agg(F.sum(v).alias("_pt_total"))
     starts = totals.select(
         *[F.col(c).alias(f"_k_{c}") for c in group],
         F.coalesce(
-            F.sum("_total").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*before)), F.lit(0)
-        ).alias("_start"),
+            F.sum("_pt_total").over(Window.partitionBy(*by).orderBy("_pt_bucket").rowsBetween(*before)), F.lit(0)
+        ).alias("_pt_start"),
     )
     if not by:
         starts = F.broadcast(starts)  # one row per bucket, at most MAX_BUCKETS
     inside = F.sum(v).over(Window.partitionBy(*group).orderBy(key).rowsBetween(*before))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group])
     return (
-        rows.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+        rows.withColumn("_pt_inside", F.coalesce(inside, F.lit(0)))
         .join(starts, same, "left")
-        .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_bucket", "_start", "_inside", *[f"_k_{c}" for c in group])
+        .withColumn(out, F.col("_pt_start") + F.col("_pt_inside"))
+        .drop("_pt_bucket", "_pt_start", "_pt_inside", *[f"_k_{c}" for c in group])
     )
 
 
@@ -97,18 +97,18 @@ def cut_keys(
     """
     narrow = df.select(*by, key)
     b = bucket if bucket is not None else bucket_of(F.col(key), range_bounds(narrow, key, buckets))
-    rows = narrow.withColumn("_bucket", b)
-    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_bucket")
+    rows = narrow.withColumn("_pt_bucket", b)
+    counts = rows.groupBy(*by, "_pt_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*by).orderBy("_pt_bucket")
     placed = (
-        counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+        counts.withColumn("_pt_total", F.sum("_n").over(Window.partitionBy(*by)))
         .withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-        .withColumn("_want", F.least(want(F.col("_total"), [F.col(c) for c in by]), F.col("_total")))
+        .withColumn("_want", F.least(want(F.col("_pt_total"), [F.col(c) for c in by]), F.col("_pt_total")))
     )
     edge = placed.filter(
         (F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_n"))
-    ).select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_bucket"]], (F.col("_want") - F.col("_before")).alias("_nth"))
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_bucket"]])
+    ).select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_pt_bucket"]], (F.col("_want") - F.col("_before")).alias("_nth"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_pt_bucket"]])
     ranked = rows.join(edge, same).withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
     return ranked.filter(F.col("_rn") == F.col("_nth")).select(*by, F.col(key).alias("_cut"))
 

@@ -139,8 +139,7 @@ def with_shards(df: DataFrame, key: str, num_shards: int, out: str = "shard_inde
     if num_shards < 1:
         raise ValueError(f"the number of shards must be >= 1, got {num_shards}")
     total = df.agg(F.count(F.lit(1))).scalar()
-    pos = F.col("_pos")
-    shard = F.floor(((pos + 1) * num_shards - 1) / F.col("_total")) + 1
+    shard = F.expr(f"((_pos + 1) * {int(num_shards)} - 1) div _total + 1")
     return (
         prefix_totals(df, key, "_pos")
         .withColumn("_total", total)

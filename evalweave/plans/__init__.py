@@ -6,7 +6,7 @@ import importlib
 
 from evalweave.plans.registry import ORACLE, QUERIES
 
-_MODULES = ("extraction", "verification", "preparation")
+_MODULES = ("extraction", "verification", "preparation", "shaping")
 
 
 def _load() -> None:
