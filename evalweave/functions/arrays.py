@@ -39,3 +39,17 @@ def first_position(arr: Column, pred) -> Column:
 def join_ints(arr: Column) -> Column:
     """Items as one comma-separated text, for display and comparison."""
     return F.array_join(arr.cast("array<string>"), ",", "null")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once per row.
+
+    A column used inside a lambda is put into the lambda by the optimizer and
+    would run again for every item.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def put_where(arr: Column | str, hits: Column | str, value: int) -> Column:
+    """The array with `value` where the boolean array is true."""
+    return F.zip_with(arr, hits, lambda x, m: F.when(m, value).otherwise(x))

@@ -82,7 +82,8 @@ def chat_tokens(chats: DataFrame, key: str, vocab: DataFrame, mask_prompt_loss:
     out = encode_words(rows, key, "_words", vocab)
     if not mask_prompt_loss:
         return out.withColumn("labels", ids)
-    masked = F.transform(ids, lambda x, i: F.when(i < F.col("prompt_len"), IGNORE).otherwise(x))
+    n = F.least(F.col("prompt_len"), F.size(ids))
+    masked = F.concat(A.fill(IGNORE, n), A.tail_from(ids, n))
     return out.join(rows.select(key, "prompt_len"), key).withColumn("labels", masked)
 
 
@@ -252,7 +253,7 @@ def random_truncate(df: DataFrame, batch: str, ratio: float = 0.01, seed: int =
     rows = df if "attention_mask" in df.columns else df.withColumn("attention_mask", A.fill(1, F.size("input_ids")))
 
     def beyond(a: str, value: int) -> Column:
-        return F.transform(a, lambda x, i: F.when(i >= F.col("_cut"), value).otherwise(x))
+        return A.let(F.col("_cut"), lambda cut_at: F.transform(a, lambda x, i: F.when(i >= cut_at, value).otherwise(x)))
 
     changes = {"attention_mask": beyond("attention_mask", 0)}
     if "labels" in df.columns:

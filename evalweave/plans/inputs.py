@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.functions import arrays as A
 from evalweave.functions import text as T
 
 # Schemas are stated, so that opening a table starts no job to read file footers.
@@ -157,7 +158,7 @@ def token_rows(spark, sf):
         table(spark, sf, "documents")
         .select("doc_id", word_ids(T.words("text")).alias("input_ids"))
         .withColumn("prompt_len", F.floor(F.size(ids) / 3).cast("int"))
-        .withColumn("labels", F.transform(ids, lambda x, i: F.when(i < F.col("prompt_len"), -100).otherwise(x)))
+        .withColumn("labels", F.concat(A.fill(-100, F.col("prompt_len")), A.tail_from(ids, F.col("prompt_len"))))
     )
 
 
