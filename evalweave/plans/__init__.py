@@ -6,7 +6,7 @@ import importlib
 
 from evalweave.plans.registry import ORACLE, QUERIES
 
-_MODULES = ("extraction", "verification", "preparation", "shaping", "noising")
+_MODULES = ("extraction", "verification", "preparation", "shaping", "noising", "scoring")
 
 
 def _load() -> None:

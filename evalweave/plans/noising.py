@@ -143,12 +143,12 @@ _CART = f"""SELECT * FROM (SELECT doc_id, pos, u, 0.15 * ({_NEAR}) AS w FROM
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) z WHERE u = 0"""
 
 
-@query("weight_cart", D.ctes(**MASKED, c=_CART) + "SELECT doc_id, count(*) AS n, round(sum(w), 5) AS weight_sum, round(max(w), 6) AS weight_max, round(sum(w * pos) / sum(w), 3) AS centre FROM c GROUP BY doc_id")
+@query("weight_cart", D.ctes(**MASKED, c=_CART) + "SELECT doc_id, count(*) AS n, round(sum(w) + 1e-9, 5) AS weight_sum, round(max(w) + 1e-9, 6) AS weight_max, round(sum(w * pos) / nullif(sum(w), 0) + 1e-9, 3) AS centre FROM c GROUP BY doc_id")
 def weight_cart(spark, sf):
     w = N.cart_weights(masked(spark, sf).select("doc_id", "masked"), "doc_id")
     return w.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("cart_weight"), 5).alias("weight_sum"), r6(F.max("cart_weight")).alias("weight_max"),
-        F.round(F.sum(F.col("cart_weight") * F.col("pos")) / F.sum("cart_weight"), 3).alias("centre"),
+        F.count("*").alias("n"), F.round(F.sum("cart_weight") + 1e-9, 5).alias("weight_sum"), r6(F.max("cart_weight") + 1e-9).alias("weight_max"),
+        F.round(F.try_divide(F.sum(F.col("cart_weight") * F.col("pos")), F.sum("cart_weight")) + 1e-9, 3).alias("centre"),
     )
 
 
@@ -219,8 +219,8 @@ _EOS = 300
 
 @query(
     "completion_mask",
-    D.ctes(**TOK, e=f"SELECT *, coalesce(list_position(input_ids, {_EOS}), 0) AS at, len(input_ids) AS n FROM t")
-    + "SELECT doc_id, repeat('1', CASE WHEN at > 0 THEN at ELSE n END) || repeat('0', CASE WHEN at > 0 THEN n - at ELSE 0 END) AS mask, repeat('1', at) || repeat('0', n - at) AS strict_mask FROM e",
+    D.ctes(**TOK, e=f"SELECT *, coalesce(list_position(input_ids, {_EOS}), 0) AS eos_at, len(input_ids) AS n FROM t")
+    + "SELECT doc_id, repeat('1', CASE WHEN eos_at > 0 THEN eos_at ELSE n END) || repeat('0', CASE WHEN eos_at > 0 THEN n - eos_at ELSE 0 END) AS mask, repeat('1', eos_at) || repeat('0', n - eos_at) AS strict_mask FROM e",
 )
 def completion_mask(spark, sf):
     ids = F.col("input_ids")
@@ -489,10 +489,10 @@ def transfer_schedule(spark, sf):
 
 @query(
     "confidence_noise",
-    D.ctes(l=_SCORED) + f"SELECT seq, pos, arg_max(token, exp(logit) / power(-ln({D.uniform('42', 'seq', 'pos', 'token')}), 0.5)) AS token, arg_max(token, logit * 100 - token) AS greedy FROM l GROUP BY seq, pos",
+    D.ctes(l=_SCORED) + f"SELECT seq, pos, arg_max(token, exp(logit) / power(-ln({D.uniform('42', 'seq', 'pos', 'token')}), 0.5)) AS token, arg_max(token, logit * 1000000 - token) AS greedy FROM l GROUP BY seq, pos",
 )
 def confidence_noise(spark, sf):
     noisy = S.noisy_score(F.col("logit"), 0.5, F.col("seq"), F.col("pos"), F.col("token"))
     return scored(spark, sf).groupBy("seq", "pos").agg(
-        F.max_by("token", noisy).alias("token"), F.max_by("token", S.noisy_score(F.col("logit") * 100 - F.col("token"), 0)).alias("greedy")
+        F.max_by("token", noisy).alias("token"), F.max_by("token", S.noisy_score(F.col("logit") * 1000000 - F.col("token"), 0)).alias("greedy")
     )
