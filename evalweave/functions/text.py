@@ -13,6 +13,7 @@ WHITESPACE = (
 )
 # The same set as the body of a regex character class.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_BUT_SPACE = WS.replace(r"\x1c-\x20", r"\x1c-\x1f")
 
 
 def col(c: Column | str) -> Column:
@@ -68,7 +69,8 @@ def count_of(c: Column | str, needle: str) -> Column:
 
 
 def collapse_whitespace(c: Column | str) -> Column:
-    return strip(F.regexp_replace(col(c), f"[{WS}]+", " "))
+    """Every run of white space as one space; single spaces are not touched."""
+    return strip(F.regexp_replace(col(c), f"[{WS_BUT_SPACE}][{WS}]*| [{WS}]+", " "))
 
 
 def char_at(c: Column | str, pos: int) -> Column:

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays as A
@@ -176,47 +178,47 @@ def mask_noise_stratified(
 # ---- weights -----------------------------------------------------------------
 
 
-def cart_weights(df: DataFrame, key: str, p: float = 0.3, masked: str = "masked") -> DataFrame:
-    """Weight of each masked position, as rows `key`, `pos`, `cart_weight`.
+def with_cart_weights(df: DataFrame, masked: str = "masked", out: str = "cart_weight", p: float = 0.3) -> DataFrame:
+    """Add the weight of each masked position of a row (0 at unmasked ones).
 
-    Half the geometric weights p * (1-p)^(d-1) of all unmasked positions at
-    distance d. The sum over all pairs is not made: seen from the left, the sum
-    at a position is (1-p) times the sum before it plus the neighbour, which is
-    a running total of scaled terms. Scaling works in blocks short enough for
-    doubles, and the sum of the neighbour block carries over.
+    The weight is half the geometric weights p * (1-p)^(d-1) of all unmasked
+    positions at distance d. It is a running sum with decay from either side,
+    which no array function has, so it runs in Arrow batches inside the task:
+    rows stay whole and nothing is shuffled.
     """
-    ratio = 1.0 - p
-    if ratio <= 0:
-        raise ValueError("p must be below 1")
-    block = max(1, int(120 / -math.log10(ratio)))
-    q = F.lit(ratio)
-    long = df.select(key, F.posexplode(masked).alias("pos", "m")).withColumn("block", F.expr(f"pos div {block}"))
-    seen = F.when(F.col("m"), 0.0).otherwise(1.0)
-    at = F.col("pos") - F.col("block") * block
-    keep = Window.partitionBy(key, "block")
-    before = (Window.unboundedPreceding, -1)
-    left = F.sum(seen * F.pow(q, -(at + 1))).over(keep.orderBy("pos").rowsBetween(*before))
-    right = F.sum(seen * F.pow(q, at - (block - 1) - 1)).over(keep.orderBy(F.desc("pos")).rowsBetween(*before))
-    near = long.withColumn("_left", F.coalesce(left, F.lit(0.0)) * F.pow(q, at)).withColumn(
-        "_right", F.coalesce(right, F.lit(0.0)) * F.pow(q, (block - 1) - at)
-    )
-    sums = long.groupBy(key, "block").agg(
-        F.sum(seen * F.pow(q, (block - 1) - at)).alias("_ends"), F.sum(seen * F.pow(q, at)).alias("_begins")
-    )
-    from_left = sums.select(key, (F.col("block") + 1).alias("block"), "_ends")
-    from_right = sums.select(key, (F.col("block") - 1).alias("block"), "_begins")
-    total = (
-        F.col("_left")
-        + F.col("_right")
-        + F.coalesce("_ends", F.lit(0.0)) * F.pow(q, at)
-        + F.coalesce("_begins", F.lit(0.0)) * F.pow(q, (block - 1) - at)
-    )
-    return (
-        near.join(from_left, [key, "block"], "left")
-        .join(from_right, [key, "block"], "left")
-        .filter("m")
-        .select(key, "pos", (0.5 * p * total).alias("cart_weight"))
-    )
+    if not 0.0 < p < 1.0:
+        raise ValueError("p must be between 0 and 1")
+
+    @F.pandas_udf("array<double>")
+    def weigh(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda m: None if m is None else _cart_row(np.asarray(m, dtype=bool), p))
+
+    return df.withColumn(out, weigh(F.col(masked)))
+
+
+def _cart_row(masked: np.ndarray, p: float) -> np.ndarray:
+    seen = (~masked).astype(float)
+    near = _decayed(seen, 1.0 - p) + _decayed(seen[::-1], 1.0 - p)[::-1]
+    return np.where(masked, 0.5 * p * near, 0.0)
+
+
+def _decayed(x: np.ndarray, q: float) -> np.ndarray:
+    """For each i the sum over j < i of x[j] * q^(i-j-1).
+
+    Terms are scaled by powers of q inside blocks short enough for doubles; what
+    a block hands on decays to nothing within the next one.
+    """
+    block = max(1, int(120 / -math.log10(q)))
+    n = -(-len(x) // block)
+    grid = np.zeros(n * block)
+    grid[: len(x)] = x
+    grid = grid.reshape(n, block)
+    at = np.arange(block)
+    scaled = np.cumsum(grid * q ** -(at + 1.0), axis=1)
+    before = np.hstack([np.zeros((n, 1)), scaled[:, :-1]]) * q**at
+    ends = grid @ q ** (block - 1.0 - at)
+    carried = np.concatenate([[0.0], ends[:-1]]) if n else ends
+    return (before + carried[:, None] * q**at).reshape(-1)[: len(x)]
 
 
 def loss_weight(kind: str, t: Column, schedule: str = LINEAR) -> Column:
@@ -270,15 +272,13 @@ def nll_ppl(rows: DataFrame, value: str = "nll_sum", weight: str = "n_maskable",
 def mc_loglik(draws: DataFrame, key: str, total_length: str | None = None) -> DataFrame:
     """Minus the mean over draws of the masked NLL over the mask probability.
 
-    `total_length` divides by prompt and target length (the `union` form).
+    `total_length` adds `loglik_union`, divided by prompt and target length.
     """
-    loss = F.col("nll_sum") / F.col("p_mask")
-    out = draws.groupBy(key).agg(
-        (-F.avg(loss)).alias("loglik"), *([F.max(total_length).alias("_length")] if total_length else [])
-    )
+    loglik = -F.avg(F.col("nll_sum") / F.col("p_mask"))
+    columns = [loglik.alias("loglik")]
     if total_length:
-        out = out.withColumn("loglik", F.col("loglik") / F.col("_length")).drop("_length")
-    return out
+        columns.append((loglik / F.max(total_length)).alias("loglik_union"))
+    return draws.groupBy(key).agg(*columns)
 
 
 def completion_mask(ids: Column, eos: int, drop_truncated: bool = False) -> Column:

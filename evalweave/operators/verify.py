@@ -12,7 +12,8 @@ from evalweave.operators import extract as X
 # The patterns a declaration, a proof start and a comment follow.
 COMMENT = r"(?s)/-.*?-/"
 SORRY = r"(?U)\bsorry\b"
-NAMED_DECLARATION = rf"\b(?:theorem|lemma)[{T.WS}]+"
+# The look-ahead is there for speed: word boundaries are dear to test everywhere.
+NAMED_DECLARATION = rf"(?=[tl])\b(?:theorem|lemma)[{T.WS}]+"
 NAME = rf"[^{T.WS}:]+"
 PROOF_START = rf":=[{T.WS}]*by\b"
 PLACEHOLDER = "__THEOREM_NAME__"
@@ -38,8 +39,10 @@ def with_canonical(df: DataFrame, text: str, out: str, statement_only: bool) ->
     first = rf"(?Us)\A(.*?{NAMED_DECLARATION})({NAME})"
     plain, before, name = F.col("_plain"), F.col("_before"), F.col("_name")
     kept = F.substr(plain, F.length(before) + F.length(name) + 1)
+    bare = F.when(T.has(text, "/-"), F.regexp_replace(F.col(text), COMMENT, "")).otherwise(F.col(text))
     out_df = (
-        df.withColumn("_plain", F.regexp_replace(F.regexp_replace(F.col(text), COMMENT, ""), SORRY, ""))
+        df.withColumn("_plain", bare)
+        .withColumn("_plain", F.when(T.has(plain, "sorry"), F.regexp_replace(plain, SORRY, "")).otherwise(plain))
         .withColumn("_before", F.regexp_extract(plain, first, 1))
         .withColumn("_name", F.when(before != "", F.regexp_extract(plain, first, 2)).otherwise(""))
         .withColumn("_rest", kept)

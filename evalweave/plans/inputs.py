@@ -104,8 +104,19 @@ SELECT u.conv_id, u.text AS instruction, a.text AS output FROM
 """
 
 
+# The key rows are spread by when a table comes in fewer files than there are cores.
+KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A large one is read as it is stored; one in a few files is
+    spread over the cores first, by key, so that later steps on the key stay put.
+    """
+    df = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in KEYS and cores > 1 and len(df.inputFiles()) < cores:
+        return df.repartition(cores, KEYS[name])
+    return df
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -145,10 +145,15 @@ _CART = f"""SELECT * FROM (SELECT doc_id, pos, u, 0.15 * ({_NEAR}) AS w FROM
 
 @query("weight_cart", D.ctes(**MASKED, c=_CART) + "SELECT doc_id, count(*) AS n, round(sum(w) + 1e-9, 5) AS weight_sum, round(max(w) + 1e-9, 6) AS weight_max, round(sum(w * pos) / nullif(sum(w), 0) + 1e-9, 3) AS centre FROM c GROUP BY doc_id")
 def weight_cart(spark, sf):
-    w = N.cart_weights(masked(spark, sf).select("doc_id", "masked"), "doc_id")
-    return w.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("cart_weight") + 1e-9, 5).alias("weight_sum"), r6(F.max("cart_weight") + 1e-9).alias("weight_max"),
-        F.round(F.try_divide(F.sum(F.col("cart_weight") * F.col("pos")), F.sum("cart_weight")) + 1e-9, 3).alias("centre"),
+    df = N.with_cart_weights(masked(spark, sf).select("doc_id", "masked"))
+    n = F.size(F.filter("masked", lambda m: m))
+    zero = F.lit(0.0)
+    total = F.aggregate("cart_weight", zero, lambda a, w: a + w)
+    moment = F.aggregate(F.transform("cart_weight", lambda w, i: w * i), zero, lambda a, w: a + w)
+    sums = df.select("doc_id", n.alias("n"), total.alias("w"), moment.alias("m"), F.array_max("cart_weight").alias("top"))
+    return sums.filter(F.col("n") > 0).select(
+        "doc_id", F.col("n").cast("bigint").alias("n"), F.round(F.col("w") + 1e-9, 5).alias("weight_sum"),
+        r6(F.col("top") + 1e-9).alias("weight_max"), F.round(F.try_divide("m", "w") + 1e-9, 3).alias("centre"),
     )
 
 
@@ -209,9 +214,8 @@ def nll_ppl(spark, sf):
 )
 def mc_loglik(spark, sf):
     draws = accounted(spark, sf, exact_k(spark, sf)).withColumn("length", F.size("input_ids")).select("doc_id", "nll_sum", "p_mask", "length")
-    out = N.mc_loglik(draws.withColumn("one", F.lit(1)), "doc_id", "one").withColumnRenamed("loglik", "plain")
-    union = N.mc_loglik(draws, "doc_id", "length")
-    return out.join(union, "doc_id").select("doc_id", F.round("plain", 4).alias("loglik"), r6("loglik").alias("loglik_union"))
+    out = N.mc_loglik(draws, "doc_id", "length")
+    return out.select("doc_id", F.round("loglik", 4).alias("loglik"), r6("loglik_union").alias("loglik_union"))
 
 
 _EOS = 300
