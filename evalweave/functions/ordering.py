@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 2048
+# A cut needs only counts per bucket, and sorts one bucket, so it takes many.
+CUT_BUCKETS = 1024
 
 
 def range_bounds(df: DataFrame, key: str, buckets: int | None = None) -> list:
@@ -31,15 +33,21 @@ def range_bounds(df: DataFrame, key: str, buckets: int | None = None) -> list:
     return sorted(set(row["b"] or []))
 
 
+def _constants(values: list, kind: str) -> Column:
+    """A constant array, given as one text so that the plan is built fast."""
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
 def bucket_of(key: Column, bounds: list) -> Column:
     """Number of bounds below the key, found in two steps of about sqrt(n)."""
     if not bounds:
         return F.lit(0)
+    kind = "double" if isinstance(bounds[0], float) else "bigint"
     step = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tops = F.lit([g[-1] for g in groups])
+    tops = _constants([g[-1] for g in groups], kind)
     coarse = F.size(F.filter(tops, lambda b: b < key))
-    fine = F.get(F.array(*[F.lit(g) for g in groups]), coarse)
+    fine = F.slice(_constants(bounds, kind), coarse * step + 1, F.lit(step))
     return coarse * step + F.when(coarse < len(groups), F.size(F.filter(fine, lambda b: b < key))).otherwise(
         F.lit(len(bounds) - len(groups) * step)
     )
@@ -96,7 +104,7 @@ def cut_keys(
     wanted row is sorted.
     """
     narrow = df.select(*by, key)
-    b = bucket if bucket is not None else bucket_of(F.col(key), range_bounds(narrow, key, buckets))
+    b = bucket if bucket is not None else bucket_of(F.col(key), range_bounds(narrow, key, buckets or CUT_BUCKETS))
     rows = narrow.withColumn("_pt_bucket", b)
     counts = rows.groupBy(*by, "_pt_bucket").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*by).orderBy("_pt_bucket")
