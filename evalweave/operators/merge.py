@@ -40,3 +40,14 @@ def rank_progress(complete: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("done", F.coalesce("done", F.lit(0)))
         .withColumn("missing", F.greatest(F.col("target") - F.col("done"), F.lit(0)))
     )
+
+
+def join_outputs(problems: DataFrame, outputs: DataFrame, key: str = "dataset_index") -> DataFrame:
+    """Problems beside their completions, one row per completion.
+
+    `outputs` holds an array of completions per problem; positions in it are the
+    sample ids. Problems without outputs and outputs without a problem drop out.
+    """
+    rest = [c for c in outputs.columns if c != "completions"]
+    long = outputs.select(*rest, F.posexplode("completions").alias("sample_id", "completion"))
+    return problems.join(long, key)

@@ -43,14 +43,22 @@ TASKS = {
     "math": Task(
         P.prompt_math, {"math": lambda df: R.with_math_reward(df, C, "answer", "math"), "boxed_tags": BOXED}
     ),
-    "code": Task(P.prompt_code, {"xmlcount": XMLCOUNT}),  # and rewards.code_reward, which needs the outcomes table
+    "code": Task(P.prompt_code, {"xmlcount": XMLCOUNT}),
 }
 
 
-def task(name: str) -> Task:
+def task(name: str, results: DataFrame | None = None, key: str = "doc_id") -> Task:
+    """A task by name. The code reward needs the table of unit-test outcomes."""
     if name not in TASKS:
         raise ValueError(f"unknown task {name!r}; known: {', '.join(TASKS)}")
-    return TASKS[name]
+    found = TASKS[name]
+    if name != "code" or results is None:
+        return found
+
+    def code(df: DataFrame) -> DataFrame:
+        return R.code_reward(R.prepare_code(df, C, "tests"), results, key, "code")
+
+    return Task(found.prompts, {**found.rewards, "code": code})
 
 
 def score(df: DataFrame, rewards: dict[str, Reward]) -> DataFrame:

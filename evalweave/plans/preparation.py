@@ -485,3 +485,22 @@ def merge_rank_outputs(spark, sf):
 def rank_progress(spark, sf):
     targets = q(spark, sf, RANK_LINES).groupBy(F.col("file_no").alias("rank")).agg(F.count("*").alias("target"))
     return G.rank_progress(_complete(spark, sf).withColumnRenamed("file_no", "rank"), targets)
+
+
+# ---- joins ----------------------------------------------------------------------
+
+
+@query(
+    "join_outputs",
+    D.ctes(problems=I.PROBLEMS, completions=I.COMPLETIONS)
+    + """SELECT dataset_index, name, doc_id, 0 AS sample_id, md5(completion) AS completion_md5 FROM problems JOIN completions USING (dataset_index)
+    UNION ALL SELECT dataset_index, name, doc_id, 1, md5(concat(completion, k)) FROM problems JOIN completions USING (dataset_index) WHERE k > 4""",
+)
+def join_outputs(spark, sf):
+    """Runs of one or two completions."""
+    first, second = F.array("completion"), F.array("completion", F.concat("completion", F.col("k").cast("string")))
+    outputs = I.completions(spark, sf).select(
+        "dataset_index", "doc_id", F.when(F.col("k") > 4, second).otherwise(first).alias("completions")
+    )
+    out = G.join_outputs(I.problems(spark, sf).select("dataset_index", "name"), outputs)
+    return out.select("dataset_index", "name", "doc_id", "sample_id", F.md5("completion").alias("completion_md5"))
