@@ -190,10 +190,13 @@ def with_cart_weights(df: DataFrame, masked: str = "masked", out: str = "cart_we
         raise ValueError("p must be between 0 and 1")
 
     @F.pandas_udf("array<double>")
-    def weigh(rows: pd.Series) -> pd.Series:
+    def weigh(rows: pd.Series, sizes: pd.Series) -> pd.Series:
         return rows.map(lambda m: None if m is None else _cart_row(np.asarray(m, dtype=bool), p))
 
-    return df.withColumn(out, weigh(F.col(masked)))
+    # Both marks keep the call on its own: with a second use of the array the
+    # optimizer leaves the array a column, and a call that is not deterministic
+    # is not moved into a lambda of a later step.
+    return df.withColumn(out, weigh.asNondeterministic()(F.col(masked), F.size(masked)))
 
 
 def _cart_row(masked: np.ndarray, p: float) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        run = spark.sparkContext.applicationId
-        return f"{shared.rstrip('/')}/evalweave/{run}/{tempfile.mktemp(prefix='', dir='').lstrip('/')}"
+        return f"{shared.rstrip('/')}/evalweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="run-")
 
 
