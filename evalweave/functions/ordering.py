@@ -121,10 +121,15 @@ def cut_keys(
     return ranked.filter(F.col("_rn") == F.col("_nth")).select(*by, F.col(key).alias("_cut"))
 
 
-def head_rows(df: DataFrame, key: str, want: Callable[[Column], Column]) -> DataFrame:
+def cut_bucket(df: DataFrame, key: str) -> Column:
+    """The buckets of `cut_keys`, for several cuts through the same rows."""
+    return bucket_of(F.col(key), range_bounds(df.select(key), key, CUT_BUCKETS))
+
+
+def head_rows(df: DataFrame, key: str, want: Callable[[Column], Column], bucket: Column | None = None) -> DataFrame:
     """The first rows in key order; `want` maps the row count to how many.
 
     The table itself is filtered in place by the cut key, without a shuffle.
     """
-    cut = cut_keys(df, key, lambda total, _: want(total))
+    cut = cut_keys(df, key, lambda total, _: want(total), bucket=bucket)
     return df.filter(F.col(key) <= cut.select("_cut").scalar())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
 from evalweave.functions.hashing import hash_uniform
-from evalweave.functions.ordering import cut_keys, head_rows, prefix_totals
+from evalweave.functions.ordering import cut_bucket, cut_keys, head_rows, prefix_totals
 
 
 def named_split(df: DataFrame, wanted: str, splits: list[str] | None = None) -> DataFrame:
@@ -63,7 +63,10 @@ def limit_split(df: DataFrame, limits: dict[str, int], key: str, splits: list[st
     if not limits:
         return df
     if len(splits) == 1:
-        heads = [head_rows(df, key, lambda total, k=n: F.lit(k)).withColumn("split", F.lit(t)) for t, n in limits.items()]
+        bucket = cut_bucket(df, key)
+        heads = [
+            head_rows(df, key, lambda total, k=n: F.lit(k), bucket).withColumn("split", F.lit(t)) for t, n in limits.items()
+        ]
         return reduce(lambda a, b: a.unionByName(b), heads)
     limited = [s for s in splits if s in limits]
     rows = df.filter(F.col("split").isin(limited))
@@ -89,8 +92,9 @@ def limit_split_stream(df: DataFrame, limits: dict[str, int], key: str, splits:
     if len(asked) == 1:
         ((name, n),) = asked.items()
         return head_rows(df, key, lambda total: F.lit(n)).withColumn("split", F.lit(name))
-    first = cut_keys(df, key, lambda total, _: F.lit(test)).select("_cut").scalar()
-    both = head_rows(df, key, lambda total: F.lit(train + test))
+    bucket = cut_bucket(df, key)
+    first = cut_keys(df, key, lambda total, _: F.lit(test), bucket=bucket).select("_cut").scalar()
+    both = head_rows(df, key, lambda total: F.lit(train + test), bucket)
     in_test = F.coalesce(F.col(key) <= first, F.lit(False))
     return both.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
