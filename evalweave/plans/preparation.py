@@ -15,6 +15,7 @@ from evalweave.plans.registry import query
 from evalweave.sources import mixture as X
 from evalweave.sources import readers as R
 from evalweave.sources import sinks as W
+from evalweave.sources.scratch import scratch_dir
 from evalweave.streaming import samples as ST
 
 # ---- derived source tables -------------------------------------------------
@@ -80,7 +81,7 @@ def src_json_tolerant(spark, sf):
 
 def _write_lines(spark, sf):
     """The rank files on disk, one folder per rank."""
-    folder = R.scratch_dir(spark)
+    folder = scratch_dir(spark)
     q(spark, sf, RANK_LINES).select("line", "file_no").write.mode("overwrite").partitionBy("file_no").text(f"{folder}/ranks")
     return folder
 
@@ -88,7 +89,7 @@ def _write_lines(spark, sf):
 @query("src_json_records", D.ctes(**RANK_CTES) + "SELECT CAST(count(*) AS BIGINT) AS records, CAST(sum(dataset_index) AS BIGINT) AS index_sum FROM complete")
 def src_json_records(spark, sf):
     """Records written as JSON lines and read back with the stated schema."""
-    path = f"{R.scratch_dir(spark)}/records.jsonl"
+    path = f"{scratch_dir(spark)}/records.jsonl"
     W.write_jsonl(_complete(spark, sf).select("dataset_index", "num_samples", "samples"), path)
     return R.json_records(spark, path).agg(F.count("*").alias("records"), F.sum("dataset_index").alias("index_sum"))
 
@@ -96,7 +97,7 @@ def src_json_records(spark, sf):
 @query("src_latest_file", "SELECT true AS found, count(*) AS n_rows FROM documents")
 def src_latest_file(spark, sf):
     """The newest file of a written folder, found from the listing alone."""
-    folder = R.scratch_dir(spark)
+    folder = scratch_dir(spark)
     rows = docs(spark, sf).select("doc_id", "text")
     rows.write.json(f"{folder}/b")
     newest = R.latest_file(spark, f"{folder}/b", "*.json")
@@ -110,14 +111,14 @@ _SUDOKU = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '1' EN
 
 @query("src_csv_strings", f"SELECT puzzle AS \"Puzzle\", solution AS \"Solution\", count(*) AS n FROM ({_SUDOKU}) s GROUP BY 1, 2")
 def src_csv_strings(spark, sf):
-    path = f"{R.scratch_dir(spark)}/sudoku"
+    path = f"{scratch_dir(spark)}/sudoku"
     q(spark, sf, _SUDOKU).select(F.col("puzzle").alias("Puzzle"), F.col("solution").alias("Solution")).write.csv(path, header=True)
     return R.csv_strings(spark, path, ["Puzzle", "Solution"]).groupBy("Puzzle", "Solution").agg(F.count("*").alias("n"))
 
 
 @query("src_preprocessed", f"SELECT split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({SPLIT_DOCS}) s GROUP BY split")
 def src_preprocessed(spark, sf):
-    path = f"{R.scratch_dir(spark)}/prepared"
+    path = f"{scratch_dir(spark)}/prepared"
     W.write_prepared(q(spark, sf, SPLIT_DOCS), path)
     return R.preprocessed(spark, path).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -194,14 +195,14 @@ def src_file_jobs(spark, sf):
 
 @query("sink_jsonl", D.ctes(**RANK_CTES) + f"SELECT dataset_index, {_D_FIRST} FROM complete")
 def sink_jsonl(spark, sf):
-    path = f"{R.scratch_dir(spark)}/samples.jsonl"
+    path = f"{scratch_dir(spark)}/samples.jsonl"
     W.write_jsonl(_complete(spark, sf).select("dataset_index", "num_samples", "samples"), path)
     return R.json_records(spark, path).select("dataset_index", _first_completion())
 
 
 @query("sink_prepared", f"SELECT split, doc_id FROM ({SPLIT_DOCS}) s")
 def sink_prepared(spark, sf):
-    path = W.prepared_path(R.scratch_dir(spark), 1024, True, True)
+    path = W.prepared_path(scratch_dir(spark), 1024, True, True)
     W.write_prepared(q(spark, sf, SPLIT_DOCS), path, {"doc_id"})
     return spark.read.parquet(path).select("split", "doc_id")
 

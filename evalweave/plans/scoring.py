@@ -12,6 +12,7 @@ from evalweave.plans import inputs as I
 from evalweave.plans.registry import query
 from evalweave.sources import readers as RD
 from evalweave.sources import sinks as W
+from evalweave.sources.scratch import scratch_dir
 
 ROLL = {"r": I.ROLLOUTS}
 
@@ -522,7 +523,7 @@ def block_plan(spark, sf):
 def sink_summary(spark, sf):
     docs = I.table(spark, sf, "documents").select("doc_id")
     out = M.run_summary(docs, docs.filter(F.col("doc_id") % 3 == 0), 8, {"dataset_split": "test"})
-    path = f"{RD.scratch_dir(spark)}/summary"
+    path = f"{scratch_dir(spark)}/summary"
     W.write_summary(out, path)
     return spark.read.schema(out.schema).json(path)
 
@@ -533,5 +534,5 @@ def sink_verified(spark, sf):
     from evalweave.operators import verify as V
 
     rows = V.parse_verdict(I.verdicts(spark, sf), "raw_json").select("doc_id", "pass", "complete", "system_errors")
-    path = W.write_verified(rows, f"{RD.scratch_dir(spark)}/samples.jsonl")
+    path = W.write_verified(rows, f"{scratch_dir(spark)}/samples.jsonl")
     return spark.read.schema("doc_id BIGINT, pass BOOLEAN").json(path)

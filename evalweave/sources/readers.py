@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +14,6 @@ RECORD = (
 CORRUPT = "_corrupt"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder all executors see: under spark.checkpoint.dir, or a new local one
-    where that is not set (local runs and tests).
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/evalweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-")
-
-
 def json_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     """`.jsonl` holds one record per line; any other file is one JSON array.
 
