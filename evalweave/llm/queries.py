@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import bpe
+from evalweave.llm.html_main import extract_main
 from evalweave.llm.jaccard import near_duplicates
 from evalweave.llm.licenses import license_scan
 
@@ -49,3 +50,8 @@ def op10(spark, sf_dir):
 @query("op2_license_scan")
 def op2(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query("op1_html_wrapper")
+def op1(spark, sf_dir):
+    return extract_main(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
