@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import bpe
+from evalweave.llm.hilbert import hilbert_shards
+from evalweave.llm.hostgraph import judge_urls
 from evalweave.llm.html_main import extract_main
 from evalweave.llm.jaccard import near_duplicates
 from evalweave.llm.licenses import license_scan
@@ -78,3 +80,13 @@ def op3(spark, sf_dir):
 )
 def op8(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op4_hilbert_shards")
+def op4(spark, sf_dir):
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op5_host_propagation")
+def op5(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
