@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import bpe
+from evalweave.llm.disclosure import PATTERNS, digest, personal_spans
 from evalweave.llm.hilbert import hilbert_shards
 from evalweave.llm.hostgraph import judge_urls
 from evalweave.llm.html_main import extract_main
 from evalweave.llm.jaccard import near_duplicates
+from evalweave.llm.latent import leaks
 from evalweave.llm.licenses import license_scan
 from evalweave.llm.topk import top_k
 from evalweave.llm.toxicity import toxicity
@@ -90,3 +92,16 @@ def op4(spark, sf_dir):
 @query("op5_host_propagation")
 def op5(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op6_disclosure")
+def op6(spark, sf_dir):
+    rows = personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return rows.select("doc_id", *(count(k) for k in PATTERNS), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+@query("op7_latent_leaks")
+def op7(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -59,9 +59,16 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         lo = hi
 
 
-def word_hashes(body: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in order, and the border of each row in that list."""
+def word_hashes(body: np.ndarray, at: np.ndarray, kind: np.ndarray, latin: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word in order, and the border of each row in that list.
+
+    A-Z are lower-cased; with `latin` also the accented capitals of two bytes from C3 80 on.
+    """
     inside = kind[body]
+    lower = _LOWER[body]
+    if latin and len(body):
+        capital = (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97) & (body[:-1] == 0xC3)
+        lower[1:][capital] += 0x20
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -74,7 +81,7 @@ def word_hashes(body: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.
     first = np.searchsorted(where, starts)
     size = np.diff(np.append(first, len(where)))
     place = np.arange(len(where)) - np.repeat(first, size)
-    parts = _BYTES[_LOWER[body[where]]] * _powers(int(size.max()))[place]
+    parts = _BYTES[lower[where]] * _powers(int(size.max()))[place]
     return mix(np.add.reduceat(parts, first)), np.searchsorted(starts, at)
 
 
