@@ -16,9 +16,10 @@ Two texts link when 100 * |A n B| >= 80 * |A u B| on their sets of 5-word shingl
    (|A xor B| is at least the number of differing bits, and linked sets differ in at
    most (|A| + |B|) / 9 shingles), then the exact intersection of sorted arrays.
 4. Tiles whose sets are then in one component need nothing more. Where sets of one
-   shingle lie in different components, all their remaining pairs go through the
-   same three tests. So no link between two components is missed, and a group of
-   thousands of near copies costs its size, not its square.
+   shingle lie in different components, other heads are drawn once, and then all their
+   remaining pairs go through the same three tests. So no link between two
+   components is missed, and a group of thousands of near copies costs about its size,
+   not its square.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from evalweave.sources.scratch import materialize
 BITS = 1024
 ORDER_SHARE = 16  # one document in so many is read to find frequent shingles
 ORDER_SEEN = 4  # documents of that share that must hold a frequent one
+CROWD = 12.0  # mean size of a shingle's group (over its rows) up to which all its pairs are compared
 ORDER_MOST = 200_000  # frequent shingles that the order knows, the most frequent first
 
 _SETS = "doc_id bigint, n bigint, h bigint, sig array<bigint>, prefix array<bigint>"
@@ -152,6 +154,33 @@ def _band(n: str, m: str) -> Column:
     return (5 * F.least(n, m)) >= (4 * F.greatest(n, m))
 
 
+def _bitmaps(s: str, t: str, n: str, m: str) -> Column:
+    """Whether the differing bits leave room for a link."""
+    differ = sum((F.bit_count(F.col(s)[k].bitwiseXOR(F.col(t)[k])) for k in range(1, BITS // 64)), F.bit_count(F.col(s)[0].bitwiseXOR(F.col(t)[0])))
+    return 9 * differ <= F.col(n) + F.col(m)
+
+
+def _open(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
+    """Rows of shingles whose sets lie in several components, and the mean size of their groups."""
+    placed = tiles.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = materialize(placed.select("token", "id", "n", "hub", "root"))
+    mixed = materialize(
+        placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
+        .filter("lo <> hi and c > 2").select("token", "c")
+    )
+    load = mixed.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0
+    return placed.join(mixed, "token", "left_semi"), load
+
+
+def _ordered(rows: DataFrame, other: str, size: str) -> DataFrame:
+    """Distinct pairs (a, b, n_a, n_b) with a < b, of rows with id, n and another set."""
+    first = F.col("id") < F.col(other)
+    return rows.select(
+        F.least("id", other).alias("a"), F.greatest("id", other).alias("b"),
+        F.when(first, F.col("n")).otherwise(F.col(size)).alias("n_a"), F.when(first, F.col(size)).otherwise(F.col("n")).alias("n_b"),
+    ).distinct()
+
+
 def _frequent(texts: DataFrame) -> np.ndarray:
     share = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
     seen = (
@@ -170,7 +199,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     near = (
         pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a")
         .join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
-        .filter(F.expr("9 * aggregate(zip_with(sig_a, sig_b, (x, y) -> bit_count(x ^ y)), 0, (s, c) -> s + c) <= n_a + n_b"))
+        .filter(_bitmaps("sig_a", "sig_b", "n_a", "n_b"))
         .select("a", "b")
     )
     near = materialize(near)
@@ -197,11 +226,13 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     sets = materialize(texts.mapInArrow(_sets(_frequent(texts)), _SETS))
     ids = sets.filter("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(
-        sets.withColumnRenamed("doc_id", "id").join(ids, ["id", "h", "n"], "left_semi").dropDuplicates(["id", "h", "n"])
-    )
+    members = materialize(sets.filter("n > 0").select("doc_id", "h", "n").join(ids, ["h", "n"]))
+    gone = members.filter("doc_id <> id OR doc_id IS NULL").select("doc_id", "h", "n").distinct()
+    own = sets.filter("n > 0 AND doc_id IS NOT NULL").join(gone, ["doc_id", "h", "n"], "left_anti").withColumnRenamed("doc_id", "id")
+    nodes = materialize(own.select("id", "n", "h", "sig").dropDuplicates(["id", "h", "n"]))
 
-    rows = nodes.select("n", "id", F.explode("prefix").alias("token")).withColumn("key", F.xxhash64("token", "id"))
+    # One order of sets for all shingles: the sets of a group of near copies meet the same head.
+    rows = own.select("n", "id", F.explode("prefix").alias("token")).withColumn("key", F.xxhash64("id"))
     tiles = materialize(
         rows.repartitionByRange("token", "key").sortWithinPartitions("token", "key").select("token", "id", "n")
         .mapInArrow(_tiles, "token bigint, id bigint, n bigint, hub bigint, hub_n bigint")
@@ -209,30 +240,28 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     heads = tiles.select("token", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct()
     top = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("top")).filter("c > 1")
     over = heads.join(top, "token").select("id", "n", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"))
-    star = (
-        tiles.select("id", "n", "hub", "hub_n").union(over).filter("id <> hub").filter(_band("n", "hub_n"))
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"),
-                F.when(F.col("id") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("n_a"),
-                F.when(F.col("id") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("n_b"))
-        .distinct()
-    )
-    links = _links(star, nodes, texts)
-
-    # What the heads did not connect: the other pairs of shingles that still join two components.
-    roots = components(links)
-    placed = tiles.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("token", "id", "n", "hub", "root")
-    mixed = (
-        placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
-        .filter("lo <> hi and c > 2").select("token")
-    )
-    open_rows = materialize(placed.join(mixed, "token", "left_semi"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-               & _band("x.n", "y.n") & (F.col("x.hub") != F.col("y.id")) & (F.col("y.hub") != F.col("x.id")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-        .distinct()
-    )
+    star = tiles.select("id", "n", "hub", "hub_n").union(over).filter("id <> hub").filter(_band("n", "hub_n"))
+    links = _links(_ordered(star, "hub", "hub_n"), nodes, texts)
+
+    # What the heads did not connect: shingles that still join two components. Where their
+    # groups are large, each set is compared with a random one of each of its shingles first.
+    open_rows, load = _open(tiles, links)
+    if load > CROWD:
+        pick = F.min(F.struct(F.xxhash64("id", "token").alias("k"), F.col("id").alias("o"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("pick")
+        drawn = open_rows.groupBy("token").agg(pick).select("token", "pick.*")
+        met = open_rows.join(drawn, "token").filter("root <> r").filter(_band("n", "m"))
+        links = materialize(links.union(_links(_ordered(met, "o", "m"), nodes, texts)))
+        open_rows, _ = _open(tiles, links)
+    # Then all pairs that remain, each at its first common shingle, where the bitmaps allow it.
+    marked = materialize(open_rows.join(own.select("id", "sig", "prefix").dropDuplicates(["id"]), "id"))
+    x, y = marked.alias("x"), marked.alias("y")
+    rest = x.join(
+        y,
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+        & _band("x.n", "y.n") & (F.col("x.hub") != F.col("y.id")) & (F.col("y.hub") != F.col("x.id"))
+        & _bitmaps("x.sig", "y.sig", "x.n", "y.n")
+        & (F.col("x.token") == F.array_min(F.array_intersect("x.prefix", "y.prefix"))),
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
     return sets.select("doc_id", "n", "h"), nodes.select("id", "n", "h"), links.union(_links(rest, nodes, texts))
 
 
