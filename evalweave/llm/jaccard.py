@@ -169,7 +169,7 @@ def _open(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
         .filter("lo <> hi and c > 2").select("token", "c")
     )
     load = mixed.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0
-    return placed.join(mixed, "token", "left_semi"), load
+    return materialize(placed.join(mixed, "token", "left_semi")), load
 
 
 def _ordered(rows: DataFrame, other: str, size: str) -> DataFrame:
@@ -253,14 +253,15 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         links = materialize(links.union(_links(_ordered(met, "o", "m"), nodes, texts)))
         open_rows, _ = _open(tiles, links)
     # Then all pairs that remain, each at its first common shingle, where the bitmaps allow it.
-    marked = materialize(open_rows.join(own.select("id", "sig", "prefix").dropDuplicates(["id"]), "id"))
+    known = open_rows.groupBy("id").agg(F.collect_set("token").alias("tokens"))  # a part of its prefix
+    marked = open_rows.join(nodes.select("id", "sig").dropDuplicates(["id"]), "id").join(known, "id")
     x, y = marked.alias("x"), marked.alias("y")
     rest = x.join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
         & _band("x.n", "y.n") & (F.col("x.hub") != F.col("y.id")) & (F.col("y.hub") != F.col("x.id"))
         & _bitmaps("x.sig", "y.sig", "x.n", "y.n")
-        & (F.col("x.token") == F.array_min(F.array_intersect("x.prefix", "y.prefix"))),
+        & (F.col("x.token") == F.array_min(F.array_intersect("x.tokens", "y.tokens"))),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
     return sets.select("doc_id", "n", "h"), nodes.select("id", "n", "h"), links.union(_links(rest, nodes, texts))
 
