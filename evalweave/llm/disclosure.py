@@ -1,13 +1,12 @@
 """Information-theoretic sanitisation of personal data, in DataFrame expressions only.
 
 Protected entities are e-mail addresses, network addresses, card and phone numbers. A term
-that occurs near one of them reveals it as far as corpus co-occurrence says so: with
-distinct texts as the unit, the disclosure of term t about entity e is PMI(e; t) / IC(e),
+that occurs near one of them reveals it as far as corpus co-occurrence says so: the disclosure of term t about entity e is PMI(e; t) / IC(e),
 1 where every text with t holds e beside it. Terms at or above a threshold are spans too:
 generalised, or removed where the disclosure is full.
 
-Only pairs of an entity and the words around it are shuffled, and only terms seen near the
-same entity in several texts are counted over the corpus. Copies of a text count once.
+Only pairs of an entity and the words around it are shuffled. A term needs several different
+texts beside an entity, so copies of one text reveal nothing by themselves.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
 NEAR = 60  # characters on either side of an entity in which a term counts as near
-LEAST_TEXTS = 3  # distinct texts that hold term and entity together
+LEAST_TEXTS = 3  # different texts that hold term and entity together
 DISCLOSED = 0.9  # PMI(e; t) / IC(e) from which a term is generalised
 REVEALED = 0.999  # from which it is removed
 
@@ -84,20 +83,24 @@ def disclosing_terms(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
     `spans` has h (text hash), text and base; `texts` h and text of all rows.
     """
-    near = spans.select("h", "text", F.explode("base").alias("s")).select(
-        "h",
+    kinds = spans.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text"), F.first("base").alias("base"))
+    near = kinds.select("h", "rows", "text", F.explode("base").alias("s")).select(
+        "h", "rows",
         F.concat("s.kind", F.lit(":"), F.when(F.col("s.kind").isin("card", "phone"), F.regexp_replace("s.value", "[^0-9]", "")).otherwise(F.lower("s.value"))).alias("entity"),
         F.expr(f"substring(text, greatest(s.start - {NEAR}, 0) + 1, least(s.start, {NEAR}))").alias("before"),
         F.expr(f"substring(text, s.end + 1, {NEAR})").alias("after"),
     )
     # Words that the window cuts are left out: a word needs a non-letter on its outer side.
     words = F.concat(F.regexp_extract_all("before", F.lit(r"(?<=[^\p{L}])\p{L}{3,}(?=[^\p{L}])"), F.lit(0)), F.regexp_extract_all("after", F.lit(r"(?<=[^\p{L}])\p{L}{3,}(?=[^\p{L}])"), F.lit(0)))
-    pairs = near.select("h", "entity", F.explode(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).alias("term")).distinct()
-    joint = materialize(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= LEAST_TEXTS))
-    entities = near.select("h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
-    held = texts.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"))
-    spread = held.join(joint.select("term").distinct(), "term").select("h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("spread"))
-    total = F.lit(float(max(texts.select(F.approx_count_distinct("h", 0.01)).first()[0], 2)))
+    pairs = near.select("h", "rows", "entity", F.explode(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).alias("term")).distinct()
+    joint = materialize(
+        pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts_both")).filter(F.col("texts_both") >= LEAST_TEXTS)
+    )
+    entities = near.select("h", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("texts"))
+    # Counted per task before the shuffle and only then met with the terms in question.
+    held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"))
+    spread = held.groupBy("term").agg(F.count(F.lit(1)).alias("spread")).join(joint.select("term").distinct(), "term")
+    total = F.lit(float(max(texts.count(), 2)))
     known = -F.log2(F.least(F.col("texts") / total, F.lit(0.999999)))
     gain = F.log2((F.col("both") / F.col("spread")) / (F.col("texts") / total))
     return (
