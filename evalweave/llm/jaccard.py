@@ -100,14 +100,14 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (token, id, n) rows, those whose shingle occurs again, each with the
+    """Of sorted (token, id, n, pos) rows, those whose shingle occurs again, each with the
     first set of its tile. The first and last tile of a task are kept whole, as they may
     go on in the next task.
     """
     held: pa.RecordBatch | None = None
     first = True
 
-    def out(t, i, n, edge_first: bool, edge_last: bool):
+    def out(t, i, n, pos, edge_first: bool, edge_last: bool):
         begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         size = np.diff(np.append(begin, len(t)))
         keep = size > 1
@@ -117,26 +117,26 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[-1] = True
         rows = np.repeat(keep, size)
         hub, hub_n = np.repeat(i[begin], size), np.repeat(n[begin], size)
-        return pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (t, i, n, hub, hub_n)], names=["token", "id", "n", "hub", "hub_n"])
+        return pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (t, i, n, pos, hub, hub_n)], names=["token", "id", "n", "pos", "hub", "hub_n"])
 
     for batch in batches:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
-        t, i, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        t, i, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         cut = int(np.searchsorted(t, t[-1]))  # the last run may go on in the next batch
         if len(t) - cut > 200_000:  # a long run is emitted as several tiles
-            yield out(t, i, n, True, True)
+            yield out(t, i, n, pos, True, True)
             held, first = None, True
             continue
         if cut:
-            yield out(t[:cut], i[:cut], n[:cut], first, False)
+            yield out(t[:cut], i[:cut], n[:cut], pos[:cut], first, False)
             first = False
         held = batch.slice(cut)
     if held is not None and held.num_rows:
-        t, i, n = (held.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        yield out(t, i, n, True, True)
+        t, i, n, pos = (held.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        yield out(t, i, n, pos, True, True)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def _bitmaps(s: str, t: str, n: str, m: str) -> Column:
 def _open(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
     """Rows of shingles whose sets lie in several components, and the mean size of their groups."""
     placed = tiles.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = materialize(placed.select("token", "id", "n", "hub", "root"))
+    placed = materialize(placed.select("token", "id", "n", "pos", "hub", "root"))
     mixed = materialize(
         placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
         .filter("lo <> hi and c > 2").select("token", "c")
@@ -232,10 +232,10 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = materialize(own.select("id", "n", "h", "sig").dropDuplicates(["id", "h", "n"]))
 
     # One order of sets for all shingles: the sets of a group of near copies meet the same head.
-    rows = own.select("n", "id", F.explode("prefix").alias("token")).withColumn("key", F.xxhash64("id"))
+    rows = own.select("n", "id", F.posexplode("prefix").alias("pos", "token")).withColumn("key", F.xxhash64("id"))
     tiles = materialize(
-        rows.repartitionByRange("token", "key").sortWithinPartitions("token", "key").select("token", "id", "n")
-        .mapInArrow(_tiles, "token bigint, id bigint, n bigint, hub bigint, hub_n bigint")
+        rows.repartitionByRange("token", "key").sortWithinPartitions("token", "key").select("token", "id", "n", "pos")
+        .mapInArrow(_tiles, "token bigint, id bigint, n bigint, pos int, hub bigint, hub_n bigint")
     )
     heads = tiles.select("token", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct()
     top = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("top")).filter("c > 1")
@@ -252,16 +252,16 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         met = open_rows.join(drawn, "token").filter("root <> r").filter(_band("n", "m"))
         links = materialize(links.union(_links(_ordered(met, "o", "m"), nodes, texts)))
         open_rows, _ = _open(tiles, links)
-    # Then all pairs that remain, each at its first common shingle, where the bitmaps allow it.
-    known = open_rows.groupBy("id").agg(F.collect_set("token").alias("tokens"))  # a part of its prefix
-    marked = open_rows.join(nodes.select("id", "sig").dropDuplicates(["id"]), "id").join(known, "id")
+    # Then all pairs that remain, where the bitmaps allow it.
+    # The smaller set of a linked pair shows a common shingle in its first ninth already.
+    marked = open_rows.join(nodes.select("id", "sig").dropDuplicates(["id"]), "id")
     x, y = marked.alias("x"), marked.alias("y")
+    early = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.pos") * 9 <= F.col("x.n")).otherwise(F.col("y.pos") * 9 <= F.col("y.n"))
     rest = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & early
         & _band("x.n", "y.n") & (F.col("x.hub") != F.col("y.id")) & (F.col("y.hub") != F.col("x.id"))
-        & _bitmaps("x.sig", "y.sig", "x.n", "y.n")
-        & (F.col("x.token") == F.array_min(F.array_intersect("x.tokens", "y.tokens"))),
+        & _bitmaps("x.sig", "y.sig", "x.n", "y.n"),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
     return sets.select("doc_id", "n", "h"), nodes.select("id", "n", "h"), links.union(_links(rest, nodes, texts))
 
