@@ -12,15 +12,15 @@ vocabulary). Tasks keep a bounded memo of matches already encoded.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO = 400_000  # matches a task remembers before it starts afresh
+MEMO = 1_000_000  # matches a task remembers before it starts afresh
 _SHIFT, _NONE = 32, 1 << 62
 
 
@@ -31,7 +31,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """match -> its ids, worked out on first use."""
+    """match -> its ids (the bytes of int32 values), worked out on first use."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
@@ -39,14 +39,14 @@ class Encoder(dict):
         self.find = regex.compile(pattern).findall
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs = {
-            (ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
+            ranks[t[:k]] << 20 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
         self.bytes = {r: t for t, r in ranks.items()}
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
+    def __missing__(self, match: str) -> bytes:
         piece = match.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(piece)
-        ids = (whole,) if whole is not None else tuple(self.merge(piece))
+        ids = array("i", (whole,) if whole is not None else self.merge(piece)).tobytes()
         self[match] = ids
         return ids
 
@@ -56,7 +56,7 @@ class Encoder(dict):
         leaf = 1 << (n - 1).bit_length() if n > 1 else 1
         tree = [_NONE] * (2 * leaf)
         for i in range(n - 1):
-            r = pair((token[i], token[i + 1]))
+            r = pair(token[i] << 20 | token[i + 1])
             if r is not None:
                 tree[leaf + i] = r << _SHIFT | i
         for k in range(leaf - 1, 0, -1):
@@ -72,11 +72,11 @@ class Encoder(dict):
             r = None
             if after < n:
                 left[after] = i
-                r = pair((rank, token[after]))
+                r = pair(rank << 20 | token[after])
             changes.append((i, _NONE if r is None else r << _SHIFT | i))
             before = left[i]
             if before >= 0:
-                r = pair((token[before], rank))
+                r = pair(token[before] << 20 | rank)
                 changes.append((before, _NONE if r is None else r << _SHIFT | before))
             for place, key in changes:
                 k = leaf + place
@@ -91,13 +91,13 @@ class Encoder(dict):
                         tree[k] = key
         return [t for t in token if t >= 0]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if len(self) > MEMO:
             self.clear()
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             for row, value in enumerate(batch.column(len(keep))):
                 found = encoder.encode(value.as_py() or "")
                 back = encoder.decode(found)
-                ids.append(np.array(found, dtype=np.int32))
+                ids.append(found)
                 cut.append(cut[-1] + len(found))
                 decoded.append(back)
                 size += len(back)
