@@ -3,8 +3,8 @@
 Two texts link when 100 * |A n B| >= 80 * |A u B| on their sets of 5-word shingles.
 
 1. One pass over the texts makes, per document, the set size, a 64-bit set hash, a
-   1024-bit parity bitmap and the set's prefix: the n // 5 + 1 first shingles in one
-   global order. Linked sets share a prefix shingle (at most a fifth of either is
+   1024-bit parity bitmap, for larger sets also one of n to 2n bits, and the set's
+   prefix: the n // 5 + 1 first shingles in one global order. Linked sets share a prefix shingle (at most a fifth of either is
    missing from the other). The order is hash order with frequent shingles last;
    which ones are frequent is read off a hashed share of the documents and only
    affects speed, as any order gives the same links.
@@ -14,7 +14,9 @@ Two texts link when 100 * |A n B| >= 80 * |A u B| on their sets of 5-word shingl
    the tiles of one shingle through their first sets.
 3. Every such pair passes the size band (5 min >= 4 max), then the bitmap bound
    (|A xor B| is at least the number of differing bits, and linked sets differ in at
-   most (|A| + |B|) / 9 shingles), then the exact intersection of sorted arrays.
+   most (|A| + |B|) / 9 shingles) on the short and then on the wide bitmaps, then the
+   exact intersection of sorted arrays. For that, the sets compared with one set travel
+   to it in cells of about CELL pairs, so each pair moves one array and not two.
 4. Tiles whose sets are then in one component need nothing more. Where sets of one
    shingle lie in different components, other heads are drawn once, and then all their
    remaining pairs go through the same three tests. So no link between two
@@ -41,7 +43,26 @@ ORDER_SEEN = 4  # documents of that share that must hold a frequent one
 CROWD = 12.0  # mean size of a shingle's group (over its rows) up to which all its pairs are compared
 ORDER_MOST = 200_000  # frequent shingles that the order knows, the most frequent first
 
-_SETS = "doc_id bigint, n bigint, h bigint, sig array<bigint>, prefix array<bigint>"
+CELL = 256  # pairs with one set that a task compares in a row
+
+_SETS = "doc_id bigint, n bigint, h bigint, sig array<bigint>, wide binary, prefix array<bigint>"
+_ARRAYS = "a bigint, cell int, member boolean, id bigint, h bigint, shingles binary"
+
+
+def _set_hash(u: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(u * np.int64(-7046029254386353131), initial=0))
+
+
+def _wide(u: np.ndarray) -> bytes | None:
+    """Parity of the shingles over the least power of two of bits that is not below
+    their number; None where the short bitmap is wide enough. A half of that width is
+    the exclusive or of its two halves.
+    """
+    if len(u) <= BITS:
+        return None
+    bits = 1 << (len(u) - 1).bit_length()
+    at = (u.view(np.uint64) >> np.uint64(7)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _signature(rows: list[np.ndarray]) -> np.ndarray:
@@ -74,29 +95,30 @@ def _sets(frequent: np.ndarray):
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array([len(u) for u in sets], pa.int64()),
-                        pa.array([int(np.bitwise_xor.reduce(u * np.int64(-7046029254386353131), initial=0)) for u in sets], pa.int64()),
+                        pa.array([_set_hash(u) for u in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, 16, dtype=np.int32)), pa.array(sig)),
+                        pa.array([_wide(u) for u in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(prefixes))),
                     ],
-                    names=["doc_id", "n", "h", "sig", "prefix"],
+                    names=["doc_id", "n", "h", "sig", "wide", "prefix"],
                 )
 
     return run
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sorted shingle arrays, as bytes, of the documents that a test needs."""
+    """Whole sorted shingle arrays, as bytes, of the sets that a test needs; rows of the
+    same doc_id with another set than the wanted one go.
+    """
     for batch in batches:
-        for lo, hi, body, at in chunks(batch.column(1)):
+        for lo, hi, body, at in chunks(batch.column(0)):
             sets = list(shingle_sets(body, at))
+            part = batch.slice(lo, hi - lo)
+            own = np.array([_set_hash(u) for u in sets], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array([int(np.bitwise_xor.reduce(u * np.int64(-7046029254386353131), initial=0)) for u in sets], pa.int64()),
-                    pa.array([u.tobytes() for u in sets], pa.binary()),
-                ],
-                names=["id", "h", "shingles"],
-            )
+                [*(part.column(c) for c in ("a", "cell", "member", "id", "h")), pa.array([u.tobytes() for u in sets], pa.binary())],
+                names=["a", "cell", "member", "id", "h", "shingles"],
+            ).filter(pa.array(own == part.column("h").to_numpy()))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +162,40 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked pairs (a, b), of rows in the order of a, cell and member: a's own set is first."""
+    at, centre = None, {}
+    for batch in batches:
+        a, cell, member, other, h, body = (batch.column(c) for c in ("a", "cell", "member", "id", "h", "shingles"))
+        found: list[tuple[int, int]] = []
+        for k, place in enumerate(zip(a.to_pylist(), cell.to_pylist(), strict=True)):
+            if place != at:
+                at, centre = place, {}
+            u = np.frombuffer(body[k].as_buffer(), dtype=np.int64)
+            if not member[k].as_py():
+                centre[h[k].as_py()] = u
+                continue
+            for c in centre.values():
+                both = len(np.intersect1d(c, u, assume_unique=True))
+                if 5 * both >= 4 * (len(c) + len(u) - both):
+                    found.append((place[0], other[k].as_py()))
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([p[m] for p in found], pa.int64()) for m in (0, 1)], names=["a", "b"])
+
+
+def _wide_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose wide bitmaps leave room for a link, folded to the lesser width."""
     for batch in batches:
-        a, b, x, y = (batch.column(k) for k in range(4))
-        keep = []
-        for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p.as_buffer(), dtype=np.int64), np.frombuffer(q.as_buffer(), dtype=np.int64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(5 * both >= 4 * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for k, (x, y) in enumerate(zip(batch.column("wide_a"), batch.column("wide_b"), strict=True)):
+            if x.is_valid and y.is_valid:
+                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                while len(s) > len(t):
+                    s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+                while len(t) > len(s):
+                    t = t[: len(t) // 2] ^ t[len(t) // 2 :]
+                keep[k] = 9 * int(np.bitwise_count(s ^ t).sum()) <= n[k]
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _band(n: str, m: str) -> Column:
@@ -193,27 +241,39 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in seen.select("token").collect()], dtype=np.int64))
 
 
+def _cells(near: DataFrame) -> DataFrame:
+    """Pairs as (a, cell, b), a being the end with more pairs; its pairs lie in cells of about CELL."""
+    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    pairs = near.join(ends.withColumnsRenamed({"id": "a", "c": "c_a"}), "a").join(ends.withColumnsRenamed({"id": "b", "c": "c_b"}), "b")
+    swap = F.col("c_b") > F.col("c_a")
+    most = F.greatest("c_a", "c_b")
+    pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), most.alias("c"))
+    return pairs.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / CELL)).cast("int").alias("cell"), "b")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, n_a, n_b) that pass the bitmap bound and the exact test."""
-    sig = nodes.select("id", "sig")
-    near = (
-        pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a")
-        .join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
-        .filter(_bitmaps("sig_a", "sig_b", "n_a", "n_b"))
-        .select("a", "b")
-    )
-    near = materialize(near)
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    arrays = materialize(
-        texts.join(ids, "doc_id", "left_semi").mapInArrow(_arrays, "id bigint, h bigint, shingles binary")
-        .join(nodes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("id", "shingles")
+    """Distinct pairs (a, b, n_a, n_b) that pass both bitmap bounds and the exact test, as (a, b)."""
+
+    def beside(rows: DataFrame, column: str) -> DataFrame:
+        narrow = nodes.select("id", column)
+        return rows.join(narrow.withColumnsRenamed({"id": "a", column: f"{column}_a"}), "a").join(
+            narrow.withColumnsRenamed({"id": "b", column: f"{column}_b"}), "b"
+        )
+
+    near = beside(pairs, "sig").filter(_bitmaps("sig_a", "sig_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b")
+    near = beside(materialize(near), "wide").mapInArrow(_wide_bound, "a bigint, b bigint")
+    cells = _cells(materialize(near.distinct()))
+    wanted = materialize(
+        cells.select("a", "cell", F.lit(False).alias("member"), F.col("a").alias("id")).distinct()
+        .union(cells.select("a", "cell", F.lit(True), "b"))
+        .join(nodes.select("id", "h"), "id")
     )
-    both = (
-        near.join(arrays.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-        .join(arrays.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
-        .select("a", "b", "x", "y")
+    arrays = (
+        texts.join(wanted, texts["doc_id"] == wanted["id"]).select("text", "a", "cell", "member", "id", "h")
+        .mapInArrow(_arrays, _ARRAYS)
     )
-    return materialize(both.mapInArrow(_verified, "a bigint, b bigint"))
+    placed = arrays.repartition("a", "cell").sortWithinPartitions("a", "cell", "member")
+    return materialize(placed.mapInArrow(_verified, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -229,12 +289,13 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = materialize(sets.filter("n > 0").select("doc_id", "h", "n").join(ids, ["h", "n"]))
     gone = members.filter("doc_id <> id OR doc_id IS NULL").select("doc_id", "h", "n").distinct()
     own = sets.filter("n > 0 AND doc_id IS NOT NULL").join(gone, ["doc_id", "h", "n"], "left_anti").withColumnRenamed("doc_id", "id")
-    nodes = materialize(own.select("id", "n", "h", "sig").dropDuplicates(["id", "h", "n"]))
+    nodes = materialize(own.select("id", "n", "h", "sig", "wide").dropDuplicates(["id", "h", "n"]))
 
     # One order of sets for all shingles: the sets of a group of near copies meet the same head.
-    rows = own.select("n", "id", F.posexplode("prefix").alias("pos", "token")).withColumn("key", F.xxhash64("id"))
+    rows = own.select("n", "id", F.posexplode("prefix").alias("pos", "token"))
+    key = F.xxhash64("id")
     tiles = materialize(
-        rows.repartitionByRange("token", "key").sortWithinPartitions("token", "key").select("token", "id", "n", "pos")
+        rows.repartitionByRange("token", key).sortWithinPartitions("token", key).select("token", "id", "n", "pos")
         .mapInArrow(_tiles, "token bigint, id bigint, n bigint, pos int, hub bigint, hub_n bigint")
     )
     heads = tiles.select("token", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct()
