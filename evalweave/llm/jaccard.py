@@ -44,6 +44,7 @@ CROWD = 12.0  # mean size of a shingle's group (over its rows) up to which all i
 ORDER_MOST = 200_000  # frequent shingles that the order knows, the most frequent first
 
 CELL = 256  # pairs with one set that a task compares in a row
+FILTER_BITS = 1 << 23  # bits of the filter that spares texts of no pair the shuffle: 131,072 words at most
 
 _SETS = "doc_id bigint, n bigint, h bigint, sig array<bigint>, wide binary, prefix array<bigint>"
 _ARRAYS = "a bigint, cell int, member boolean, id bigint, h bigint, shingles binary"
@@ -251,6 +252,19 @@ def _cells(near: DataFrame) -> DataFrame:
     return pairs.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / CELL)).cast("int").alias("cell"), "b")
 
 
+def _perhaps(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts without most of those whose doc_id is no id of `wanted`.
+
+    A bitmap of hashed ids goes to all tasks as a table of at most FILTER_BITS / 64 rows,
+    whatever the input. More ids make it let more texts pass; the join after it is exact.
+    """
+    bit = "shiftleft(1L, CAST(place % 64 AS INT))"
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = wanted.select(place.alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    rows = texts.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).withColumn("word", F.expr("place div 64"))
+    return rows.join(F.broadcast(words), "word").filter(f"(bits & {bit}) <> 0").select("doc_id", "text")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, n_a, n_b) that pass both bitmap bounds and the exact test, as (a, b)."""
 
@@ -269,7 +283,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         .join(nodes.select("id", "h"), "id")
     )
     arrays = (
-        texts.join(wanted, texts["doc_id"] == wanted["id"]).select("text", "a", "cell", "member", "id", "h")
+        _perhaps(texts, wanted).join(wanted, F.col("doc_id") == F.col("id")).select("text", "a", "cell", "member", "id", "h")
         .mapInArrow(_arrays, _ARRAYS)
     )
     placed = arrays.repartition("a", "cell").sortWithinPartitions("a", "cell", "member")
