@@ -72,7 +72,8 @@ def limit_split(df: DataFrame, limits: dict[str, int], key: str, splits: list[st
     rows = df.filter(F.col("split").isin(limited))
     cuts = cut_keys(rows, key, lambda total, by: _cut_names(limits), by=["split"])
     kept = rows.join(F.broadcast(cuts), "split").filter(F.col(key) <= F.col("_cut")).drop("_cut")
-    return kept.unionByName(df.filter(~F.col("split").isin(limited)))
+    free = ~F.coalesce(F.col("split").isin(limited), F.lit(False))  # rows without a split have no limit
+    return kept.unionByName(df.filter(free))
 
 
 def limit_split_stream(df: DataFrame, limits: dict[str, int], key: str, splits: list[str]) -> DataFrame:

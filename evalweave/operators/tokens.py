@@ -54,8 +54,8 @@ def encode_words(df: DataFrame, key: str, words_col: str, vocab: DataFrame, out:
     """Word arrays to id arrays (unknown words get UNK), as a table `key`, `out`.
 
     The join has no hint: Spark broadcasts a vocabulary below its size limit and
-    otherwise joins by word and splits frequent words. Rows without words keep
-    an empty array.
+    otherwise joins by word and splits frequent words. Rows without words, or with
+    NULL words, keep an empty array.
     """
     long = df.select(key, F.posexplode(words_col).alias("pos", "word"))
     ids = (
@@ -65,7 +65,7 @@ def encode_words(df: DataFrame, key: str, words_col: str, vocab: DataFrame, out:
         .select(key, F.col("_s.id").alias(out))
     )
     empty = F.array().cast("array<int>")
-    none = df.filter(F.size(words_col) == 0).select(key, empty.alias(out))
+    none = df.filter(F.coalesce(F.size(words_col), F.lit(0)) <= 0).select(key, empty.alias(out))
     return ids.unionByName(none)
 
 

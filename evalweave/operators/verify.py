@@ -22,13 +22,7 @@ SUBSTITUTE = "substitute"
 MATCH_MODES = (EXACT, SUBSTITUTE)
 
 MESSAGE = st.StructType([st.StructField("severity", st.StringType()), st.StructField("data", st.StringType())])
-RESPONSE = st.StructType(
-    [
-        st.StructField("messages", st.ArrayType(MESSAGE)),
-        st.StructField("sorries", st.ArrayType(st.StringType())),
-        st.StructField("_corrupt", st.StringType()),
-    ]
-)
+BAD_ANSWER = "json.decoder.JSONDecodeError"
 
 
 def with_canonical(df: DataFrame, text: str, out: str, statement_only: bool) -> DataFrame:
@@ -221,31 +215,54 @@ def route_counts(routed: DataFrame) -> DataFrame:
 def parse_verdict(df: DataFrame, raw: str) -> DataFrame:
     """Turn the checker's raw JSON answer into a verdict.
 
-    Bad JSON (or NULL) fails with a system error instead of failing the job.
+    An answer that is no JSON object, or whose parts have another shape than a checker
+    gives, fails with a system error instead of failing the job; it never passes:
+    `messages` that is there but no list, a message without `severity`, and, where the
+    proof would otherwise be complete, a warning whose `data` is no text.
     """
-    r = F.col("_r")
+    whole = F.try_parse_json(F.col(raw))
+    messages = F.try_variant_get(F.col("_v"), "$.messages", "array<variant>")
+    sorries = F.try_variant_get(F.col("_v"), "$.sorries", "array<string>")
+    no_message = F.array().cast(st.ArrayType(MESSAGE))
+
+    def message(m: Column) -> Column:
+        data = F.try_variant_get(m, "$.data", "variant")
+        return F.struct(
+            F.try_variant_get(m, "$.severity", "string").alias("severity"),
+            F.try_variant_get(m, "$.data", "string").alias("data"),
+            F.try_variant_get(m, "$.severity", "variant").isNull().alias("_open"),
+            F.coalesce(F.schema_of_variant(data) != "STRING", F.lit(True)).alias("_odd"),
+        )
 
     def of(severity: str) -> Column:
-        return F.filter(F.coalesce(r["messages"], F.array().cast(st.ArrayType(MESSAGE))), lambda m: m["severity"] == severity)
+        wanted = F.filter("_m", lambda m: m["severity"] == severity)
+        return F.coalesce(F.transform(wanted, lambda m: F.struct(m["severity"].alias("severity"), m["data"].alias("data"))), no_message)
 
     def spoils(m: Column) -> Column:
-        return F.coalesce(T.has(m["data"], "declaration uses 'sorry'") | T.has(m["data"], "failed"), F.lit(False))
+        return T.has(m["data"], "declaration uses 'sorry'") | T.has(m["data"], "failed")
 
-    bad = r.isNull() | r["_corrupt"].isNotNull()
-    parsed = F.from_json(F.col(raw), RESPONSE, {"columnNameOfCorruptRecord": "_corrupt"})
+    listed = F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False)) & (
+        F.try_variant_get(F.col("_v"), "$.messages", "variant").isNull() | F.col("_m").isNotNull()
+    )
+    shaped = listed & ~F.coalesce(F.exists("_m", lambda m: m["_open"]), F.lit(False))
+    clean = (F.size(of("error")) == 0) & (F.size("_s") == 0)
+    # Warnings are looked at in order, up to the first that settles the matter.
+    first = F.get(F.filter("_m", lambda m: (m["severity"] == "warning") & (m["_odd"] | F.coalesce(spoils(m), F.lit(False)))), 0)
+    ok = F.col("_ok")
     return (
-        df.withColumn("_r", parsed)
-        .withColumn("system_errors", F.when(bad, F.lit("json.decoder.JSONDecodeError")))
-        .withColumn("errors", F.when(~bad, of("error")))
-        .withColumn("warnings", F.when(~bad, of("warning")))
-        .withColumn("infos", F.when(~bad, of("info")))
-        .withColumn("sorries", F.when(~bad, F.coalesce(r["sorries"], F.array().cast("array<string>"))))
-        .withColumn("pass", F.coalesce(F.size("errors") == 0, F.lit(False)) & ~bad)
-        .withColumn(
-            "complete",
-            F.col("pass") & (F.size(F.coalesce("sorries", F.array())) == 0) & ~F.coalesce(F.exists("warnings", spoils), F.lit(False)),
-        )
-        .drop("_r")
+        df.withColumn("_v", whole)
+        .withColumn("_m", F.transform(messages, message))
+        .withColumn("_s", F.coalesce(sorries, F.array().cast("array<string>")))
+        .withColumn("_first", first)
+        .withColumn("_ok", F.coalesce(shaped & ~(clean & F.coalesce(F.col("_first._odd"), F.lit(False))), F.lit(False)))
+        .withColumn("system_errors", F.when(~ok, F.lit(BAD_ANSWER)))
+        .withColumn("errors", F.when(ok, of("error")))
+        .withColumn("warnings", F.when(ok, of("warning")))
+        .withColumn("infos", F.when(ok, of("info")))
+        .withColumn("sorries", F.when(ok, F.col("_s")))
+        .withColumn("pass", ok & F.coalesce(F.size("errors") == 0, F.lit(False)))
+        .withColumn("complete", F.col("pass") & (F.size("_s") == 0) & F.col("_first").isNull())
+        .drop("_v", "_m", "_s", "_first", "_ok")
     )
 
 

@@ -65,7 +65,16 @@ FROM (SELECT *, concat('theorem thm_', i, ' (n : Nat) : n + ', i, ' = ', i, ' +
 
 VERDICTS = f"""
 SELECT doc_id, doc_id % {_PROBLEM_COUNT} AS dataset_index,
-  CAST(floor(doc_id / {_PROBLEM_COUNT}) AS BIGINT) AS sample_id, CASE doc_id % 7
+  CAST(floor(doc_id / {_PROBLEM_COUNT}) AS BIGINT) AS sample_id, CASE doc_id % 17
+  WHEN 7 THEN '{{"messages":null}}'
+  WHEN 8 THEN '{{"messages":[{{"data":"no severity"}}]}}'
+  WHEN 9 THEN '{{"messages":[{{"severity":"warning","data":null}}]}}'
+  WHEN 10 THEN '{{"messages":[{{"severity":"warning","data":5}}]}}'
+  WHEN 11 THEN '[{{"env":0}}]'
+  WHEN 12 THEN '{{"sorries":null,"messages":[{{"severity":"error","data":"e"}},{{"severity":"warning"}}]}}'
+  WHEN 13 THEN '{{"messages":[{{"severity":"warning","data":"failed"}},{{"severity":"warning","data":7}}]}}'
+  WHEN 14 THEN '{{"messages":{{"severity":"info"}}}}'
+  WHEN 15 THEN 'null'
   WHEN 2 THEN '{{"messages":[{{"severity":"error","data":"unsolved goals"}}]}}'
   WHEN 3 THEN '{{"messages":[{{"severity":"warning","data":"declaration uses ''sorry''"}}]}}'
   WHEN 4 THEN '{{"messages":[{{"severity":"warning","data":"linter failed"}},{{"severity":"info","data":"x"}}]}}'

@@ -10,6 +10,7 @@ from evalweave.operators import tasks as TK
 from evalweave.plans import duck as D
 from evalweave.plans import inputs as I
 from evalweave.plans.registry import query
+from evalweave.plans.verification import VERDICT_CTES
 from evalweave.sources import readers as RD
 from evalweave.sources import sinks as W
 from evalweave.sources.scratch import scratch_dir
@@ -528,11 +529,11 @@ def sink_summary(spark, sf):
     return spark.read.schema(out.schema).json(path)
 
 
-@query("sink_verified", D.ctes(r=I.VERDICTS) + "SELECT doc_id, coalesce(json_valid(raw_json) AND NOT contains(raw_json, '\"error\"'), false) AS pass FROM r")
+@query("sink_verified", D.ctes(**VERDICT_CTES) + "SELECT doc_id, pass, complete, system_errors FROM verdicts")
 def sink_verified(spark, sf):
-    """Verdicts written beside their input file and read back."""
+    """Verdicts written beside their input file and read back by the reader of records."""
     from evalweave.operators import verify as V
 
     rows = V.parse_verdict(I.verdicts(spark, sf), "raw_json").select("doc_id", "pass", "complete", "system_errors")
     path = W.write_verified(rows, f"{scratch_dir(spark)}/samples.jsonl")
-    return spark.read.schema("doc_id BIGINT, pass BOOLEAN").json(path)
+    return RD.json_records(spark, path, "doc_id BIGINT, pass BOOLEAN, complete BOOLEAN, system_errors STRING")

@@ -169,12 +169,20 @@ def _of(severity: str) -> str:
     return f"list_filter(msgs, lambda m: json_extract_string(m, '$.severity') = '{severity}')"
 
 
+_ODD = "coalesce(json_type(m, '$.data'), 'NULL') <> 'VARCHAR'"
+_SPOILS = "contains(json_extract_string(m, '$.data'), 'declaration uses ''sorry''') OR contains(json_extract_string(m, '$.data'), 'failed')"
+
 VERDICT_CTES = {
     "raw_verdicts": I.VERDICTS,
-    "valid": f"SELECT *, json_valid(raw_json) AS ok, CASE WHEN json_valid(raw_json) THEN {_MESSAGES} END AS msgs, "
-    "CASE WHEN json_valid(raw_json) THEN coalesce(json_array_length(raw_json, '$.sorries'), 0) END AS n_sorries FROM raw_verdicts",
+    "objects": "SELECT *, CASE WHEN json_valid(raw_json) THEN json_type(raw_json) = 'OBJECT' ELSE false END AS is_object FROM raw_verdicts",
+    "listed": "SELECT *, CASE WHEN is_object THEN coalesce(json_type(raw_json, '$.messages'), 'ARRAY') = 'ARRAY' ELSE false END AS is_listed FROM objects",
+    "valid": f"SELECT *, CASE WHEN is_listed THEN {_MESSAGES} ELSE {_NO_MSG} END AS msgs, "
+    "CASE WHEN is_listed THEN coalesce(json_array_length(raw_json, '$.sorries'), 0) ELSE 0 END AS n_sorries FROM listed",
+    "opened": f"SELECT *, list_filter({_of('warning')}, lambda m: {_ODD} OR {_SPOILS}) AS telling FROM valid",
+    "judged": "SELECT *, is_listed AND len(list_filter(msgs, lambda m: json_type(m, '$.severity') IS NULL)) = 0 "
+    f"AND NOT (len({_of('error')}) = 0 AND n_sorries = 0 AND len(list_filter(telling[1:1], lambda m: {_ODD})) > 0) AS ok FROM opened",
     "counted": f"SELECT *, len({_of('error')}) AS n_errors, len({_of('warning')}) AS n_warnings, len({_of('info')}) AS n_infos, "
-    f"len(list_filter({_of('warning')}, lambda m: contains(json_extract_string(m, '$.data'), 'declaration uses ''sorry''') OR contains(json_extract_string(m, '$.data'), 'failed'))) AS n_spoil FROM valid",
+    "len(telling) AS n_spoil FROM judged",
     "verdicts": "SELECT *, coalesce(ok AND n_errors = 0, false) AS pass, coalesce(ok AND n_errors = 0 AND n_sorries = 0 AND n_spoil = 0, false) AS complete, "
     "CASE WHEN NOT ok THEN 'json.decoder.JSONDecodeError' END AS system_errors FROM counted",
 }
@@ -186,7 +194,8 @@ def _verdicts(spark, sf):
 
 @query(
     "parse_verdict",
-    D.ctes(**VERDICT_CTES) + "SELECT doc_id, pass, complete, system_errors, n_errors, n_warnings, n_infos, CAST(n_sorries AS BIGINT) AS n_sorries FROM verdicts",
+    D.ctes(**VERDICT_CTES) + "SELECT doc_id, pass, complete, system_errors, CASE WHEN ok THEN n_errors END AS n_errors, CASE WHEN ok THEN n_warnings END AS n_warnings, "
+    "CASE WHEN ok THEN n_infos END AS n_infos, CASE WHEN ok THEN CAST(n_sorries AS BIGINT) END AS n_sorries FROM verdicts",
 )
 def parse_verdict(spark, sf):
     sizes = [F.size(c).cast("bigint").alias(f"n_{c}") for c in ("errors", "warnings", "infos", "sorries")]

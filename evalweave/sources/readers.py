@@ -15,13 +15,18 @@ CORRUPT = "_corrupt"
 
 
 def json_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """`.jsonl` holds one record per line; any other file is one JSON array.
+    """Records of JSON lines, or of files that each are one JSON array.
 
+    The name does not tell them apart (verified records are lines under a `.json`
+    name): an array starts with `[`, so the first line that is not blank decides.
     Lines split over tasks; an array file is read by one task per file, so keep
     large data in lines.
     """
     reader = spark.read.schema(schema)
-    return reader.json(path) if path.endswith(".jsonl") else reader.option("multiLine", True).json(path)
+    if path.endswith(".jsonl"):
+        return reader.json(path)
+    first = spark.read.text(path).select(F.ltrim("value").alias("value")).filter("value <> ''").select(F.left("value", F.lit(1))).first()
+    return reader.option("multiLine", first is not None and first[0] == "[").json(path)
 
 
 def json_tolerant(spark: SparkSession, paths: str | list[str], expected_n: int, schema: str = RECORD) -> DataFrame:

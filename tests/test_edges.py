@@ -479,3 +479,41 @@ def test_no_completion_ended(spark):
 def test_flops_without_sizes(spark):
     df = spark.createDataFrame([(1, 2, 3)], "batch_size int, query_len int, kv_len int")
     assert M.forward_flops(df, M.ModelDims()).first()["total_flops"] == 0.0
+
+
+# ---- answers, NULLs and files that must not be taken for good ones --------------------
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        '{"messages": null}', '{"messages": 3}', '{"messages": [null]}', '{"messages": [{"data": "x"}]}', "[]", '[{"env": 0}]', "null", "5", "",
+        '{"messages": [{"severity": "warning"}]}', '{"messages": [{"severity": "warning", "data": null}]}', '{"messages": [{"severity": "warning", "data": 5}]}',
+    ],
+)
+def test_malformed_answers_never_pass(spark, raw):
+    got = V.parse_verdict(spark.createDataFrame([(raw,)], "r string"), "r").first()
+    assert (got["pass"], got["complete"]) == (False, False) and got["system_errors"] is not None
+
+
+def test_first_telling_warning_decides(spark):
+    spoiled = '{"messages": [{"severity": "warning", "data": "failed"}, {"severity": "warning", "data": 7}]}'
+    failed = '{"sorries": null, "messages": [{"severity": "error", "data": "e"}, {"severity": "warning"}]}'
+    got = V.parse_verdict(spark.createDataFrame([(0, spoiled), (1, failed)], "i int, r string"), "r").orderBy("i").collect()
+    assert [(r["pass"], r["complete"], r["system_errors"]) for r in got] == [(True, False, None), (False, False, None)]
+
+
+def test_rows_without_words_or_split_stay(spark):
+    words = spark.createDataFrame([(1, ["a"]), (2, None), (3, [])], "k long, w array<string>")
+    vocab = spark.createDataFrame([("a", 9)], "word string, id int")
+    assert sorted((r["k"], r["input_ids"]) for r in K.encode_words(words, "k", "w", vocab).collect()) == [(1, [9]), (2, []), (3, [])]
+    rows = spark.createDataFrame([(1, "train"), (2, None), (3, "train"), (4, "test")], "k long, split string")
+    got = L.limit_split(rows, {"train": 1}, "k", ["train", "test"])
+    assert sorted(r["k"] for r in got.collect()) == [1, 2, 4]
+
+
+def test_verified_records_read_back_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2 == 0, None if i else "x") for i in range(5)], "doc_id long, pass boolean, system_errors string")
+    path = W.write_verified(rows.repartition(3), str(tmp_path / "s.jsonl"))
+    back = RD.json_records(spark, path, "doc_id long, pass boolean, system_errors string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
