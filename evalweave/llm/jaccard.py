@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.components import components
+from evalweave.llm.components import components, extended, tasks_for
 from evalweave.llm.words import chunks, shingle_sets
 from evalweave.sources.scratch import materialize
 
@@ -209,16 +209,17 @@ def _bitmaps(s: str, t: str, n: str, m: str) -> Column:
     return 9 * differ <= F.col(n) + F.col(m)
 
 
-def _open(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
+def _open(tiles: DataFrame, names: DataFrame) -> tuple[DataFrame, float]:
     """Rows of shingles whose sets lie in several components, and the mean size of their groups."""
-    placed = tiles.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = materialize(placed.select("token", "id", "n", "pos", "hub", "root"))
+    k = tasks_for(tiles.count())
+    placed = tiles.join(names, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = materialize(placed.select("token", "id", "n", "pos", "hub", "root").coalesce(k))
     mixed = materialize(
         placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
-        .filter("lo <> hi and c > 2").select("token", "c")
+        .filter("lo <> hi and c > 2").select("token", "c").coalesce(k)
     )
     load = mixed.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0
-    return materialize(placed.join(mixed, "token", "left_semi")), load
+    return materialize(placed.join(mixed, "token", "left_semi").coalesce(k)), load
 
 
 def _ordered(rows: DataFrame, other: str, size: str) -> DataFrame:
@@ -242,10 +243,12 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in seen.select("token").collect()], dtype=np.int64))
 
 
-def _cells(near: DataFrame) -> DataFrame:
+def _cells(near: DataFrame, k: int) -> DataFrame:
     """Pairs as (a, cell, b), a being the end with more pairs; its pairs lie in cells of about CELL."""
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    pairs = near.join(ends.withColumnsRenamed({"id": "a", "c": "c_a"}), "a").join(ends.withColumnsRenamed({"id": "b", "c": "c_b"}), "b")
+    ends = materialize(ends.coalesce(k))
+    pairs = near.join(ends.withColumnsRenamed({"id": "a", "c": "c_a"}), "a").coalesce(k)
+    pairs = pairs.join(ends.withColumnsRenamed({"id": "b", "c": "c_b"}), "b").coalesce(k)
     swap = F.col("c_b") > F.col("c_a")
     most = F.greatest("c_a", "c_b")
     pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), most.alias("c"))
@@ -268,19 +271,23 @@ def _perhaps(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, n_a, n_b) that pass both bitmap bounds and the exact test, as (a, b)."""
 
-    def beside(rows: DataFrame, column: str) -> DataFrame:
-        narrow = nodes.select("id", column)
-        return rows.join(narrow.withColumnsRenamed({"id": "a", column: f"{column}_a"}), "a").join(
-            narrow.withColumnsRenamed({"id": "b", column: f"{column}_b"}), "b"
-        )
+    size = nodes.count()
 
-    near = beside(pairs, "sig").filter(_bitmaps("sig_a", "sig_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b")
-    near = beside(materialize(near), "wide").mapInArrow(_wide_bound, "a bigint, b bigint")
-    cells = _cells(materialize(near.distinct()))
+    def beside(rows: DataFrame, column: str, k: int) -> DataFrame:
+        narrow = nodes.select("id", column)
+        left = rows.join(narrow.withColumnsRenamed({"id": "a", column: f"{column}_a"}), "a").coalesce(k)
+        return left.join(narrow.withColumnsRenamed({"id": "b", column: f"{column}_b"}), "b").coalesce(k)
+
+    pairs = materialize(pairs)
+    near = beside(pairs, "sig", tasks_for(4 * max(size, pairs.count()))).filter(_bitmaps("sig_a", "sig_b", "n_a", "n_b"))
+    near = materialize(near.select("a", "b", "n_a", "n_b"))
+    k = tasks_for(4 * max(size, near.count()))
+    near = materialize(beside(near, "wide", k).mapInArrow(_wide_bound, "a bigint, b bigint").distinct().coalesce(k))
+    cells = materialize(_cells(near, k))
     wanted = materialize(
         cells.select("a", "cell", F.lit(False).alias("member"), F.col("a").alias("id")).distinct()
         .union(cells.select("a", "cell", F.lit(True), "b"))
-        .join(nodes.select("id", "h"), "id")
+        .join(nodes.select("id", "h"), "id").coalesce(k)
     )
     arrays = (
         _perhaps(texts, wanted).join(wanted, F.col("doc_id") == F.col("id")).select("text", "a", "cell", "member", "id", "h")
@@ -290,20 +297,22 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(placed.mapInArrow(_verified, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, nodes, links) of a table with doc_id and text.
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, nodes, links, names) of a table with doc_id and text.
 
     `sets` has doc_id, n (set size) and h (set hash) of every row; `nodes` one row per
     distinct non-empty set: id (its smallest doc_id), n, h; `links` pairs of node ids
-    whose components are the components of all links.
+    whose components are the components of all links; `names` has id and root of every
+    node in them.
     """
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     sets = materialize(texts.mapInArrow(_sets(_frequent(texts)), _SETS))
     ids = sets.filter("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("id"))
-    members = materialize(sets.filter("n > 0").select("doc_id", "h", "n").join(ids, ["h", "n"]))
+    k = tasks_for(4 * sets.count())
+    members = materialize(sets.filter("n > 0").select("doc_id", "h", "n").join(ids, ["h", "n"]).coalesce(k))
     gone = members.filter("doc_id <> id OR doc_id IS NULL").select("doc_id", "h", "n").distinct()
     own = sets.filter("n > 0 AND doc_id IS NOT NULL").join(gone, ["doc_id", "h", "n"], "left_anti").withColumnRenamed("doc_id", "id")
-    nodes = materialize(own.select("id", "n", "h", "sig", "wide").dropDuplicates(["id", "h", "n"]))
+    nodes = materialize(own.select("id", "n", "h", "sig", "wide").dropDuplicates(["id", "h", "n"]).coalesce(k))
 
     # One order of sets for all shingles: the sets of a group of near copies meet the same head.
     rows = own.select("n", "id", F.posexplode("prefix").alias("pos", "token"))
@@ -312,21 +321,24 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         rows.repartitionByRange("token", key).sortWithinPartitions("token", key).select("token", "id", "n", "pos")
         .mapInArrow(_tiles, "token bigint, id bigint, n bigint, pos int, hub bigint, hub_n bigint")
     )
-    heads = tiles.select("token", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct()
+    k = tasks_for(tiles.count())
+    heads = materialize(tiles.select("token", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct().coalesce(k))
     top = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("top")).filter("c > 1")
     over = heads.join(top, "token").select("id", "n", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"))
     star = tiles.select("id", "n", "hub", "hub_n").union(over).filter("id <> hub").filter(_band("n", "hub_n"))
-    links = _links(_ordered(star, "hub", "hub_n"), nodes, texts)
+    links = _links(_ordered(star, "hub", "hub_n").coalesce(k), nodes, texts)
+    names = components(links, tasks_for(links.count()))
 
     # What the heads did not connect: shingles that still join two components. Where their
     # groups are large, each set is compared with a random one of each of its shingles first.
-    open_rows, load = _open(tiles, links)
+    open_rows, load = _open(tiles, names)
     if load > CROWD:
         pick = F.min(F.struct(F.xxhash64("id", "token").alias("k"), F.col("id").alias("o"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("pick")
         drawn = open_rows.groupBy("token").agg(pick).select("token", "pick.*")
         met = open_rows.join(drawn, "token").filter("root <> r").filter(_band("n", "m"))
-        links = materialize(links.union(_links(_ordered(met, "o", "m"), nodes, texts)))
-        open_rows, _ = _open(tiles, links)
+        more = _links(_ordered(met, "o", "m").coalesce(k), nodes, texts)
+        links, names = links.union(more), extended(names, more)
+        open_rows, _ = _open(tiles, names)
     # Then all pairs that remain, where the bitmaps allow it.
     # The smaller set of a linked pair shows a common shingle in its first ninth already.
     marked = open_rows.join(nodes.select("id", "sig").dropDuplicates(["id"]), "id")
@@ -338,7 +350,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         & _band("x.n", "y.n") & (F.col("x.hub") != F.col("y.id")) & (F.col("y.hub") != F.col("x.id"))
         & _bitmaps("x.sig", "y.sig", "x.n", "y.n"),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
-    return sets.select("doc_id", "n", "h"), nodes.select("id", "n", "h"), links.union(_links(rest, nodes, texts))
+    last = _links(rest, nodes, texts)
+    return sets.select("doc_id", "n", "h"), nodes.select("id", "n", "h"), links.union(last), extended(names, last)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -350,8 +363,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id stays NULL; an empty table gives an empty result; columns other than doc_id
     and text are ignored.
     """
-    sets, nodes, links = jaccard_links(docs)
-    named = nodes.join(components(links), "id", "left").select("h", "n", F.coalesce("root", "id").alias("component_id"))
+    sets, nodes, _, names = jaccard_links(docs)
+    named = nodes.join(names, "id", "left").select("h", "n", F.coalesce("root", "id").alias("component_id"))
     full = sets.filter("n > 0").join(named, ["h", "n"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
     none = sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -215,3 +215,16 @@ def test_pipeline(spark, tmp_path):
     roots = {c for _, c in brute_components(plain.items()).values()}
     assert {r.doc_id for r in out} <= set(plain) and len(out) <= len(roots)
     assert len({hashlib.sha256(str(r.ids).encode()).digest() for r in out}) >= len(out) - 2
+
+
+def test_components_of_chains_stars_and_further_links(spark):
+    from evalweave.llm.components import components, extended
+
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(1000, 1000 + i) for i in range(1, 50)]
+    first = components(spark.createDataFrame(chain + star + star, "a long, b long"))
+    assert {(r["id"], r["root"]) for r in first.collect()} == {(i, 0) for i in range(301)} | {(1000 + i, 1000) for i in range(50)}
+    more = extended(first, spark.createDataFrame([(300, 1049), (5000, 4999), (7, 7)], "a long, b long"))
+    assert sorted((r["id"], r["root"]) for r in more.collect()) == sorted([(i, 0) for i in [*range(301), *range(1000, 1050)]] + [(4999, 4999), (5000, 4999)])
+    none = components(spark.createDataFrame([], "a long, b long"))
+    assert none.count() == 0 and extended(none, spark.createDataFrame([(2, 1)], "a long, b long")).count() == 2
