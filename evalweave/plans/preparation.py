@@ -161,9 +161,9 @@ def src_mixture(spark, sf):
     )
 
 
-@query("src_all_configs", "SELECT concat('by_', lang) AS config, doc_id, md5(text) AS text_md5 FROM documents WHERE lang IN ('en', 'fr', 'de')")
+@query("src_all_configs", "SELECT concat('by_', lang) AS config, doc_id, md5(text) AS text_md5 FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
 def src_all_configs(spark, sf):
-    configs = {f"by_{c}": (lambda c=c: docs(spark, sf).filter(F.col("lang") == c)) for c in ("en", "fr", "de")}
+    configs = {f"by_{c}": (lambda c=c: docs(spark, sf).filter(F.col("lang") == c)) for c in ("en", "fr", "de", "es")}
     return X.load_all_configs(configs).select("config", "doc_id", F.md5("text").alias("text_md5"))
 
 

@@ -9,12 +9,15 @@ from evalweave.operators.merge import complete_records, merge_rank_outputs
 from evalweave.sources.readers import CORRUPT, RECORD, file_name
 
 
-def sample_stream(spark: SparkSession, folder: str, expected_n: int, schema: str = RECORD) -> DataFrame:
-    """Complete records from JSON-lines files as they appear in a folder."""
+def sample_stream(spark: SparkSession, folder: str, expected_n: int, schema: str = RECORD, files_per_batch: int = 1000) -> DataFrame:
+    """Complete records from JSON-lines files as they appear in a folder.
+
+    `files_per_batch` bounds the files of one micro-batch; the rest come in the next ones.
+    """
     rows = (
         spark.readStream.schema(f"{schema}, {CORRUPT} STRING")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", 1000)
+        .option("maxFilesPerTrigger", files_per_batch)
         .json(folder)
         .withColumn("source_file", file_name())
     )
