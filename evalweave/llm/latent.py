@@ -2,19 +2,20 @@
 
 Words are lower-cased runs of letters and digits (bytes above 7F count as letters). The vocabulary is that of the benchmark
 (the stated query set); corpus words outside it only count as places. An item's answer
-words are a fifth of its distinct words, the rarest in the benchmark.
+words are its rarest words in the benchmark, so many that a copy which covers enough of
+the item always holds a fixed number of them, whichever words it leaves out.
 
-1. One pass over the documents cuts out passages: where enough answer words of an item
+1. One pass over the documents cuts out passages: where that many answer words of an item
    stand close enough to lie in one copy of it, the words around. It also counts in how
    many documents each word of the vocabulary occurs.
 2. Distributed randomised SVD of the TF-IDF matrix of all passages (with the items as
    further rows): each task multiplies its rows with the current basis and adds up its
    part of the product; parts are summed by term. The driver only holds matrices of
    vocabulary x rank.
-3. Passages and items are compared by cosine in the latent space. Pairs over a threshold
-   are candidates; a candidate stands if its longest common subsequence covers enough of
-   the item and enough answer words are in it. That also finds paraphrases that insert,
-   drop or swap words.
+3. Passages and items are compared by cosine in the latent space. A passage and the item
+   it was cut for, and pairs over a threshold, are candidates; a candidate stands if its
+   longest common subsequence covers enough of the item. That also finds paraphrases that
+   insert, drop or swap words. Neither the cut nor the cosine loses such a pair.
 
 Items are taken in blocks of bounded size against all documents.
 """
@@ -36,21 +37,28 @@ RANK = 96
 ROUNDS = 2  # products with the matrix before the basis is used
 COSINE = 0.45  # in the latent space, for a candidate
 COVER = 0.7  # of an item's words in the longest common subsequence
-ANSWERS = 5  # one answer word for so many distinct words
-HALF = 0.5  # of the answer words that a passage must hold
+ANSWERS = 5  # of so many words of an item, one answer word is in every copy
 LEAST_WORDS = 5  # shorter items must occur whole
 STRETCH = 1.5  # length of a paraphrase, in lengths of the item, at most
 ITEMS = 4096  # items of a block
 
 
+def least_cover(n: int) -> int:
+    """Words of an item of n that a match must hold in order."""
+    return n if n < LEAST_WORDS else int(np.ceil(n * COVER))
+
+
 @dataclass
 class Items:
-    """A block of items: ids, word lists as vocabulary indices, and their answer words."""
+    """A block of items: ids, word lists as vocabulary indices, their answer words, and how
+    many of those any passage holds that covers the item.
+    """
 
     ids: np.ndarray
     vocabulary: np.ndarray  # sorted word hashes
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    need: np.ndarray
 
     @staticmethod
     def read(ids: np.ndarray, texts: list[str]) -> Items:
@@ -63,18 +71,18 @@ class Items:
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
         words = [np.searchsorted(vocabulary, h) for h in hashes]
         spread = np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(w) for w in words)]), minlength=len(vocabulary))
-        answers = []
+        answers, need = [], []
         for w in words:
-            own, first = np.unique(w, return_index=True)
-            order = np.lexsort((first, spread[own]))
-            answers.append(own[order[: max(1, round(len(own) / ANSWERS))]])
-        return Items(ids, vocabulary, words, answers)
-
-    def need(self) -> np.ndarray:
-        return np.array([max(1, int(np.ceil(len(a) * HALF))) for a in self.answers])
+            own, times = np.unique(w, return_counts=True)
+            order = np.lexsort((own, spread[own]))  # ties by hash: spread over the item
+            missing = len(w) - least_cover(len(w))  # words that a match may lack
+            n = int(np.searchsorted(np.cumsum(times[order]), min(missing + max(1, round(len(w) / ANSWERS)), len(w)))) + 1
+            answers.append(own[order[:n]])
+            need.append(n - int(np.searchsorted(np.cumsum(np.sort(times[order[:n]])), missing, side="right")))
+        return Items(ids, vocabulary, words, answers, np.array(need, dtype=np.int64))
 
     def cover(self) -> np.ndarray:
-        return np.array([len(w) if len(w) < LEAST_WORDS else int(np.ceil(len(w) * COVER)) for w in self.words])
+        return np.array([least_cover(len(w)) for w in self.words])
 
 
 def _ids(words: np.ndarray, vocabulary: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -88,8 +96,9 @@ def _ids(words: np.ndarray, vocabulary: np.ndarray, first: np.ndarray) -> np.nda
 
 
 def _passages(items: Items):
-    """(doc_id, start, words): passages. Rows with doc_id NULL: start is a term and `count`
-    the number of documents of the task that hold it; start -1 counts all documents.
+    """(doc_id, start, item, words): passages and the place of the item they are cut for.
+    Rows with doc_id NULL: start is a term and `count` the number of documents of the task
+    that hold it; start -1 counts all documents.
     """
     m = len(items.vocabulary)
     first = np.zeros(1 << 16, dtype=bool)
@@ -100,11 +109,13 @@ def _passages(items: Items):
     term, owner = term[order], owner[order]
     answer_at = np.searchsorted(term, np.arange(m + 1))
     is_answer = np.diff(answer_at) > 0
-    need = items.need()
+    need = items.need
     reach = np.array([int(np.ceil(len(w) * STRETCH)) for w in items.words])
 
-    def cut(ids: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, first word, last word + 1) of the passages, overlapping ones of a row joined."""
+    def cut(ids: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, first word, last word + 1, item) of the passages: for every run of `reach` words
+        that holds enough answer words, one that holds the run. Cuts of nearby places are joined.
+        """
         places = np.flatnonzero((ids >= 0) & is_answer[ids])
         if not len(places):
             return
@@ -122,14 +133,16 @@ def _passages(items: Items):
         k, last = k[near], last[near]
         lo = np.maximum(row[of[k]], place[last] - reach[item[k]])
         hi = np.minimum(row[of[k] + 1], place[k] + reach[item[k]] + 1)
-        # Equal cuts of different items are one passage.
-        for doc, a, b in np.unique(np.stack((of[k], lo, hi), axis=1), axis=0).tolist():
-            yield doc, a, b
+        if not len(k):
+            return
+        step = (place[k] - row[of[k]]) // np.maximum(1, reach[item[k]] // 4)
+        begin = np.flatnonzero(np.concatenate(([True], (np.diff(item[k]) != 0) | (np.diff(of[k]) != 0) | (np.diff(step) != 0))))
+        yield from zip(of[k][begin].tolist(), np.minimum.reduceat(lo, begin).tolist(), np.maximum.reduceat(hi, begin).tolist(), item[k][begin].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs = np.zeros(m, dtype=np.int64), 0
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        names = ["doc_id", "start", "count", "words"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "start", "count", "item", "words"]
         for batch in batches:
             for lo, _, body, at in chunks(batch.column(1)):
                 words, row = word_hashes(body, at, LETTERS_DIGITS, latin=True)
@@ -144,14 +157,14 @@ def _passages(items: Items):
                         [
                             batch.column(0).take(pa.array([lo + f[0] for f in found], pa.int64())),
                             pa.array([f[1] - row[f[0]] for f in found], kinds[1]), pa.nulls(len(found), kinds[2]),
-                            pa.array([ids[f[1] : f[2]] for f in found], kinds[3]),
+                            pa.array([f[3] for f in found], kinds[3]), pa.array([ids[f[1] : f[2]] for f in found], kinds[4]),
                         ],
                         names=names,
                     )
         count = np.append(held, docs)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), kinds[0]), pa.array(np.where(some == m, -1, some), kinds[1]), pa.array(count[some], kinds[2]), pa.nulls(len(some), kinds[3])],
+            [pa.nulls(len(some), kinds[0]), pa.array(np.where(some == m, -1, some), kinds[1]), pa.array(count[some], kinds[2]), pa.nulls(len(some), kinds[3]), pa.nulls(len(some), kinds[4])],
             names=names,
         )
 
@@ -247,14 +260,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _matches(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
     latent = _unit(_times(*_matrix(items.words, idf), basis, len(items.words)))
-    need, cover = items.need(), items.cover()
+    need, cover = items.need, items.cover()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, start, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for lo, lists in _lists(batch.column(2)):
+            own = batch.column(2).to_numpy()
+            for lo, lists in _lists(batch.column(3)):
                 found = _unit(_times(*_matrix(lists, idf), basis, len(lists))) @ latent.T
-                for p, i in zip(*np.nonzero(found >= cosine), strict=True):
+                wanted = found >= cosine
+                wanted[np.arange(len(lists)), own[lo : lo + len(lists)]] = True  # cut for this item, whatever the cosine
+                for p, i in zip(*np.nonzero(wanted), strict=True):
                     passage = lists[p]
                     if np.isin(items.answers[i], passage).sum() >= need[i]:
                         common = lcs(items.words[i], passage)
@@ -284,11 +300,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
         items = Items.read(some["item_id"].to_numpy(), some["text"].tolist())
         if not len(items.ids):
             continue
-        seen = materialize(texts.mapInArrow(_passages(items), "doc_id bigint, start bigint, count bigint, words array<int>"))
+        seen = materialize(texts.mapInArrow(_passages(items), "doc_id bigint, start bigint, count bigint, item bigint, words array<int>"))
         counts = dict(seen.filter("doc_id IS NULL").groupBy("start").agg(F.sum("count")).collect())  # a row a term
         held = np.array([counts.get(t, 0) for t in range(len(items.vocabulary))])
         idf = np.log((1 + counts.get(-1, 0)) / (1 + held)) + 0.1
-        passages = seen.filter("doc_id IS NOT NULL").select("doc_id", "start", "words")
+        passages = seen.filter("doc_id IS NOT NULL").select("doc_id", "start", "item", "words")
         basis = fit_basis(passages, items, idf)
         out = out.union(passages.mapInArrow(_matches(items, idf, basis, cosine), out.schema))
     best = F.max(F.struct("common", -F.col("start"), "words", "cosine")).alias("b")

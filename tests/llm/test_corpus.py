@@ -3,6 +3,7 @@ repeated rows, empty tables, extra columns with clashing names.
 """
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -145,6 +146,23 @@ def test_leaks(spark, docs, none):
     assert latent.leaks(none, bench).count() == 0 and latent.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_parts(spark):
+    """Heads, middles, tails and scattered words of an item, from 72 to 90 % of it."""
+    items = [[f"own{i}x{k}" if k % 4 else f"common{k % 8}" for k in range(25 + 5 * i)] for i in range(6)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    rows, want = [], set()
+    for i, w in enumerate(items):
+        for share in (0.72, 0.8, 0.9):
+            n = math.ceil(share * len(w))
+            parts = [w[:n], w[(len(w) - n) // 2 :][:n], w[-n:], [x for k, x in enumerate(w) if (k + 1) * (len(w) - n) // len(w) == k * (len(w) - n) // len(w)]]
+            for part in parts:
+                want.add((len(rows), i))
+                rows.append((len(rows), f"words before common1 {' '.join(part)} words after common3"))
+        rows.append((len(rows), f"too little {' '.join(w[-(len(w) * 6 // 10) :])} of it"))
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == want
+
+
 def test_lcs():
     import numpy as np
 
