@@ -1,13 +1,18 @@
 """URL verdicts from rules, and from trust and distrust carried over the host graph.
 
 Rules decide the pages they fit. Each host starts with the share of its pages that rules
-allow (trust) and block (distrust). Personalised PageRank carries trust along links from
-host to host; distrust runs along reversed links, to the hosts that point at blocked ones.
-A page without a rule is blocked when its host's distrust reaches a threshold and exceeds
-its trust.
+allow (trust) and block (distrust); a host without pages with that share of the urls that
+link to it, a parent domain without either with the rules of its root. A score keeps its
+start and fills the rest, damped, with what links bring. Trust runs along links, shared out
+among the hosts a host links to. Distrust runs along reversed links, to the hosts that point
+at blocked ones, as the mean over a host's own links, so it does not depend on how many
+others point there. A page without a rule is blocked when its host's distrust reaches a
+threshold and exceeds its trust.
 
 Edges are links between hosts, read from the html, and the tie of a host to its parent
-domain where both occur. Scores and edges are tables; every step is a join and a sum.
+domain; neither end needs pages. Parents are domains of two labels at least, and any that
+occur. All ties of a parent to its hosts weigh as one link, as does each host's to it.
+Scores and edges are tables; every step is a join and a sum.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ DISTRUST = 0.5  # at which a host without a rule is blocked
 #: (host suffix, path start, verdict). Fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+_LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?(//[^/?#"'\s>]+[^?#"'\s>]*)"""
 
 
 def lower_az(column: Column) -> Column:
@@ -52,33 +57,54 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, w): links between hosts that occur, and host <-> parent domain."""
-    found = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))).alias("dst"))
-    links = found.select("src", lower_az(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    up = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst")).filter("src <> dst")
-    family = up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
-    known = hosts.select("host")
-    return (
-        links.union(family).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-        .join(known.withColumnRenamed("host", "src"), "src", "left_semi").join(known.withColumnRenamed("host", "dst"), "dst", "left_semi")
-    )
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, urls) of pages with links: their distinct targets without scheme and query."""
+    urls = F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))
+    return pages.select(F.col("host").alias("src"), urls.alias("urls")).filter("src <> '' AND size(urls) > 0")
+
+
+def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, w): links between hosts, weighed by pages, and host <-> parent domain."""
+    host = lambda u: lower_az(F.regexp_extract(u, "^//([^/]+)", 1))
+    found = links.select("src", F.explode(F.array_distinct(F.transform("urls", host))).alias("dst")).filter("src <> dst")
+    linked = found.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    known = hosts.select("host").union(linked.select("dst")).distinct()
+    up = known.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst")).filter(r"src <> dst AND dst <> '' AND NOT src RLIKE '^[0-9.]+(:[0-9]+)?$'")
+    up = up.join(known.select(F.col("host").alias("dst"), F.lit(True).alias("occurs")), "dst", "left").filter("occurs OR dst LIKE '%_.%'").select("src", "dst")
+    kids = up.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    down = up.join(kids, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("n")).alias("w"))
+    return linked.union(up.withColumn("w", F.lit(1.0))).union(down).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, x): x = (1 - damping) * seed + damping * what links bring; a host that no link
-    reaches keeps its seed, and one without links out keeps what it has.
+def host_seeds(hosts: DataFrame, links: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
+    """(host, good, bad) of every node: from its pages, else from the urls that link to it,
+    else from the rules of its root.
     """
-    out = edges.groupBy("src").agg(F.sum("w").alias("all"))
-    share = materialize(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")))
-    reached = share.select(F.col("dst").alias("host")).distinct().withColumn("reached", F.lit(True))
-    state = materialize(seeds.join(reached, "host", "left").select("host", "seed", F.coalesce("reached", F.lit(False)).alias("reached"), F.col("seed").alias("x")))
-    if not share.limit(1).count():
+    urls = links.select(F.explode("urls").alias("url")).distinct()
+    host, path = url_parts(F.concat(F.lit(":"), F.col("url")))
+    linked = urls.select(host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path")).distinct()
+    roots = edges.select(F.col("dst").alias("host"), F.lit("/").alias("path")).distinct().join(linked.select("host").distinct(), "host", "left_anti")
+    others = linked.union(roots).join(hosts, "host", "left_anti")
+    return hosts.select("host", "good", "bad").union(others.groupBy("host").agg(*shares(rule_of(F.col("host"), F.col("path"), rules)[1])))
+
+
+def shares(ruled: Column) -> tuple[Column, Column]:
+    """Shares of rows that rules allow (good) and block (bad)."""
+    share = lambda v: F.avg(F.when(ruled == v, 1.0).otherwise(0.0))
+    return share("allow").alias("good"), share("block").alias("bad")
+
+
+def propagate(seeds: DataFrame, shares: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+    """(host, x): x = seed + (1 - seed) * damping * sum of p * x over the shares (src, dst, p)
+    that come to it.
+    """
+    state = materialize(seeds.select("host", "seed", F.col("seed").alias("x")))
+    if not shares.limit(1).count():
         return state.select("host", "x")
     for _ in range(steps):
-        comes = state.join(share, state["host"] == share["src"]).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("y"))
-        x = F.when(F.col("reached"), (1 - damping) * F.col("seed") + damping * F.coalesce("y", F.lit(0.0))).otherwise(F.col("seed"))
-        state = materialize(state.join(comes, state["host"] == comes["dst"], "left").select("host", "seed", "reached", x.alias("x")))
+        comes = state.filter("x > 0").join(shares, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("y"))
+        x = F.col("seed") + (1 - F.col("seed")) * damping * F.coalesce("y", F.lit(0.0))
+        state = materialize(state.join(comes, state["host"] == comes["dst"], "left").select("host", "seed", x.alias("x")))
     return state.select("host", "x")
 
 
@@ -95,12 +121,15 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = DISTRUST) -> Da
         pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
         .withColumn("rule", text).withColumn("ruled", verdict)
     )
-    share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
-    hosts = materialize(rows.filter("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
-    edges = materialize(host_edges(rows, hosts))
-    trust = propagate(hosts.select("host", F.col("good").alias("seed")), edges).withColumnRenamed("x", "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = propagate(hosts.select("host", F.col("bad").alias("seed")), back).withColumnRenamed("x", "distrust")
+    hosts = materialize(rows.filter("host <> ''").groupBy("host").agg(*shares(F.col("ruled"))))
+    links = materialize(page_links(rows))
+    edges = materialize(host_edges(links, hosts))
+    seeds = materialize(host_seeds(hosts, links, edges, rules))
+    out = edges.groupBy("src").agg(F.sum("w").alias("all"))
+    share = materialize(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")))
+    trust = propagate(seeds.select("host", F.col("good").alias("seed")), share).withColumnRenamed("x", "trust")
+    back = share.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p")
+    distrust = propagate(seeds.select("host", F.col("bad").alias("seed")), back).withColumnRenamed("x", "distrust")
     scores = trust.join(distrust, "host")
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     judged = rows.drop("html").join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})

@@ -190,6 +190,21 @@ def test_urls(spark):
     assert got[7][:3] == ("bad.net", "", None) and got[9][3] == "allow"
 
 
+def test_urls_over_links(spark):
+    """Blocked hosts without pages, many linkers of one, siblings, protocol-relative links."""
+    bad, relative = '<a class="x" href="https://bad.net/x?q">x</a>', "<A HREF='//worse.NET/'>x</A>"
+    rows = [(1, "http://farm.com/", bad), (2, "http://other.com/a", relative), (3, "http://good.com/", '<a href="http://fine.com/">x</a>' * 3), (4, "http://fine.com/", None)]
+    rows += [(10 + k, f"http://l{k}.info/", bad) for k in range(30)]  # distrust is not split among them
+    rows += [(50 + k, f"http://s{k}.farm2.com/", bad if k else "") for k in range(4)]  # s0 has no link but its siblings
+    rows += [(60, "http://mixed.com/", bad + "".join(f'<a href="http://fine{k}.com/">x</a>' for k in range(5)))]
+    rows += [(70, "http://paths.com/", '<a href="http://a.example.com/de/1">x</a>'), (71, "http://paths2.com/", '<a href="http://b.example.com/fr/1">x</a>')]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    blocked = {i for i, r in got.items() if r.verdict == "block"}
+    assert blocked == {1, 2, 70, *range(10, 40), *range(51, 54)}
+    assert got[51].distrust > got[50].distrust > 0.4  # by its parent, which has no page
+    assert got[60].distrust > 0 and got[4].distrust == 0 and all(r.trust == 0 for r in got.values())
+
+
 def test_html(spark):
     body = "<article><h1>T &amp; x</h1><p>one <b>two<br>three</p><div class='ad'>buy</div><p> four</article>"
     page = "<html><head><title>t</title><script>if(a<b)</script></head><body><nav><ul><li>m</ul></nav>{}<div id=comments>c</div><footer>f</footer>"
