@@ -3,7 +3,8 @@
 A page becomes a small block tree: block elements only, runs of like siblings folded
 into one node. The trees of a host's pages are aligned with one reference page of the
 host by simple tree matching. Aligned nodes with the same text on nearly all pages are
-template; the others are slots. The content is the subtree that holds the bulk of the
+template, and a page loses their blocks only where its text there is the template's; the
+others are slots. The content is the subtree that holds the bulk of the
 varying text, without the elements whose role is boilerplate.
 
 Per host only counts for the nodes of its reference page are kept, and they are summed
@@ -215,29 +216,33 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, seen, same, chars): sums over a batch for the nodes of the reference page."""
+    """(host, path, sum, seen, same, chars): sums over a batch for the nodes of the reference
+    page, `sum` being the hash of its text there.
+    """
     for batch in batches:
-        total: dict[tuple[str, str], list[int]] = {}
+        total: dict[tuple[str, str, int], list[int]] = {}
         rows = batch.to_pydict()
         for host, keys, parents, sums, sizes, rk, rp, rs in zip(*(rows[c] for c in ("host", "keys", "parents", "sums", "sizes", "ref_keys", "ref_parents", "ref_sums")), strict=True):
             ref = Page(rk, rp)
             paths = ref.paths()
             for x, y in align(_tree(ref), tuple(zip(keys, parents, strict=True))):
-                t = total.setdefault((host, paths[x]), [0, 0, 0])
+                t = total.setdefault((host, paths[x], rs[x]), [0, 0, 0])
                 t[0] += 1
                 t[1] += sizes[y] > 0 and rs[x] == sums[y]
                 t[2] += sizes[y] if rs[x] != sums[y] else 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), *(pa.array([v[i] for v in total.values()], pa.int64()) for i in range(3))],
-            names=["host", "path", "seen", "same", "chars"],
+            [*(pa.array([k[i] for k in total], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))), *(pa.array([v[i] for v in total.values()], pa.int64()) for i in range(3))],
+            names=["host", "path", "sum", "seen", "same", "chars"],
         )
 
 
 @lru_cache(maxsize=20_000)
-def wrapper(nodes: tuple[tuple[str, int, int, int], ...]) -> tuple[str, frozenset[str]]:
-    """The content's path and the template paths in it, from (path, seen, same, chars)."""
+def wrapper(nodes: tuple[tuple[str, int, int, int, int], ...]) -> tuple[str, frozenset[tuple[str, int]]]:
+    """The content's path and the template's (path, hash of the text) in it, from
+    (path, sum, seen, same, chars).
+    """
     mass: dict[str, int] = {}
-    for path, _, _, chars in nodes:
+    for path, _, _, _, chars in nodes:
         while path:
             mass[path] = mass.get(path, 0) + chars
             path = path.rpartition("/")[0]
@@ -252,7 +257,7 @@ def wrapper(nodes: tuple[tuple[str, int, int, int], ...]) -> tuple[str, frozense
         if not (holds or leaf_root) or mass[best] < BULK * sum(mass[p] for p in below) or not mass[best]:
             break
         root = best
-    fixed = {p for p, seen, same, _ in nodes if seen >= LEAST_PAGES and same >= CONSTANT * seen and (p + "/").startswith(root + "/")}
+    fixed = {(p, text) for p, text, seen, same, _ in nodes if seen >= LEAST_PAGES and same >= CONSTANT * seen and (p + "/").startswith(root + "/")}
     return root, frozenset(fixed)
 
 
@@ -271,7 +276,8 @@ def main_text(source: str, nodes: tuple = ()) -> str:
             break
     chosen = set(inside) or set(range(len(paths)))
     kept = [(k, t) for k, t in page.blocks if k in chosen]
-    varying = [t for k, t in kept if paths[k] not in fixed]
+    sums, _ = _texts(page)
+    varying = [t for k, t in kept if (paths[k], sums[k]) not in fixed]
     # A host that repeats one page has nothing varying; its text is still content.
     if sum(map(len, varying)) * 2 < sum(len(t) for _, t in kept):
         varying = [t for _, t in kept]
@@ -297,18 +303,18 @@ def extract_main(pages: DataFrame) -> DataFrame:
     )
     counts = (
         skeletons.drop("pick").join(refs, "host")
-        .mapInArrow(_aligned, "host string, path string, seen bigint, same bigint, chars bigint")
-        .groupBy("host", "path").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
+        .mapInArrow(_aligned, "host string, path string, sum bigint, seen bigint, same bigint, chars bigint")
+        .groupBy("host", "path", "sum").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
     )
     # One row a host, with an entry for each node of one page.
-    hosts = materialize(counts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "seen", "same", "chars"))).alias("nodes")))
+    hosts = materialize(counts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "sum", "seen", "same", "chars"))).alias("nodes")))
 
     page_id = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(h or "", tuple((n["path"], n["seen"], n["same"], n["chars"]) for n in nodes or ()))
+                main_text(h or "", tuple((n["path"], n["sum"], n["seen"], n["same"], n["chars"]) for n in nodes or ()))
                 for h, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])

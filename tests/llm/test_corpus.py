@@ -219,6 +219,17 @@ def test_html(spark):
     assert align((("", -1), ("p", 0), ("ul", 0)), (("", -1), ("ul", 0))) == ((0, 0), (2, 1))
 
 
+def test_html_own_text_at_template_paths(spark):
+    """A page keeps what differs from its host's template, whatever the share of copies."""
+    page = "<body><article><h1>{}</h1><p>{}</p><ul>{}</ul></article></body>"
+    items = lambda k: "".join(f"<li>point {k} {j} of a list</li>" for j in range(9))
+    rows = [(k, "http://copies/", page.format("one head", "one text", "<li>one list")) for k in range(19)] + [(19, "http://copies/", page.format("own head", "own text", items(0)))]
+    rows += [(100 + k, "http://heads/", page.format("one head" if k else "own head", f"text {k} of many words", items(k))) for k in range(20)]
+    got = {r.page_id: r.text for r in extract_main(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[19].startswith("own head\nown text\npoint 0 0") and got[100].startswith("own head\ntext 0")
+    assert got[3] == "one head\none text\none list" and "text 7 of many words" in got[107]
+
+
 def test_top_k(spark):
     rows = [(k, [k % 7 / 10, -k / 50, 0.3]) for k in range(300)] + [(5, [0.5, -0.1, 0.3]), (600, None), (700, [float("nan"), 1.0, 1.0]), (800, [None, 1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
