@@ -4,8 +4,10 @@ A page becomes a small block tree: block elements only, runs of like siblings fo
 into one node. The trees of a host's pages are aligned with one reference page of the
 host by simple tree matching. Aligned nodes with the same text on nearly all pages are
 template, and a page loses their blocks only where its text there is the template's; the
-others are slots. The content is the subtree that holds the bulk of the
-varying text, without the elements whose role is boilerplate.
+others are slots. The content is the article or main element, or else the whole page,
+without template and without the elements whose role is boilerplate. Elements that are
+boilerplate by class, id or role only (whole names) stay nodes of their own: outside
+article and main, those that hold most of a page's varying text are content.
 
 Per host only counts for the nodes of its reference page are kept, and they are summed
 per task before they are shuffled, so a host with a third of all pages is no hot spot.
@@ -28,7 +30,8 @@ from evalweave.sources.scratch import materialize
 
 CONSTANT = 0.9  # share of aligned pages with the same text that makes a node template
 LEAST_PAGES = 10  # aligned pages below which nothing counts as template
-BULK = 0.7  # share of varying text a child must hold for the content to lie in it
+BULK = 0.7  # share of varying text a child must hold for the article or main element to lie in it
+MOST = 0.5  # share of a page's varying text above which an element is content whatever its class
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -55,7 +58,7 @@ _MARKUP = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
-_ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ROLE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -75,8 +78,15 @@ class Page:
 
 
 @lru_cache(maxsize=4096)
-def _roles(rest: str) -> bool:
-    return any(w in ROLES for m in _ROLE.finditer(rest) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def _role(rest: str) -> str:
+    """The first class, id or role that is boilerplate, or nothing."""
+    return next((w for m in _ROLE.finditer(rest) for w in (m[1] or m[2] or m[3] or "").lower().split() if w in ROLES), "")
+
+
+def _marked(path: str) -> str:
+    """The path down to the innermost element that is boilerplate by its class; empty if none."""
+    at = path.rfind(".")
+    return path[: (path + "/").index("/", at)] if at >= 0 else ""
 
 
 def parse(source: str) -> Page:
@@ -118,8 +128,9 @@ def parse(source: str) -> Page:
             continue
         if not block and tag in VOID:
             continue
-        boiler = stack[-1][2] or tag in BOILERPLATE or (tag not in WHOLE and bool(m["rest"]) and _roles(m["rest"]))
+        role = _role(m["rest"]) if tag not in WHOLE and m["rest"] else ""
         if not block:
+            boiler = stack[-1][2] or tag in BOILERPLATE or bool(role)
             if boiler and not stack[-1][2] and not m["rest"].endswith("/"):
                 stack.append((tag, stack[-1][1], True))
             continue
@@ -130,20 +141,21 @@ def parse(source: str) -> Page:
                 del stack[k:]
             elif stack[k][0] in BLOCKS and (stack[k][0] in LISTS or stack[k][0] != "p"):
                 break
-        boiler = stack[-1][2] or tag in BOILERPLATE or (tag not in WHOLE and bool(m["rest"]) and _roles(m["rest"]))
+        boiler = stack[-1][2] or tag in BOILERPLATE
+        key = f"{tag}.{role}" if role else tag
         if tag == "hr":
             continue
         parent = stack[-1][1]
         node = parent
         if not boiler:
             latest = last[parent]
-            node = latest.get(tag, -1)
+            node = latest.get(key, -1)
             if node < 0 or latest.get(" ") != node:
                 node = len(page.keys)
-                page.keys.append(tag)
+                page.keys.append(key)
                 page.parents.append(parent)
                 last.append({})
-                latest[tag] = latest[" "] = node
+                latest[key] = latest[" "] = node
         stack.append((tag, node, boiler))
     if at < len(source) and not stack[-1][2]:
         words.append(source[at:])
@@ -243,7 +255,7 @@ def wrapper(nodes: tuple[tuple[str, int, int, int, int], ...]) -> tuple[str, fro
     """
     mass: dict[str, int] = {}
     for path, _, _, _, chars in nodes:
-        while path:
+        while path and "." not in path:
             mass[path] = mass.get(path, 0) + chars
             path = path.rpartition("/")[0]
     root = ""
@@ -257,7 +269,9 @@ def wrapper(nodes: tuple[tuple[str, int, int, int, int], ...]) -> tuple[str, fro
         if not (holds or leaf_root) or mass[best] < BULK * sum(mass[p] for p in below) or not mass[best]:
             break
         root = best
-    fixed = {(p, text) for p, text, seen, same, _ in nodes if seen >= LEAST_PAGES and same >= CONSTANT * seen and (p + "/").startswith(root + "/")}
+    if not root.endswith(("/article", "/main")):
+        root = ""  # a part of the text is no ground to cut the rest
+    fixed = {(p, text) for p, text, seen, same, _ in nodes if seen >= LEAST_PAGES and same >= CONSTANT * seen and ((p + "/").startswith(root + "/") or "." in p)}
     return root, frozenset(fixed)
 
 
@@ -266,17 +280,27 @@ def main_text(source: str, nodes: tuple = ()) -> str:
     page = parse(source)
     paths = page.paths()
     root, fixed = wrapper(nodes)
-    inside = [k for k, p in enumerate(paths) if (p + "/").startswith(root + "/")]
+    marks = [_marked(p) for p in paths]
+    open_ = [k for k, m in enumerate(marks) if not m]
+    inside = [k for k in open_ if (paths[k] + "/").startswith(root + "/")]
+    explicit = bool(root and inside)
     for name in ("article", "main"):
-        own = [k for k, p in enumerate(paths) if f"/{name}/" in p + "/"]
+        own = [k for k in open_ if f"/{name}/" in paths[k] + "/"]
         if own and not (f"/{name}" in root):
             inside = own
-            break
         if own:
+            explicit = True
             break
-    chosen = set(inside) or set(range(len(paths)))
-    kept = [(k, t) for k, t in page.blocks if k in chosen]
+    chosen = set(inside) or set(open_)
     sums, _ = _texts(page)
+    if not explicit:
+        mass: dict[str, int] = {}
+        for k, t in page.blocks:
+            mass[marks[k]] = mass.get(marks[k], 0) + len(t) * ((paths[k], sums[k]) not in fixed)
+        bulk = max(mass, key=lambda m: mass[m], default="")
+        if bulk and mass[bulk] > MOST * sum(mass.values()):
+            chosen |= {k for k, m in enumerate(marks) if m == bulk}
+    kept = [(k, t) for k, t in page.blocks if k in chosen]
     varying = [t for k, t in kept if (paths[k], sums[k]) not in fixed]
     # A host that repeats one page has nothing varying; its text is still content.
     if sum(map(len, varying)) * 2 < sum(len(t) for _, t in kept):

@@ -230,6 +230,22 @@ def test_html_own_text_at_template_paths(spark):
     assert got[3] == "one head\none text\none list" and "text 7 of many words" in got[107]
 
 
+def test_html_without_article(spark):
+    """Nothing goes for its share of text, for a part of a class name, or with the bulk of the text."""
+    words = lambda k, n: " ".join(f"word{k}x{j}" for j in range(n))
+    beside = "<body><h1>head {0}</h1><div><p>lead {0}</p><p>{1}</p><section><p>{2}</p></section></div><div class='x ad'>buy {0}</div><p>same on all</p></body>"
+    part = "<body><div class='content has-sidebar' data-id=share><p>own {0} {1}</p></div><div id='post-with-comments'><p>more {0}</p></div><div class=Sidebar>links {0}</div></body>"
+    whole = "<body><div class='widget'><h2>title {0}</h2><p>{2}</p><div class='ad'>buy {0}</div></div><p>short {0}</p><div class='comments'><p>said {0}</p></div></body>"
+    rows = [(100 * n + k, f"http://h{n}/", p.format(k, words(k, 8), words(k, 60))) for n, p in enumerate((beside, part, whole)) for k in range(20)]
+    rows += [(300, "http://one/", whole.format(0, "", words(0, 60)))]
+    got = {r.page_id: r.text for r in extract_main(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(20):
+        assert got[k] == f"head {k}\nlead {k}\n{words(k, 8)}\n{words(k, 60)}"
+        assert got[100 + k] == f"own {k} {words(k, 8)}\nmore {k}"
+        assert got[200 + k] == f"title {k}\n{words(k, 60)}\nshort {k}"
+    assert got[300] == f"title 0\n{words(0, 60)}\nshort 0"
+
+
 def test_top_k(spark):
     rows = [(k, [k % 7 / 10, -k / 50, 0.3]) for k in range(300)] + [(5, [0.5, -0.1, 0.3]), (600, None), (700, [float("nan"), 1.0, 1.0]), (800, [None, 1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
