@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import bpe
+from evalweave.llm.alignment import align, with_counts
 from evalweave.llm.disclosure import PATTERNS, digest, personal_spans
 from evalweave.llm.hilbert import hilbert_shards
 from evalweave.llm.hostgraph import judge_urls
@@ -16,8 +17,11 @@ from evalweave.llm.html_main import extract_main
 from evalweave.llm.jaccard import near_duplicates
 from evalweave.llm.latent import leaks
 from evalweave.llm.licenses import license_scan
+from evalweave.llm.packing import pack
+from evalweave.llm.spelling import counted_words, spelling_variants
 from evalweave.llm.topk import top_k
 from evalweave.llm.toxicity import toxicity
+from evalweave.sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +109,23 @@ def op6(spark, sf_dir):
 @query("op7_latent_leaks")
 def op7(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling_variants(counted_words(table(spark, sf_dir, "documents")))
+
+
+@query("op12_concat_pack")
+def op12(spark, sf_dir):
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    stored = materialize(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest, "link_a", "link_b"))
+    return with_counts(stored).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

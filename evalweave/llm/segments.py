@@ -1,0 +1,101 @@
+"""Token ids of whole Arrow text columns, worked out once per distinct segment.
+
+A text is cut before every blank that a letter follows and no blank precedes. The
+byte-level pattern ends a match there, and no piece of a piece vocabulary has a blank
+behind another character (`splits_at_blanks` tests that), so the ids of a text are those
+of its segments in order. Segments are dictionary-encoded in Arrow a few megabytes at a
+time; only new ones reach the tokenizers, and a memo bounded by bytes keeps the short.
+"""
+
+from __future__ import annotations
+
+from array import array
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from evalweave.llm.words import chunks
+
+MEMO_BYTES = 48_000_000  # of a coder's memo, overhead included, before it starts afresh
+SHORT = 64  # bytes of a segment worth remembering
+_OVERHEAD = 300  # bytes of the objects of one remembered segment
+_LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
+
+#: Of some segments, for each tokenizer the ids of each; then whether each is coded exactly.
+Encode = Callable[[list[str]], tuple[list[list[list[int]]], list[bool]]]
+
+
+def cuts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where segments begin: the starts of rows that hold bytes, and the blanks described above."""
+    begins = at[:-1][at[:-1] < at[1:]]
+    if len(body) < 3:
+        return begins
+    blank = body == 0x20
+    inner = np.flatnonzero(blank[1:-1] & _LETTER[body[2:]] & ~blank[:-2]) + 1
+    # A row's own first byte is a start anyway; the last byte of a row is followed by another row.
+    inner = inner[~np.isin(inner, at - 1, assume_unique=True)] if len(at) > 2 else inner
+    return np.union1d(begins, inner)
+
+
+class Coder:
+    """Ids of segments under several tokenizers, with a bounded memo."""
+
+    def __init__(self, encode: Encode, tokenizers: int):
+        self.encode, self.tokenizers = encode, tokenizers
+        self.memo: dict[str, tuple] = {}
+        self.used = 0
+
+    def look_up(self, segments: list[str]) -> list[tuple]:
+        """For each segment the id bytes (int32) of each tokenizer, and whether they are exact."""
+        if self.used > MEMO_BYTES:
+            self.memo, self.used = {}, 0
+        new = [s for s in segments if s not in self.memo]
+        found = {}
+        if new:
+            ids, exact = self.encode(new)
+            for k, s in enumerate(new):
+                entry = (*(array("i", ids[t][k]).tobytes() for t in range(self.tokenizers)), exact[k])
+                if len(s) <= SHORT:
+                    self.memo[s] = entry
+                    self.used += _OVERHEAD + len(s) + sum(map(len, entry[:-1]))
+                else:
+                    found[s] = entry
+        memo = self.memo
+        return [memo[s] if s in memo else found[s] for s in segments]
+
+    def rows(self, column: pa.Array) -> Iterator[tuple]:
+        """Of runs of rows: (first row, last + 1, bytes, their offsets, per tokenizer (ids, row borders), exact).
+
+        `exact` is False for rows that hold a segment whose ids do not give it back.
+        """
+        for lo, hi, body, at in chunks(column):
+            begin = cuts(body, at)
+            ends = np.append(begin[1:], at[-1])
+            offsets = np.append(begin, at[-1]).astype(np.int64) if len(begin) else np.zeros(1, np.int64)
+            text = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body)))
+            coded = text.dictionary_encode()
+            entries = self.look_up(coded.dictionary.to_pylist())
+            kind = coded.indices.to_numpy()
+            border = np.searchsorted(begin, at)
+            exact = np.array([e[-1] for e in entries], dtype=bool)[kind] if len(kind) else np.zeros(0, bool)
+            bad = np.unique(np.searchsorted(at, ends[~exact], side="left") - 1)
+            whole = np.ones(hi - lo, dtype=bool)
+            whole[bad] = False
+            out = []
+            for t in range(self.tokenizers):
+                flat = np.frombuffer(b"".join([e[t] for e in entries]), dtype=np.int32)
+                size = np.array([len(e[t]) // 4 for e in entries], dtype=np.int64)
+                out.append(gather(flat, size, kind, border))
+            yield lo, hi, body, at, out, whole
+
+
+def gather(flat: np.ndarray, size: np.ndarray, kind: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `kind` of a flat array put one after another, and where the rows begin in that."""
+    if not len(kind):
+        return flat[:0], np.zeros(len(border), dtype=np.int64)
+    first = np.cumsum(size) - size
+    n = size[kind]
+    place = np.concatenate(([0], np.cumsum(n)))
+    index = np.arange(place[-1]) + np.repeat(first[kind] - place[:-1], n)
+    return flat[index], place[border]
