@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from evalweave.llm.segments import Coder
+from evalweave.llm.coders import byte_alphabet, byte_bpe, coded_rows, pieces
 from evalweave.sources.scratch import materialize
 
 BLANK = "▁"
@@ -31,15 +31,6 @@ PARTIAL = 1_000_000  # rows of partial counts a task gathers before it sums them
 # ---- the two vocabularies -----------------------------------------------------
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the
-    others for the characters from U+0100 on.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 def byte_level_tokens(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; characters outside the alphabet stay as UTF-8."""
     to = byte_alphabet()
@@ -53,29 +44,21 @@ def piece_tokens(model: SentencePieceProcessor) -> list[bytes]:
     return [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
 
 
-def splits_at_blanks(model: SentencePieceProcessor) -> bool:
-    """Whether no piece has a blank behind another character, so that no merge crosses one."""
-    return not any(BLANK in model.id_to_piece(i).lstrip(BLANK) for i in range(model.vocab_size()))
-
-
-class Pair:
-    """Both tokenizers, their token bytes, and the ids of segments that begin with a blank."""
-
-    def __init__(self, a: str, b: bytes):
-        self.a, self.b = Tokenizer.from_str(a), SentencePieceProcessor(model_proto=b)
-        self.a.encode_special_tokens = True
-        if not splits_at_blanks(self.b):
-            raise ValueError("the pieces of this model cross blanks, so its texts cannot be coded by segments")
-        self.bytes = byte_level_tokens(self.a), piece_tokens(self.b)
-        self.size = tuple(np.array([len(t) for t in tokens], dtype=np.int64) for tokens in self.bytes)
-
-    def encode(self, segments: list[str]) -> tuple[list, list]:
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        return [a, b], [self.exact(s.encode(), x, y) for s, x, y in zip(segments, a, b, strict=True)]
-
-    def exact(self, text: bytes, a: list[int], b: list[int]) -> bool:
-        return all(b"".join([tokens[i] for i in ids]) == text for tokens, ids in zip(self.bytes, (a, b), strict=True))
+def gives_back(flat: np.ndarray, border: np.ndarray, tokens: pa.Array, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each row's ids are the row's own bytes."""
+    size = pc.binary_length(tokens).to_numpy()
+    total = np.concatenate(([0], np.cumsum(size[flat])))[border]
+    exact = np.diff(total) == np.diff(at)
+    if not len(flat) or not exact.any():
+        return exact
+    made = np.frombuffer(tokens.take(pa.array(flat)).buffers()[2], dtype=np.uint8)
+    if not exact.all():
+        made = made[: total[-1]][np.repeat(exact, np.diff(total))]
+        body = body[np.repeat(exact, np.diff(at))]
+        at = np.concatenate(([0], np.cumsum(np.diff(at) * exact)))
+    wrong = np.flatnonzero(made[: len(body)] != body)
+    exact[np.searchsorted(at, wrong, side="right") - 1] = False
+    return exact
 
 
 # ---- one run of rows ------------------------------------------------------------
@@ -150,20 +133,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(*shared.value)
-        coder, vocabulary = Coder(pair.encode, 2), tuple(len(t) for t in pair.bytes)
+        a_model, b_model = Tokenizer.from_str(shared.value[0]), SentencePieceProcessor(model_proto=shared.value[1])
+        tokens = tuple(pa.array(t, pa.large_binary()) for t in (byte_level_tokens(a_model), piece_tokens(b_model)))
+        sizes = tuple(pc.binary_length(t).to_numpy() for t in tokens)
+        vocabulary = tuple(len(t) for t in tokens)
         names = labels(vocabulary)
+        encode_a, encode_b = byte_bpe(shared.value[0], special_as_text=True), pieces(b_model)
         for batch in batches:
-            for lo, hi, body, at, sides, exact in coder.rows(batch.column(1)):
-                for row in np.flatnonzero(~exact):  # the whole decides, not the segment
-                    ids = [flat[border[row] : border[row + 1]].tolist() for flat, border in sides]
-                    exact[row] = pair.exact(body[at[row] : at[row + 1]].tobytes(), *ids)
-                sides = [kept(flat, border, exact) for flat, border in sides]
-                (a, border_a), (b, border_b) = sides
-                doc, at_a, at_b, group_end = stretches(lists(border_a, a), lists(border_b, b), pair.size)
+            for lo, hi, body, at, sides in coded_rows(batch.column(1), encode_a, lambda texts: encode_b([t[1:] for t in texts])):
+                exact = np.logical_and(*(gives_back(*side, t, body, at) for side, t in zip(sides, tokens, strict=True)))
+                (a, border_a), (b, border_b) = (kept(*side, exact) for side in sides)
+                doc, at_a, at_b, group_end = stretches(lists(border_a, a), lists(border_b, b), sizes)
                 texts = group_texts(a, b, doc, at_a, at_b, group_end, names, vocabulary, hi - lo)
                 links = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=hi - lo))))
-                whole = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(np.diff(border_a)),
@@ -175,7 +158,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
                     ],
                     names=["key", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"],
                 )
-                yield whole
 
     schema = f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, groups string, link_a array<int>, link_b array<int>"
     return rows.mapInArrow(run, schema)

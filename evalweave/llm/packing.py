@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalweave.llm.segments import Coder
+from evalweave.llm.coders import byte_bpe, coded_rows
 from evalweave.sources.scratch import materialize
 
 LENGTH = 1024
@@ -28,48 +28,48 @@ FEW = 1 << 20  # rows of the table of offsets (24 bytes each) up to which it is
 OUT_IDS = 1_000_000  # ids in one record batch, unless a single document has more
 
 
-def byte_bpe(model: str, special_as_text: bool = False):
-    """An `Encode` of the one tokenizer of a tokenizers file's text."""
-    tokenizer = Tokenizer.from_str(model)
-    tokenizer.encode_special_tokens = special_as_text
+def id_type(model: str) -> str:
+    """Little-endian unsigned ids, of two bytes where the vocabulary allows it."""
+    return "<u2" if Tokenizer.from_str(model).get_vocab_size() <= 1 << 16 else "<u4"
 
-    def encode(segments: list[str]) -> tuple[list, list]:
-        return [[e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]], [True] * len(segments)
 
-    return encode
-
-
-def token_runs(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (closed by END), and where they stand: the task's number and the ids before them in it."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+def token_runs(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids (as id_type says, closed by END), and where they stand: their number, the task's
+    number and the ids before them in it.
+    """
+    shared, kind = docs.sparkSession.sparkContext.broadcast(model), id_type(model)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, before = Coder(byte_bpe(shared.value), 1), TaskContext.get().partitionId(), 0
+        encode, part, before = byte_bpe(shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi, _, _, ((ids, border),), _ in coder.rows(batch.column(1)):
+            for lo, hi, _, _, ((ids, border),) in coded_rows(batch.column(1), encode):
                 place = border + np.arange(hi - lo + 1)  # with one END a document
-                whole = np.full(place[-1], END, dtype=np.int32)
+                whole = np.full(place[-1], END, dtype=kind)
                 whole[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), np.diff(border))] = ids
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(whole)),
+                        binary(place * whole.itemsize, whole),
+                        pa.array(np.diff(place)),
                         pa.array(np.full(hi - lo, part, dtype=np.int32)),
                         pa.array(before + place[:-1]),
                     ],
-                    names=["key", "ids", "part", "before"],
+                    names=["key", "ids", "n", "part", "before"],
                 )
                 before += int(place[-1])
 
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, part int, before bigint")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary, n bigint, part int, before bigint")
+
+
+def binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A flat array's bytes, cut at the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
 
 
 def partition_offsets(runs: DataFrame) -> DataFrame:
     """part, offset: the ids of all partitions before it, by sums inside blocks of BLOCK and over blocks."""
-    ends = runs.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
+    ends = runs.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n"))
     ends = ends.withColumn("block", F.expr(f"part div {BLOCK}"))
     earlier = (Window.unboundedPreceding, -1)
     inside = F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(*earlier))
@@ -89,17 +89,19 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: str =
     empty table has no pieces; other columns are ignored. A text needs memory in proportion to
     its length.
     """
-    runs = materialize(token_runs(docs, tokenizer_path, key, text))
+    with open(tokenizer_path, encoding="utf-8") as f:
+        model = f.read()
+    runs, ids_as = materialize(token_runs(docs, model, key, text)), id_type(model)
     offsets = partition_offsets(runs)
     # One row a task of the first pass, which the driver has counted anyway.
     placed = runs.join(F.broadcast(offsets) if offsets.count() <= FEW else offsets, "part")
-    placed = placed.select("key", "ids", (F.col("offset") + F.col("before")).alias("at"))
+    placed = placed.select("key", "ids", "n", (F.col("offset") + F.col("before")).alias("at"))
     kind = placed.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, OUT_IDS):
-                yield pieces(part, length)
+                yield pieces(part, length, ids_as)
 
     schema = f"`{key}` {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     return placed.mapInArrow(run, schema).withColumnRenamed("key", key)
@@ -107,8 +109,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: str =
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about `most` ids."""
-    size = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-    lo = 0
+    size, lo = np.cumsum(batch.column(2).to_numpy()), 0
     while lo < batch.num_rows:
         done = size[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(size, done + most, side="right")))
@@ -116,23 +117,20 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def pieces(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """The pieces of the rows key, ids, at: cut where a window of the whole ends."""
-    ids, at = batch.column(1), batch.column(2).to_numpy()
-    size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def pieces(batch: pa.RecordBatch, length: int, ids_as: str) -> pa.RecordBatch:
+    """The pieces of the rows key, ids, n, at: cut where a window of the whole ends."""
+    size, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
     first, last = at // length, (at + size - 1) // length
     n = last - first + 1
     row = np.repeat(np.arange(len(at)), n)
     window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
     start = np.maximum(window * length - at[row], 0)
     end = np.minimum((window + 1) * length - at[row], size[row])
-    flat = ids.flatten().to_numpy().astype("<u4")
-    base = np.cumsum(size) - size
-    cut = np.append((base[row] + start) * 4, len(flat) * 4).astype(np.int32)
-    body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(flat)])
-    columns = [batch.column(0).take(pa.array(row)), start, end - start, size[row], window, at[row] + start - window * length]
+    flat = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ids_as) for x in batch.column(1)]).astype("<u4")
+    cut = np.append(np.cumsum(size)[row] - size[row] + start, len(flat))
+    values = start, end - start, size[row], window, at[row] + start - window * length
     return pa.RecordBatch.from_arrays(
-        [columns[0], *(pa.array(c.astype(np.int64)) for c in columns[1:]), body],
+        [batch.column(0).take(pa.array(row)), *(pa.array(v.astype(np.int64)) for v in values), binary(cut * 4, flat)],
         names=["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
     )
 

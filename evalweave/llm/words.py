@@ -49,12 +49,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets from 0) of row runs of about CHUNK bytes."""
+def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets from 0) of row runs of about `most` bytes."""
     body, at = text_buffers(column)
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield lo, hi, body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

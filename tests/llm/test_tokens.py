@@ -1,20 +1,20 @@
 """Packing, alignment of tokenizers and spelling variants against plain versions."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalweave.llm import alignment, packing, queries, segments, spelling, words
+from evalweave.llm import alignment, coders, packing, queries, spelling
 from evalweave.sources.scratch import materialize
 
 A_PATH, B_PATH = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -37,34 +37,42 @@ def given(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
 
 
-def test_segments_join_to_the_text():
-    rng = random.Random(5)
-    texts = ["".join(rng.choice("ab  .\n'Z9é▁") for _ in range(rng.randrange(40))) for _ in range(400)] + [t for t in ODD if t]
-    for prefix in ("", " "):
-        column = pa.array([prefix + t for t in texts])
-        body, at = words.text_buffers(column)
-        begin = segments.cuts(body[at[0] : at[-1]], at - at[0])
-        parts = np.split(body[at[0] : at[-1]], begin[1:])
-        assert b"".join(p.tobytes() for p in parts) == "".join(column.to_pylist()).encode()
-        assert set((at - at[0])[:-1][np.diff(at) > 0]) <= set(begin)
-
-
-def test_segment_ids_are_those_of_the_text():
+def test_ids_are_those_of_the_library():
+    """The coder of ranks against the file's own library, special tokens read as such or as text."""
     rng = random.Random(6)
-    some = ["the", "Straße", "it's", "x.", "12", "3rd", "\n", "\t", " ", "'ll", "don't", "▁", "日本", "-", "a"]
-    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(12))).replace("- ", "") for _ in range(800)]
-    tokenizer = Tokenizer.from_file(A_PATH)
-    tokenizer.encode_special_tokens = True
-    pieces = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
-    with open(A_PATH, encoding="utf-8") as f, open(B_PATH, "rb") as g:
-        coder = segments.Coder(alignment.Pair(f.read(), g.read()).encode, 2)
-    for lo, _, _, _, ((a, border_a), (b, border_b)), exact in coder.rows(pa.array([" " + t if t else None for t in texts])):
-        for k in range(len(border_a) - 1):
-            if not texts[lo + k]:
-                continue
-            assert a[border_a[k] : border_a[k + 1]].tolist() == tokenizer.encode(" " + texts[lo + k], add_special_tokens=False).ids
-            if exact[k]:
-                assert b[border_b[k] : border_b[k + 1]].tolist() == pieces.encode(texts[lo + k])
+    some = ["the", "Straße", "it's", "x.", "12", "3rd", "\n", "\t", " ", "'ll", "don't", "▁", "日本", "-", "a", "<|endoftext|>", "\u00a0", "é", "ʼ"]
+    letters = "abdeghinorstuüßéèñç "
+    texts = ["".join(rng.choice([*some, " ", " "]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(2000)] + [t for t in ODD if t]
+    with open(A_PATH, encoding="utf-8") as f:
+        model = f.read()
+    for as_text in (True, False):
+        tokenizer = Tokenizer.from_str(model)
+        tokenizer.encode_special_tokens = as_text
+        flat, n = coders.byte_bpe(model, as_text)(texts)
+        at = np.concatenate(([0], np.cumsum(n)))
+        for k, t in enumerate(texts):
+            assert flat[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", ["merges", "normalizer", "pre_tokenizer", "added"])
+def test_other_files_are_left_to_their_library(change):
+    with open(A_PATH, encoding="utf-8") as f:
+        model = json.load(f)
+    assert coders._ranks(model) is not None
+    if change == "merges":
+        model["model"]["merges"][500:502] = model["model"]["merges"][501:499:-1]
+    elif change == "normalizer":
+        model["normalizer"] = {"type": "Lowercase"}
+    elif change == "pre_tokenizer":
+        model["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        model["added_tokens"][0]["lstrip"] = True
+    assert coders._ranks(model) is None
+    texts = ["Some Text <|endoftext|> here", "", "x"]
+    flat, n = coders.byte_bpe(json.dumps(model))(texts)
+    library = Tokenizer.from_str(json.dumps(model))
+    assert flat.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and len(n) == 3
 
 
 # ---- packing ---------------------------------------------------------------------
@@ -217,17 +225,6 @@ def test_partial_counts(monkeypatch, given):
     assert sorted(map(tuple, alignment.pair_counts(rows).collect())) == want
 
 
-def test_model_with_pieces_across_blanks():
-    class Model:
-        def vocab_size(self):
-            return 2
-
-        def id_to_piece(self, i):
-            return ["▁a", "a▁b"][i]
-
-    assert not alignment.splits_at_blanks(Model())
-
-
 # ---- spelling ---------------------------------------------------------------------
 
 
