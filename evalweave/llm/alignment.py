@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from evalweave.llm.coders import byte_alphabet, byte_bpe, coded_rows, pieces
+from evalweave.llm.coders import binary, byte_alphabet, byte_bpe, coded_rows, id_type, pieces, row_runs
 from evalweave.sources.scratch import materialize
 
 BLANK = "▁"
 HELD = 1 << 20  # pairs of ids whose counts each task holds (17 bytes each); rarer ones are joined
-PARTIAL = 1_000_000  # rows of partial counts a task gathers before it sums them up
+PARTIAL = 500_000  # rows of partial counts a task gathers before it sums them up
+LINKS = 300_000  # links counted at once, unless one document has more
 
 # ---- the two vocabularies -----------------------------------------------------
 
@@ -120,7 +121,8 @@ def lists(border: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_a, n_b, n_groups, groups (text), link_a and link_b (ids of each linked pair, in order).
+    """key, n_a, n_b, n_groups, n_links, groups (text), and links: the ids of A and B of each linked
+    pair in order, as little-endian unsigned integers, of two bytes where both vocabularies allow it.
 
     NULL and empty texts, and texts that either tokenizer does not give back byte for byte, have
     no tokens: zeros and empty values. Repeated rows stay; an empty table gives an empty result;
@@ -145,21 +147,24 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
                 (a, border_a), (b, border_b) = (kept(*side, exact) for side in sides)
                 doc, at_a, at_b, group_end = stretches(lists(border_a, a), lists(border_b, b), sizes)
                 texts = group_texts(a, b, doc, at_a, at_b, group_end, names, vocabulary, hi - lo)
-                links = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=hi - lo))))
+                n_links = np.bincount(doc, minlength=hi - lo)
+                links = np.empty((len(doc), 2), dtype=id_type(max(vocabulary)))
+                links[:, 0], links[:, 1] = a[at_a], b[at_b]
+                cut = np.concatenate(([0], np.cumsum(n_links))) * 2 * links.itemsize
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(np.diff(border_a)),
                         pa.array(np.diff(border_b)),
                         pa.array(np.bincount(doc[group_end], minlength=hi - lo).astype(np.int64)),
+                        pa.array(n_links.astype(np.int64)),
                         pa.array([t.decode() for t in texts], pa.string()),
-                        lists(links, a[at_a]),
-                        lists(links, b[at_b]),
+                        binary(cut, links),
                     ],
-                    names=["key", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"],
+                    names=["key", "n_a", "n_b", "n_groups", "n_links", "groups", "links"],
                 )
 
-    schema = f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, groups string, link_a array<int>, link_b array<int>"
+    schema = f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -171,6 +176,14 @@ def kept(flat: np.ndarray, border: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return flat[np.repeat(rows, n)], np.concatenate(([0], np.cumsum(n * rows)))
 
 
+def linked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the last two columns, n_links and links: the row, A id and B id of every link."""
+    n = batch.column(batch.num_columns - 2).to_numpy()
+    body = b"".join([x.as_buffer() for x in batch.column(batch.num_columns - 1)])
+    ids = np.frombuffer(body, dtype=f"<u{max(len(body) // max(2 * n.sum(), 1), 1)}").reshape(-1, 2)
+    return np.repeat(np.arange(len(n), dtype=np.int32), n), ids[:, 0].astype(np.int32), ids[:, 1].astype(np.int32)
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """a, b, n: how many rows of `aligned` hold the pair linked."""
 
@@ -182,27 +195,27 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             return out.rename_columns(["a", "b", "n"])
 
         for batch in batches:
-            doc = pc.list_parent_indices(batch.column(0)).cast(pa.int32())
-            links = pa.table({"doc": doc, "a": batch.column(0).flatten(), "b": batch.column(1).flatten()})
-            once = links.group_by(["doc", "a", "b"], use_threads=False).aggregate([])
-            part = once.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "n"])
-            parts.append(part)
-            size += part.num_rows
-            if size > PARTIAL:
-                parts = [summed()]
-                size = parts[0].num_rows
-                if size > PARTIAL // 2:
-                    yield from parts[0].to_batches()
-                    parts, size = [], 0
+            for rows in row_runs(batch, batch.column(0).to_numpy(), LINKS):
+                links = pa.table(dict(zip(("doc", "a", "b"), linked(rows), strict=True)))
+                once = links.group_by(["doc", "a", "b"], use_threads=False).aggregate([])
+                part = once.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "n"])
+                parts.append(part)
+                size += part.num_rows
+                if size > PARTIAL:
+                    parts = [summed()]
+                    size = parts[0].num_rows
+                    if size > PARTIAL // 2:
+                        yield from parts[0].to_batches()
+                        parts, size = [], 0
         if parts:
             yield from summed().to_batches()
 
-    partial = aligned.select("link_a", "link_b").mapInArrow(run, "a int, b int, n bigint")
+    partial = aligned.select("n_links", "links").mapInArrow(run, "a int, b int, n bigint")
     return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def with_counts(aligned: DataFrame, held: int = HELD) -> DataFrame:
-    """The rows of a stored `align` with n_links, n_best and count_sum.
+    """The rows of a stored `align` with n_best and count_sum, without links.
 
     n_best counts the links whose pair is the most frequent of its A id, count_sum adds up the
     counts of all links. Every task holds the counts of the most frequent pairs: those above
@@ -220,16 +233,17 @@ def with_counts(aligned: DataFrame, held: int = HELD) -> DataFrame:
     pairs = _packed(table["a"].to_numpy(), table["b"].to_numpy())
     order = np.argsort(pairs)
     shared = spark.sparkContext.broadcast((pairs[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order]))
-    rows = aligned.withColumn("_row", F.monotonically_increasing_id()) if not all_fit else aligned
-    rest = [c for c in rows.columns if c not in ("link_a", "link_b")]
-    sums = rows.select(*rest, "link_a", "link_b").mapInArrow(
-        lambda batches: (_sums(b, shared.value) for b in batches),
-        rows.select(*rest, F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_best"), F.lit(0).cast("bigint").alias("count_sum")).schema,
+    rows = aligned if all_fit else aligned.withColumn("_row", F.monotonically_increasing_id())
+    rest = [c for c in rows.columns if c not in ("n_links", "links")]
+    zero = F.lit(0).cast("bigint")
+    sums = rows.select(*rest, "n_links", "links").mapInArrow(
+        lambda batches: (_sums(r, shared.value) for b in batches for r in row_runs(b, b.column(b.num_columns - 2).to_numpy(), LINKS)),
+        rows.select(*rest, "n_links", zero.alias("n_best"), zero.alias("count_sum")).schema,
     )
     if all_fit:
         return sums
-    stored = materialize(sums)
-    return stored.join(_rare_sums(rows, known.filter(F.col("n") <= least), shared), "_row", "left").select(
+    rare = _rare_sums(rows, known.filter(F.col("n") <= least), shared)
+    return sums.join(rare, "_row", "left").select(
         *[c for c in rest if c != "_row"], "n_links",
         (F.col("n_best") + F.coalesce("_best", F.lit(0))).alias("n_best"),
         (F.col("count_sum") + F.coalesce("_sum", F.lit(0))).alias("count_sum"),
@@ -240,30 +254,27 @@ def _packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 32 | b.astype(np.int64)
 
 
-def _found(batch: pa.RecordBatch, pairs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
-    """The batch's links as a dictionary of pairs, the row borders, and where its pairs stand in `pairs`."""
-    a, b = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-    links = pa.array(_packed(a.flatten().to_numpy(), b.flatten().to_numpy())).dictionary_encode()
-    border = np.concatenate(([0], np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+def _found(batch: pa.RecordBatch, pairs: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The row of each link, the links as a dictionary of pairs, where those stand in `pairs`, and whether they do."""
+    row, a, b = linked(batch)
+    links = pa.array(_packed(a, b)).dictionary_encode()
     own = links.dictionary.to_numpy()
     place = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
-    here = pairs[place] == own if len(pairs) else np.zeros(len(own), bool)
-    return links, border, place, here
+    return row, links, place, pairs[place] == own if len(pairs) else np.zeros(len(own), bool)
 
 
 def _sums(batch: pa.RecordBatch, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     pairs, count, best = known
-    links, border, place, here = _found(batch, pairs)
-    kind = links.indices.to_numpy()
+    _, links, place, here = _found(batch, pairs)
+    kind, k = links.indices.to_numpy(), batch.num_columns - 2
     if len(pairs):
         n, top = np.where(here, count[place], 0)[kind], (here & best[place])[kind]
     else:
-        n, top = np.zeros(len(kind), np.int64), np.zeros(len(kind), bool)
-    run = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[border])
-    k = batch.num_columns - 2
+        n, top = np.zeros((2, len(kind)), dtype=np.int64)
+    border = np.concatenate(([0], np.cumsum(batch.column(k).to_numpy())))
+    by_row = [np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[border]) for x in (top, n)]
     return pa.RecordBatch.from_arrays(
-        [*batch.columns[:k], *(pa.array(x.astype(np.int64)) for x in (np.diff(border), run(top), run(n)))],
-        names=[*batch.schema.names[:k], "n_links", "n_best", "count_sum"],
+        [*batch.columns[: k + 1], *map(pa.array, by_row)], names=[*batch.schema.names[: k + 1], "n_best", "count_sum"]
     )
 
 
@@ -272,19 +283,16 @@ def _rare_sums(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links, border, _, here = _found(batch, shared.value[0])
-            if here.all():
-                continue
-            kind = links.indices.to_numpy()
-            at = np.flatnonzero(~here[kind])
-            row = np.searchsorted(border, at, side="right") - 1
-            table = pa.table({"_row": batch.column(0).take(pa.array(row)), "pair": links.dictionary.take(pa.array(kind[at]))})
-            table = table.group_by(["_row", "pair"], use_threads=False).aggregate([([], "count_all")])
-            pair = table["pair"].to_numpy()
-            yield from pa.table(
-                {"_row": table["_row"], "a": pa.array((pair >> 32).astype(np.int32)), "b": pa.array((pair & 0xFFFFFFFF).astype(np.int32)), "m": table["count_all"]}
-            ).to_batches()
-
-    links = rows.select("_row", "link_a", "link_b").mapInArrow(run, "_row bigint, a int, b int, m bigint")
+            for part in row_runs(batch, batch.column(1).to_numpy(), LINKS):
+                row, links, _, here = _found(part, shared.value[0])
+                kind = links.indices.to_numpy()
+                at = np.flatnonzero(~here[kind])
+                table = pa.table({"_row": part.column(0).take(pa.array(row[at])), "pair": links.dictionary.take(pa.array(kind[at]))})
+                table = table.group_by(["_row", "pair"], use_threads=False).aggregate([([], "count_all")])
+                pair = table["pair"].to_numpy()
+                a, b = (pa.array(x.astype(np.int32)) for x in (pair >> 32, pair & 0xFFFFFFFF))
+                yield from pa.table({"_row": table["_row"], "a": a, "b": b, "m": table["count_all"]}).to_batches()
+
+    links = rows.select("_row", "n_links", "links").mapInArrow(run, "_row bigint, a int, b int, m bigint")
     best = F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("_best")
     return links.join(counts, ["a", "b"]).groupBy("_row").agg(best, F.sum(F.col("m") * F.col("n")).alias("_sum"))

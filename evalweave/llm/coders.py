@@ -85,3 +85,23 @@ def coded_rows(column: pa.Array, *encoders: Encode) -> Iterator[tuple]:
         texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
         coded = (encode(texts) for encode in encoders)
         yield lo, hi, body, at, [(flat, np.concatenate(([0], np.cumsum(n)))) for flat, n in coded]
+
+
+def id_type(vocabulary: int) -> str:
+    """Little-endian unsigned ids, of two bytes where the vocabulary allows it."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A flat array's bytes, cut at the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def row_runs(batch: pa.RecordBatch, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs whose sizes add up to about `most`."""
+    total, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

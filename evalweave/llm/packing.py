@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalweave.llm.coders import byte_bpe, coded_rows
+from evalweave.llm.coders import binary, byte_bpe, coded_rows, id_type, row_runs
 from evalweave.sources.scratch import materialize
 
 LENGTH = 1024
@@ -28,16 +28,11 @@ FEW = 1 << 20  # rows of the table of offsets (24 bytes each) up to which it is
 OUT_IDS = 1_000_000  # ids in one record batch, unless a single document has more
 
 
-def id_type(model: str) -> str:
-    """Little-endian unsigned ids, of two bytes where the vocabulary allows it."""
-    return "<u2" if Tokenizer.from_str(model).get_vocab_size() <= 1 << 16 else "<u4"
-
-
-def token_runs(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (as id_type says, closed by END), and where they stand: their number, the task's
+def token_runs(docs: DataFrame, model: str, kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids (of the given type, closed by END), and where they stand: their number, the task's
     number and the ids before them in it.
     """
-    shared, kind = docs.sparkSession.sparkContext.broadcast(model), id_type(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +57,6 @@ def token_runs(docs: DataFrame, model: str, key: str = "doc_id", text: str = "te
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary, n bigint, part int, before bigint")
 
 
-def binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    """A flat array's bytes, cut at the offsets."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
-
-
 def partition_offsets(runs: DataFrame) -> DataFrame:
     """part, offset: the ids of all partitions before it, by sums inside blocks of BLOCK and over blocks."""
     ends = runs.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n"))
@@ -91,7 +81,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: str =
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
-    runs, ids_as = materialize(token_runs(docs, model, key, text)), id_type(model)
+    ids_as = id_type(Tokenizer.from_str(model).get_vocab_size())
+    runs = materialize(token_runs(docs, model, ids_as, key, text))
     offsets = partition_offsets(runs)
     # One row a task of the first pass, which the driver has counted anyway.
     placed = runs.join(F.broadcast(offsets) if offsets.count() <= FEW else offsets, "part")
@@ -100,23 +91,13 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, OUT_IDS):
+            for part in row_runs(batch, batch.column(2).to_numpy(), OUT_IDS):
                 yield pieces(part, length, ids_as)
 
     schema = f"`{key}` {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     return placed.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about `most` ids."""
-    size, lo = np.cumsum(batch.column(2).to_numpy()), 0
-    while lo < batch.num_rows:
-        done = size[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, done + most, side="right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def pieces(batch: pa.RecordBatch, length: int, ids_as: str) -> pa.RecordBatch:
     """The pieces of the rows key, ids, n, at: cut where a window of the whole ends."""
     size, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()

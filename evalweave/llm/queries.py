@@ -127,5 +127,5 @@ def op13(spark, sf_dir):
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     aligned = align(table(spark, sf_dir, "documents"), *paths)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    stored = materialize(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest, "link_a", "link_b"))
+    stored = materialize(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
     return with_counts(stored).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

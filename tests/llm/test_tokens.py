@@ -192,7 +192,7 @@ def plain_alignment(rows):
 def aligned(docs, held):
     rows = alignment.align(docs, A_PATH, B_PATH)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("digest")
-    stored = materialize(rows.select("doc_id", "n_a", "n_b", "n_groups", digest, "link_a", "link_b"))
+    stored = materialize(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
     out = alignment.with_counts(stored, held)
     return [tuple(r) for r in out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "digest").collect()]
 
@@ -222,6 +222,7 @@ def test_partial_counts(monkeypatch, given):
     rows = materialize(alignment.align(given, A_PATH, B_PATH))
     want = sorted(map(tuple, alignment.pair_counts(rows).collect()))
     monkeypatch.setattr(alignment, "PARTIAL", 100)
+    monkeypatch.setattr(alignment, "LINKS", 1000)
     assert sorted(map(tuple, alignment.pair_counts(rows).collect())) == want
 
 
