@@ -21,15 +21,22 @@ def complete_records(df: DataFrame, expected_n: int) -> DataFrame:
     )
 
 
+def last_record(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One record per key, the highest by the order columns.
+
+    max_by keeps one record per key and task, so repeated keys shrink before the shuffle.
+    """
+    rest = [c for c in records.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order))
+    return records.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+
+
 def merge_rank_outputs(records: DataFrame, key: str = "dataset_index") -> DataFrame:
     """One record per index, the last written one: highest file, then highest line.
 
-    `file_no` is 0 for an existing output and 1.. for rank files. max_by keeps
-    one record per key and task, so repeated keys shrink before the shuffle.
+    `file_no` is 0 for an existing output and 1.. for rank files.
     """
-    rest = [c for c in records.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct("file_no", "line_no"))
-    return records.groupBy(key).agg(last.alias("r")).select(key, "r.*")
+    return last_record(records, [key], ["file_no", "line_no"])
 
 
 def rank_progress(complete: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import ExitStack
+
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
@@ -12,6 +17,7 @@ from evalweave.operators import select as S
 from evalweave.plans import duck as D
 from evalweave.plans import inputs as I
 from evalweave.plans.registry import query
+from evalweave.sources import growing
 from evalweave.sources import mixture as X
 from evalweave.sources import readers as R
 from evalweave.sources import sinks as W
@@ -171,14 +177,44 @@ _MERGED = """SELECT dataset_index, arg_max(file_no, file_no * 1000000000 + line_
   arg_max(line, file_no * 1000000000 + line_no) AS line FROM complete GROUP BY dataset_index"""
 
 
-@query("src_stream_samples", D.ctes(**RANK_CTES) + "SELECT count(*) AS records, count(DISTINCT dataset_index) AS problems FROM complete")
+def _write_rank_files(spark, sf, folder: str, share: float) -> None:
+    """One file per rank, as far as its process has come: that share of its lines and half of the next.
+
+    A task writes the whole file anew under another name and renames it, so it can run again.
+    """
+    def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ExitStack() as files:
+            open_files = {}
+            for batch in rows:
+                for file_no, line, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if file_no not in open_files:
+                        system, root = growing.opened(folder)
+                        system.create_dir(root)
+                        path = f"{root}/rank{file_no:05d}.jsonl"
+                        files.callback(system.move, path + ".part", path)  # runs when the file is closed
+                        open_files[file_no] = files.enter_context(system.open_output_stream(path + ".part"))
+                    open_files[file_no].write(f"{line}\n".encode() if whole else line.encode())
+        yield pa.RecordBatch.from_pydict({"n": [len(open_files)]})
+
+    lines = q(spark, sf, RANK_LINES)
+    last = F.floor(F.max("line_no").over(Window.partitionBy("file_no")) * share)
+    rows = lines.withColumn("_last", last).filter(F.col("line_no") <= F.col("_last"))
+    whole = (F.col("line_no") < F.col("_last")) | F.lit(share >= 1)
+    text = F.when(whole, F.col("line")).otherwise(F.expr("substr(line, 1, length(line) div 2)"))
+    ordered = rows.select("file_no", text.alias("line"), whole.alias("whole"), "line_no").repartition("file_no").sortWithinPartitions("file_no", "line_no")
+    ordered.drop("line_no").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+@query("src_stream_samples", D.ctes(**RANK_CTES, merged=_MERGED) + f"SELECT dataset_index, file_no, {_D_FIRST} FROM merged")
 def src_stream_samples(spark, sf):
-    """The rank files arrive in a folder, a stream collects their complete records."""
-    folder = _write_lines(spark, sf)
-    stream = ST.sample_stream(spark, f"{folder}/ranks", 2)
-    ST.collect_samples(stream, f"{folder}/table", f"{folder}/checkpoint")
-    rows = spark.read.parquet(f"{folder}/table")
-    return rows.agg(F.count("*").alias("records"), F.count_distinct("dataset_index").alias("problems"))
+    """Rank files, the stream's merge of what they hold, more lines in the same files, and the merge of those."""
+    folder = scratch_dir(spark)
+    for share in (0.5, 1.0):
+        _write_rank_files(spark, sf, f"{folder}/ranks", share)
+        ST.collect_samples(ST.sample_stream(spark, f"{folder}/ranks", 2), f"{folder}/table", f"{folder}/checkpoint", buckets=8)
+    rows = ST.merged_samples(spark, f"{folder}/table")
+    file_no = F.regexp_extract("file", r"rank0*(\d+)", 1).cast("bigint")
+    return rows.select("dataset_index", file_no.alias("file_no"), _first_completion())
 
 
 @query("src_file_jobs", D.ctes(**RANK_CTES) + "SELECT concat('file_no=', file_no) AS source, count(*) AS records FROM complete GROUP BY file_no")
