@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
-from evalweave.functions.hashing import hash_uniform
-from evalweave.functions.ordering import cut_bucket, cut_keys, head_rows, prefix_totals
+from evalweave.functions.ordering import head_rows, nth_keys, prefix_totals, up_to
 
 
 def named_split(df: DataFrame, wanted: str, splits: list[str] | None = None) -> DataFrame:
@@ -46,34 +45,30 @@ def in_language(df: DataFrame, config: str, lang: str | None) -> DataFrame:
     return df.filter(F.col(LANGUAGE_COLUMN[config]) == lang)
 
 
-def _cut_names(n: dict[str, int]) -> Column:
-    """The limit of each row's split, as a CASE over the given names."""
-    out = F.lit(None).cast("bigint")
-    for name, k in n.items():
-        out = F.when(F.col("split") == name, F.lit(k)).otherwise(out)
-    return out
+def _wants(n: int):
+    return lambda total: n
 
 
 def limit_split(df: DataFrame, limits: dict[str, int], key: str, splits: list[str]) -> DataFrame:
     """The first rows of each limited split, in key order.
 
     `splits` are the splits of the source. With one split and several limits
-    each target is a head of the same rows, so they overlap.
+    each target is a head of the same rows, so they overlap; a row then appears
+    once for each target it is in. The cuts of all limits are found in one pass
+    over the keys, the rows are read once and filtered in place.
     """
     if not limits:
         return df
     if len(splits) == 1:
-        bucket = cut_bucket(df, key)
-        heads = [
-            head_rows(df, key, lambda total, k=n: F.lit(k), bucket).withColumn("split", F.lit(t)) for t, n in limits.items()
-        ]
-        return reduce(lambda a, b: a.unionByName(b), heads)
-    limited = [s for s in splits if s in limits]
-    rows = df.filter(F.col("split").isin(limited))
-    cuts = cut_keys(rows, key, lambda total, by: _cut_names(limits), by=["split"])
-    kept = rows.join(F.broadcast(cuts), "split").filter(F.col(key) <= F.col("_cut")).drop("_cut")
-    free = ~F.coalesce(F.col("split").isin(limited), F.lit(False))  # rows without a split have no limit
-    return kept.unionByName(df.filter(free))
+        last = nth_keys(df, key, {t: (None, _wants(n)) for t, n in limits.items()})
+        targets = F.array_compact(F.array(*[F.when(up_to(F.col(key), last[t]), F.lit(t)) for t in limits]))
+        return df.withColumn("split", F.explode(targets))
+    limited = {s: n for s, n in limits.items() if s in splits}
+    last = nth_keys(df, key, {s: (F.col("split") == s, _wants(n)) for s, n in limited.items()}) if limited else {}
+    kept = F.lit(True)  # rows without a split have no limit
+    for s in limited:
+        kept = F.when(F.col("split") == s, up_to(F.col(key), last[s])).otherwise(kept)
+    return df.filter(kept)
 
 
 def limit_split_stream(df: DataFrame, limits: dict[str, int], key: str, splits: list[str]) -> DataFrame:
@@ -92,31 +87,22 @@ def limit_split_stream(df: DataFrame, limits: dict[str, int], key: str, splits:
         return limit_split(df.filter(F.col("split").isin(list(asked))), asked, key, list(splits))
     if len(asked) == 1:
         ((name, n),) = asked.items()
-        return head_rows(df, key, lambda total: F.lit(n)).withColumn("split", F.lit(name))
-    bucket = cut_bucket(df, key)
-    first = cut_keys(df, key, lambda total, _: F.lit(test), bucket=bucket).select("_cut").scalar()
-    both = head_rows(df, key, lambda total: F.lit(train + test), bucket)
-    in_test = F.coalesce(F.col(key) <= first, F.lit(False))
-    return both.withColumn("split", F.when(in_test, "test").otherwise("train"))
+        return head_rows(df, key, _wants(n)).withColumn("split", F.lit(name))
+    last = nth_keys(df, key, {"test": (None, _wants(test)), "both": (None, _wants(train + test))})
+    both = df.filter(up_to(F.col(key), last["both"]))
+    return both.withColumn("split", F.when(up_to(F.col(key), last["test"]), "test").otherwise("train"))
 
 
 def split_fraction(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Add a reproducible `split`: exactly ceil(fraction * n) rows are `test`.
 
-    Rows are ranked by a hash of seed and key. Only the hash bucket that holds
-    the cut is sorted; the table is split in place by comparing with the cut.
+    Rows are ranked by a hash of seed and key; the table is split in place by
+    comparing with the last hash of the test rows.
     """
     order = F.concat_ws("|", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key).cast("string"))
-    bucket = F.floor(hash_uniform(seed, F.col(key)) * 4096)
-    hashed = df.withColumn("_order", order)
-    cut = cut_keys(
-        hashed.withColumn("_bucket", bucket).select("_order", "_bucket"),
-        "_order",
-        lambda total, _: F.ceil(F.lit(fraction) * total),
-        bucket=F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) * 4096),
-    )
-    in_test = F.coalesce(F.col("_order") <= cut.select("_cut").scalar(), F.lit(False))
-    return hashed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("_order")
+    keys = df.select(order.alias("_order")).withColumn("_lead", F.conv(F.substring("_order", 1, 15), 16, 10).cast("bigint"))
+    last = nth_keys(keys, "_lead", {"test": (None, lambda n: math.ceil(fraction * n))}, F.col("_order"))["test"]
+    return df.withColumn("split", F.when(up_to(order, last), "test").otherwise("train"))
 
 
 def select_prefix(
@@ -124,15 +110,9 @@ def select_prefix(
 ) -> DataFrame:
     """The first half, quarter or max_examples rows, whichever is least."""
 
-    def want(total: Column) -> Column:
-        caps = [total]
-        if half:
-            caps.append(F.floor(total / 2))
-        if quarter:
-            caps.append(F.floor(total / 4))
-        if max_examples is not None:
-            caps.append(F.lit(max_examples))
-        return F.least(*caps).cast("bigint") if len(caps) > 1 else total
+    def want(total: int) -> int:
+        caps = [total, *([total // 2] if half else []), *([total // 4] if quarter else [])]
+        return min(caps if max_examples is None else [*caps, max_examples])
 
     return head_rows(df, key, want)
 
@@ -143,14 +123,9 @@ def with_shards(df: DataFrame, key: str, num_shards: int, out: str = "shard_inde
     """
     if num_shards < 1:
         raise ValueError(f"the number of shards must be >= 1, got {num_shards}")
-    total = df.agg(F.count(F.lit(1))).scalar()
-    shard = F.expr(f"((_pos + 1) * {int(num_shards)} - 1) div _total + 1")
-    return (
-        prefix_totals(df, key, "_pos")
-        .withColumn("_total", total)
-        .withColumn(out, shard.cast("bigint"))
-        .drop("_pos", "_total")
-    )
+    total = max(df.count(), 1)
+    shard = F.expr(f"((_pos + 1) * {int(num_shards)} - 1) div {total} + 1")
+    return prefix_totals(df, key, "_pos").withColumn(out, shard.cast("bigint")).drop("_pos")
 
 
 def shard(df: DataFrame, key: str, num_shards: int, shard_index: int) -> DataFrame:

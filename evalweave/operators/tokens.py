@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays as A
 from evalweave.functions import text as T
 from evalweave.functions.hashing import hash_uniform
-from evalweave.functions.ordering import bucket_of, prefix_totals, range_bounds
+from evalweave.functions.ordering import prefix_totals, ranked
 from evalweave.operators.project import render_header
 from evalweave.sources.scratch import materialize
 
@@ -19,6 +22,8 @@ from evalweave.sources.scratch import materialize
 IGNORE = -100
 PAD, EOS, MASK, UNK = 0, 1, 2, 3
 FIRST_WORD = 4
+HELD = 1 << 17  # words of a vocabulary that each task holds, none above LONGEST letters
+LONGEST = 64
 ROW_ARRAYS = ("input_ids", "labels", "attention_mask")
 
 # ---- vocabulary --------------------------------------------------------------
@@ -27,46 +32,58 @@ ROW_ARRAYS = ("input_ids", "labels", "attention_mask")
 def build_vocab(words: DataFrame, words_col: str) -> DataFrame:
     """Table word, id: ids count up by falling word count, then by word.
 
-    The counts are written once. Words of one count are cut into ranges of their
-    first bytes, so the many words seen once do not meet in one task.
+    The counts are written once and sorted in ranges of both keys, so neither the many
+    words seen once nor words with a common beginning meet in one task.
     """
     counts = materialize(
         words.select(F.explode(words_col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
-    first_bytes = F.conv(F.rpad(F.substring(F.hex("word"), 1, 12), 12, "0"), 16, 10).cast("bigint")
-    keyed = counts.withColumn("_lead", first_bytes)
-    ranged = keyed.withColumn("_range", bucket_of(F.col("_lead"), range_bounds(keyed, "_lead")))
-    starts = (
-        ranged.groupBy("n", "_range")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_start", F.sum("_c").over(Window.orderBy(F.desc("n"), "_range")) - F.col("_c"))
-        .drop("_c")
-    )
-    place = F.row_number().over(Window.partitionBy("n", "_range").orderBy("word"))
-    return (
-        ranged.withColumn("_place", place)
-        .join(starts, ["n", "_range"])
-        .select("word", (F.col("_start") + F.col("_place") - 1 + FIRST_WORD).cast("int").alias("id"))
-    )
+    placed = ranked(counts, [F.desc("n"), F.asc("word")], "_pos")
+    return materialize(placed.select("word", (F.col("_pos") + FIRST_WORD).cast("int").alias("id")))
 
 
 def encode_words(df: DataFrame, key: str, words_col: str, vocab: DataFrame, out: str = "input_ids") -> DataFrame:
-    """Word arrays to id arrays (unknown words get UNK), as a table `key`, `out`.
+    """Word arrays to id arrays (unknown words get UNK), as a table `key`, `out`; the key is unique.
 
-    The join has no hint: Spark broadcasts a vocabulary below its size limit and
-    otherwise joins by word and splits frequent words. Rows without words, or with
-    NULL words, keep an empty array.
+    Every task looks up the HELD words of lowest id, the most frequent ones of `build_vocab`, in
+    whole Arrow batches. Only where the vocabulary has more do the words not found there become
+    rows: they are joined with the vocabulary and put back into their places. Rows without words,
+    or with NULL words, keep an empty array.
     """
-    long = df.select(key, F.posexplode(words_col).alias("pos", "word"))
-    ids = (
-        long.join(vocab, "word", "left")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_s"))
-        .select(key, F.col("_s.id").alias(out))
+    held = vocab.filter(F.length("word") <= LONGEST).orderBy("id").limit(HELD).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((held["word"].combine_chunks(), held["id"].combine_chunks()))
+    whole = vocab.count() <= held.num_rows
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = shared.value
+        for batch in batches:
+            words = batch.column(1)
+            flat, n = words.flatten(), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            found = ids.take(pc.index_in(flat, value_set=known))
+            missing = found.is_null().to_numpy(zero_copy_only=False)
+            border = np.concatenate(([0], np.cumsum(n)))
+            if whole:
+                found, absent = found.fill_null(UNK), np.zeros(len(n) + 1)
+            else:  # the k-th of a row that is not held, as -k
+                count = np.concatenate(([0], np.cumsum(missing)))
+                place = count[1:] - np.repeat(count[border[:-1]], n)
+                found, absent = pc.if_else(pa.array(missing), pa.array(-place, pa.int32()), found), count[border]
+            rest = pa.ListArray.from_arrays(pa.array(absent, pa.int32()), flat.filter(pa.array(missing & (not whole))))
+            column = pa.ListArray.from_arrays(pa.array(border, pa.int32()), found.cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, rest], names=["_key", "_ids", "_rest"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, words_col).mapInArrow(look_up, f"_key {kind}, _ids array<int>, _rest array<string>")
+    if whole:
+        return rows.select(F.col("_key").alias(key), F.col("_ids").alias(out))
+    rows = materialize(rows)
+    long = rows.select("_key", F.posexplode("_rest").alias("_pos", "_word"))
+    names = vocab.select(F.col("word").alias("_word"), F.col("id").alias("_id"))
+    rare = long.join(names, "_word", "left").groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_id", F.lit(UNK)).alias("id"))))["id"].alias("_rare")
     )
-    empty = F.array().cast("array<int>")
-    none = df.filter(F.coalesce(F.size(words_col), F.lit(0)) <= 0).select(key, empty.alias(out))
-    return ids.unionByName(none)
+    put = F.transform("_ids", lambda x: F.when(x < 0, F.get("_rare", -x - 1)).otherwise(x))
+    return rows.join(rare, "_key", "left").select(F.col("_key").alias(key), put.alias(out))
 
 
 def chat_tokens(chats: DataFrame, key: str, vocab: DataFrame, mask_prompt_loss: bool = True) -> DataFrame:

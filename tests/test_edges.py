@@ -1,12 +1,14 @@
 """Edge cases on literal rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from evalweave.functions import ordering
 from evalweave.functions import text as T
-from evalweave.functions.ordering import cut_keys, head_rows, prefix_totals
+from evalweave.functions.ordering import head_rows, nth_keys, prefix_totals
 from evalweave.operators import edits as E
 from evalweave.operators import extract as X
 from evalweave.operators import metrics as M
@@ -157,20 +159,90 @@ def test_records_with_and_without_samples(spark):
 # ---- order, limits, splits ---------------------------------------------------------
 
 
-def test_positions_are_dense_with_sparse_and_skewed_keys(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_positions_are_dense_with_sparse_and_skewed_keys(spark, monkeypatch, few):
+    """Ranges of few rows, blocks of few ranges, offsets broadcast or joined."""
+    monkeypatch.setattr(ordering, "FEW", few)
+    monkeypatch.setattr(ordering, "BLOCK", 3)
     keys = [i * i * i for i in range(500)] + [10**12 + i for i in range(500)]
-    df = spark.createDataFrame([(k, "a" if k < 10**12 else "b") for k in keys], "k long, g string").repartition(7)
-    got = prefix_totals(df, "k", "i", buckets=13).orderBy("k").collect()
-    assert [r["i"] for r in got] == list(range(1000))
-    per = prefix_totals(df, "k", "i", by=["g"], buckets=5).orderBy("k").collect()
+    df = spark.createDataFrame([(k, "a" if k < 10**12 else "b", k % 7) for k in keys], "k long, g string, v int").repartition(7)
+    got = prefix_totals(df, "k", "i", range_rows=60).orderBy("k").collect()
+    assert [r["i"] for r in got] == list(range(1000)) and got[3].asDict() == {"k": 27, "g": "a", "v": 27 % 7, "i": 3}
+    per = prefix_totals(df, "k", "i", by=["g"], range_rows=60).orderBy("k").collect()
     assert [r["i"] for r in per] == list(range(500)) * 2
+    sums = prefix_totals(df, "k", "s", F.col("v"), by=["g"], range_rows=60).orderBy("k").collect()
+    for half in (sums[:500], sums[500:]):
+        assert [r["s"] for r in half] == [sum(x["v"] for x in half[:i]) for i in range(500)]
+
+
+def test_ranges_follow_the_rows(spark):
+    """Ten times the rows give ten times the ranges, and none holds much more than the set rows."""
+    for n in (3_000, 30_000):
+        rows = ordering.sorted_ranges(spark.range(n).withColumnRenamed("id", "k"), ["k"], 1_000)
+        sizes = [r["count"] for r in rows.groupBy("_range").count().collect()]
+        assert len(sizes) == n // 1_000 and max(sizes) < 2_500
+    assert ordering.ranked(spark.range(0).withColumnRenamed("id", "k"), ["k"], "p").count() == 0
+
+
+def test_positions_of_null_keys_groups_and_repeated_queries(spark):
+    df = spark.createDataFrame([(None, None), (1, None), (2, "g"), (None, "g")], "k long, g string")
+    out = prefix_totals(df.withColumn("x", F.lit(1)), "k", "i", by=["g"])
+    want = {(None, None, 0), (1, None, 1), (None, "g", 0), (2, "g", 1)}
+    assert {(r["k"], r["g"], r["i"]) for r in out.collect()} == want == {(r["k"], r["g"], r["i"]) for r in out.collect()}
 
 
 def test_heads(spark):
     df = spark.range(100).withColumnRenamed("id", "k").repartition(5)
     for n in (0, 1, 37, 100, 500):
-        assert head_rows(df, "k", lambda t, n=n: F.lit(n)).count() == min(n, 100)
-    assert cut_keys(df, "k", lambda t, _: F.lit(10)).first()["_cut"] == 9
+        assert head_rows(df, "k", lambda t, n=n: n).count() == min(n, 100)
+    assert nth_keys(df, "k", {"c": (None, lambda t: 10)}) == {"c": 9}
+
+
+@pytest.mark.parametrize("held, longest", [(1 << 17, 64), (3, 64), (0, 64), (1 << 17, 2)])
+def test_words_looked_up_or_joined(spark, monkeypatch, held, longest):
+    """Whether a task holds all words, the first few or none: the ids are the same."""
+    monkeypatch.setattr(K, "HELD", held)
+    monkeypatch.setattr(K, "LONGEST", longest)
+    vocab = K.build_vocab(spark.createDataFrame([(["aaa"] * 5 + ["bbb"] * 4 + ["c"] * 3 + ["dd", "eee"],)], "w array<string>"), "w")
+    ids = {r["word"]: r["id"] for r in vocab.collect()}
+    assert ids == {"aaa": 4, "bbb": 5, "c": 6, "dd": 7, "eee": 8}
+    rows = {1: ["eee", "aaa", "nope", "eee", None, "dd", "c"], 2: [], 3: None, 4: ["nope"] * 3, 5: ["aaa"] * 50, 6: ["dd"]}
+    df = spark.createDataFrame(list(rows.items()), "word long, words array<string>").withColumn("id", F.lit(1))
+    got = {r["word"]: list(r["input_ids"]) for r in K.encode_words(df, "word", "words", vocab).collect()}
+    assert got == {k: [ids.get(w, 3) for w in ws or []] for k, ws in rows.items()}
+
+
+def test_cuts_by_rounds(spark, monkeypatch):
+    """Wide, dense and clustered keys, several cuts in one go, narrowed to a few rows by few steps."""
+    monkeypatch.setattr(ordering, "STEPS", 3)
+    rng = random.Random(8)
+    big = 2**63 - 1
+    cases = [
+        [-big, big, 0, 1, 2, 3, 4, 5], sorted(rng.sample(range(-10**15, 10**15), 400)), list(range(300)),
+        [5] * 1, [10**18 + i for i in range(150)] + [-(10**18) - i for i in range(150)],
+    ]
+    for keys in cases:
+        df = spark.createDataFrame([(k, k % 2 == 0) for k in keys] + [(None, True)], "k long, even boolean").repartition(3)
+        even = sorted(k for k in keys if k % 2 == 0)
+        ranks = {"first": 1, "third": len(keys) // 3, "last": len(keys), "over": 10**9}
+        cuts = {n: (None, lambda t, r=r: r) for n, r in ranks.items()} | {"even": (F.col("even"), lambda t: (t + 1) // 2), "none": (F.lit(False), lambda t: 5)}
+        want = {n: sorted(keys)[min(r, len(keys)) - 1] if r else None for n, r in ranks.items()}
+        want |= {"even": even[(len(even) + 1) // 2 - 1] if even else None, "none": None}
+        for rows in (1, 7):
+            assert nth_keys(df, "k", cuts, cut_rows=rows) == want
+
+
+def test_cuts_of_equal_leads(spark):
+    df = spark.createDataFrame([(i // 50, f"w{i:04d}") for i in range(200)], "lead long, word string")
+    for rank in (1, 50, 51, 199, 200):
+        assert nth_keys(df, "lead", {"c": (None, lambda t: rank)}, F.col("word"), cut_rows=5) == {"c": f"w{rank - 1:04d}"}
+
+
+def test_limits_of_several_splits(spark):
+    rows = [(i, s) for i, s in enumerate(["a", "b", "c", None] * 25)]
+    df = spark.createDataFrame(rows, "k long, split string")
+    got = {(r["k"], r["split"]) for r in L.limit_split(df, {"a": 3, "b": 0, "zz": 4}, "k", ["a", "b", "c"]).collect()}
+    assert got == {(0, "a"), (4, "a"), (8, "a")} | {(k, s) for k, s in rows if s in ("c", None)}
 
 
 def test_single_split_limits_overlap_or_not(spark):
