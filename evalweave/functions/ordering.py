@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evalweave.sources.scratch import materialize
 
-RANGE_ROWS = 500_000  # rows of a range, about
+RANGE_ROWS = 100_000  # rows of a range, about
 BLOCK = 1024  # ranges whose totals are summed up in one group
 FEW = 1 << 20  # rows of a table of range offsets up to which it is broadcast
 CUT_ROWS = 10_000  # rows that are sorted to find a cut
@@ -26,8 +26,9 @@ STEPS = 1024  # parts into which a round of narrowing divides what is left
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def sorted_ranges(df: DataFrame, order: Sequence[str | Column], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The rows, stored, with `_range` and the 0-based `_place` in it; ranges follow each other in order.
+def sorted_ranges(df: DataFrame, order: Sequence[str | Column], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """The rows, stored, with `_range` and the 0-based `_place` in it, and the number of ranges, which
+    follow each other in order.
 
     The number of ranges follows the rows. Sort columns that are unique together make the result unique.
     """
@@ -35,7 +36,8 @@ def sorted_ranges(df: DataFrame, order: Sequence[str | Column], range_rows: int
     ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The id counts the rows of a task from 0 and has the task's number above its 33rd bit.
     stored = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()))
-    return stored.select("*", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place")).drop("_at")
+    placed = stored.select("*", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place"))
+    return placed.drop("_at"), ranges
 
 
 def range_starts(rows: DataFrame, total: Column) -> DataFrame:
@@ -48,14 +50,14 @@ def range_starts(rows: DataFrame, total: Column) -> DataFrame:
     return totals.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(above, "_block").select("_range", (F.col("_above") + F.col("_inside")).alias("_start"))
 
 
-def _with_starts(rows: DataFrame, total: Column) -> DataFrame:
-    starts = materialize(range_starts(rows, total))
-    return rows.join(F.broadcast(starts) if starts.count() <= FEW else starts, "_range")
+def _with_starts(rows: DataFrame, ranges: int, total: Column) -> DataFrame:
+    starts = range_starts(rows, total)
+    return rows.join(F.broadcast(starts) if ranges <= FEW else starts, "_range")
 
 
 def ranked(df: DataFrame, order: Sequence[str | Column], out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows with their dense 0-based position in the order, by ranges; meant for narrow tables."""
-    placed = _with_starts(sorted_ranges(df, order, range_rows), F.count(F.lit(1)))
+    placed = _with_starts(*sorted_ranges(df, order, range_rows), F.count(F.lit(1)))
     return placed.withColumn(out, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
@@ -78,13 +80,13 @@ def prefix_totals(
     """
     keys = [*by, key]
     narrow = df.select(*keys, *([] if value is None else [F.coalesce(value, F.lit(0)).alias("_v")]))
-    rows = sorted_ranges(narrow, keys, range_rows)
+    rows, ranges = sorted_ranges(narrow, keys, range_rows)
     if value is None:
         inside, total = F.col("_place"), F.count(F.lit(1))
     else:
         earlier = Window.partitionBy("_range").orderBy("_place").rowsBetween(*_BEFORE)
         inside, total = F.coalesce(F.sum("_v").over(earlier), F.lit(0)), F.sum("_v")
-    placed = _with_starts(rows, total).withColumn(out, F.col("_start") + inside)
+    placed = _with_starts(rows, ranges, total).withColumn(out, F.col("_start") + inside)
     if by:
         first = placed.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.min_by(out, F.struct("_range", "_place")).alias("_first"))
         placed = placed.join(first, _same(by), "left").withColumn(out, F.col(out) - F.col("_first"))

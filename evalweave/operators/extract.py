@@ -155,15 +155,15 @@ SAMPLE_FIELDS = (
 PROBLEM_FIELDS = ("name", "informal_prefix", "formal_statement", "prompt_formal_statement")
 
 
-def nest_samples(df: DataFrame, num_samples: int) -> DataFrame:
-    """Records of a problem with `num_samples` samples each, as an ordered array.
+def nest_samples(df: DataFrame) -> DataFrame:
+    """One record per problem with all its samples, as an ordered array.
 
-    Samples beyond `num_samples` start the next record (`run`), so no record
-    grows with the number of samples a problem has.
+    A problem that was sampled in several runs has a record for each: `run` is a column of
+    the input then, and a record is as large as the number of samples its run asked for.
     """
-    run = F.floor(F.col("sample_id") / num_samples).cast("bigint")
+    keys = [c for c in ("dataset_index", "run") if c in df.columns]
     return (
-        df.groupBy("dataset_index", run.alias("run"))
+        df.groupBy(*keys)
         .agg(
             *[F.any_value(c).alias(c) for c in PROBLEM_FIELDS],
             F.count(F.lit(1)).alias("num_samples"),

@@ -6,9 +6,10 @@ Random draws are hash uniforms of (seed, row, position), so they repeat.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,9 +190,12 @@ def with_cart_weights(df: DataFrame, masked: str = "masked", out: str = "cart_we
     if not 0.0 < p < 1.0:
         raise ValueError("p must be between 0 and 1")
 
-    @F.pandas_udf("array<double>")
-    def weigh(rows: pd.Series, sizes: pd.Series) -> pd.Series:
-        return rows.map(lambda m: None if m is None else _cart_row(np.asarray(m, dtype=bool), p))
+    @F.arrow_udf("array<double>")
+    def weigh(rows: pa.Array, sizes: pa.Array) -> pa.Array:
+        n = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        border = np.concatenate(([0], np.cumsum(n)))
+        weights = _cart(rows.flatten().fill_null(False).to_numpy(zero_copy_only=False), border, p)
+        return pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(weights), mask=rows.is_null())
 
     # Both marks keep the call on its own: with a second use of the array the
     # optimizer leaves the array a column, and a call that is not deterministic
@@ -199,19 +203,23 @@ def with_cart_weights(df: DataFrame, masked: str = "masked", out: str = "cart_we
     return df.withColumn(out, weigh.asNondeterministic()(F.col(masked), F.size(masked)))
 
 
-def _cart_row(masked: np.ndarray, p: float) -> np.ndarray:
+def _cart(masked: np.ndarray, border: np.ndarray, p: float) -> np.ndarray:
+    """The weights of all rows, given as one flat array and their borders."""
     seen = (~masked).astype(float)
-    near = _decayed(seen, 1.0 - p) + _decayed(seen[::-1], 1.0 - p)[::-1]
+    near = _decayed(seen, border, 1.0 - p) + _decayed(seen[::-1], border[-1] - border[::-1], 1.0 - p)[::-1]
     return np.where(masked, 0.5 * p * near, 0.0)
 
 
-def _decayed(x: np.ndarray, q: float) -> np.ndarray:
-    """For each i the sum over j < i of x[j] * q^(i-j-1).
+def _decayed(x: np.ndarray, border: np.ndarray, q: float) -> np.ndarray:
+    """For each i the sum over earlier j of its row of x[j] * q^(i-j-1).
 
-    Terms are scaled by powers of q inside blocks short enough for doubles; what
-    a block hands on decays to nothing within the next one.
+    One scan runs over all rows: terms are scaled by powers of q inside blocks short enough for
+    doubles, and what a block hands on decays to nothing within the next one. What earlier
+    rows hand on to a row, the scan at its border, is then taken off with its own decay.
     """
-    block = max(1, int(120 / -math.log10(q)))
+    if not len(x):
+        return x
+    block = min(max(1, int(120 / -math.log10(q))), len(x))
     n = -(-len(x) // block)
     grid = np.zeros(n * block)
     grid[: len(x)] = x
@@ -220,8 +228,11 @@ def _decayed(x: np.ndarray, q: float) -> np.ndarray:
     scaled = np.cumsum(grid * q ** -(at + 1.0), axis=1)
     before = np.hstack([np.zeros((n, 1)), scaled[:, :-1]]) * q**at
     ends = grid @ q ** (block - 1.0 - at)
-    carried = np.concatenate([[0.0], ends[:-1]]) if n else ends
-    return (before + carried[:, None] * q**at).reshape(-1)[: len(x)]
+    carried = np.concatenate([[0.0], ends[:-1]])
+    scan = (before + carried[:, None] * q**at).reshape(-1)[: len(x)]
+    size = np.diff(border)
+    first = np.repeat(border[:-1], size)
+    return scan - scan[first] * q ** (np.arange(len(x)) - first)
 
 
 def loss_weight(kind: str, t: Column, schedule: str = LINEAR) -> Column:
@@ -233,6 +244,17 @@ def loss_weight(kind: str, t: Column, schedule: str = LINEAR) -> Column:
     raise NotImplementedError(kind)
 
 
+_CART_KIND = re.compile(r"cart(?:\[geo_p:(0\.\d+)\])?")
+
+
+def with_loss_weights(df: DataFrame, kind: str, t: str = "t", masked: str = "masked", out: str = "loss_weight", schedule: str = LINEAR) -> DataFrame:
+    """Add the weight of every token: `scheduler`, `uniform`, or `cart[geo_p:x]` with `cart` for x = 0.3."""
+    cart = _CART_KIND.fullmatch(kind)
+    if cart:
+        return with_cart_weights(df, masked, out, float(cart[1] or 0.3))
+    return df.withColumn(out, F.array_repeat(loss_weight(kind, F.col(t), schedule), F.size(masked)))
+
+
 # ---- accounting --------------------------------------------------------------
 
 

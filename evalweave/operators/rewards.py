@@ -227,60 +227,78 @@ NUMBER = r"\d+\.?\d*|\.\d+"
 
 
 def arithmetic(expression: Column) -> Column:
-    """Value of an expression of numbers, + - * / and parentheses, else NULL.
-
-    One pass over the tokens. Open parentheses put the sum and the product so
-    far on a stack; a closing one takes them back with its value as a factor.
+    """Value of an expression of numbers, + - * / // ** and parentheses, else NULL.
+
+    One pass over the tokens. The top frame holds the sum so far, the product so far with its
+    sign, and the chain of powers that is still open: pairs of a sign and a base, worked out from
+    the right when another operator comes, so ** is right-associative, binds closer than a sign
+    on its left and less close than one on its right. An open parenthesis puts the frame on a
+    stack; a closing one takes it back with its value as the next base. What has no finite real
+    value (division by 0, a root of a negative number) gives NULL.
     """
-    frame = "struct<acc: double, term: double, op: string, sign: double>"
-    zero, one = F.lit(0.0), F.lit(1.0)
+    link = "struct<sign: double, base: double>"
+    frame = f"struct<sum: double, side: double, product: double, op: string, chain: array<{link}>, sign: double>"
+    zero, one, none = F.lit(0.0), F.lit(1.0), F.lit("")
+    no_chain = F.array().cast(f"array<{link}>")
+
+    def make(total: Column, side: Column, product: Column, op: Column, chain: Column, sign: Column) -> Column:
+        return F.struct(total.alias("sum"), side.alias("side"), product.alias("product"), op.alias("op"), chain.alias("chain"), sign.alias("sign")).cast(frame)
+
+    def with_base(f: Column, base: Column) -> Column:
+        """Frame f with one more link of its chain."""
+        new = F.struct(f["sign"].alias("sign"), base.alias("base")).cast(link)
+        return make(f["sum"], f["side"], f["product"], f["op"], F.concat(f["chain"], F.array(new)), one)
+
+    def finite(x: Column) -> Column:
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+    def power(chain: Column) -> Column:
+        """Value of a chain: each base to the power of what stands on its right."""
+        last = F.element_at(chain, F.lit(-1))
+        rest = F.reverse(F.slice(chain, 1, F.size(chain) - 1))
+        return F.aggregate(rest, last["sign"] * last["base"], lambda x, l: l["sign"] * finite(F.pow(l["base"], x)))
 
-    def factor(f: Column, v: Column) -> Column:
-        """The product of frame f with its next factor."""
-        x = f["sign"] * v
-        return F.when(f["op"] == "*", f["term"] * x).when(f["op"] == "/", F.try_divide(f["term"], x)).otherwise(x)
+    def product(f: Column) -> Column:
+        """The product of frame f with its chain as the next factor."""
+        x, p = power(f["chain"]), f["product"]
+        return F.when(f["op"] == "*", p * x).when(f["op"] == "/", F.try_divide(p, x)).when(f["op"] == "//", F.floor(F.try_divide(p, x)).cast("double")).otherwise(x)
 
-    def new_frame(acc: Column, term: Column, op: Column, sign: Column) -> Column:
-        return F.struct(acc.alias("acc"), term.alias("term"), op.alias("op"), sign.alias("sign")).cast(frame)
+    def total(f: Column) -> Column:
+        return f["sum"] + f["side"] * product(f)
 
     def state(ok: Column, want: Column, top: Column, stack: Column) -> Column:
         return F.struct(ok.alias("ok"), want.alias("want"), top.alias("top"), stack.alias("stack"))
 
-    none = F.lit("")
-    fresh = new_frame(zero, zero, none, one)
+    fresh = make(zero, one, zero, none, no_chain, one)
 
     def step(s: Column, t: Column) -> Column:
         top, stack, want = s["top"], s["stack"], s["want"]
-        number = t.try_cast("double")
         is_number = F.rlike(t, F.lit(rf"\A({NUMBER})\z")) & ~F.rlike(t, F.lit(r"\A0+[1-9][0-9]*\z"))
-        below = F.try_element_at(stack, F.lit(-1))
-        closed = top["acc"] + top["term"]
         sign = F.when(t == "-", -1.0).otherwise(1.0)
-        valued = new_frame(top["acc"], factor(top, number), none, one)
-        signed = new_frame(top["acc"], top["term"], top["op"], top["sign"] * sign)
-        added = new_frame(closed, zero, none, sign)
-        times = new_frame(top["acc"], top["term"], t, one)
-        popped = new_frame(below["acc"], factor(below, closed), none, one)
+        signed = make(top["sum"], top["side"], top["product"], top["op"], top["chain"], top["sign"] * sign)
+        added = make(total(top), sign, zero, none, no_chain, one)
+        times = make(top["sum"], top["side"], product(top), t, no_chain, one)
+        closed = with_base(F.try_element_at(stack, F.lit(-1)), total(top))
         rest = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
         yes, no = F.lit(True), F.lit(False)
         plus = t.isin("+", "-")
         return (
             F.when(~s["ok"], s)
-            .when(is_number & want, state(valued["term"].isNotNull(), no, valued, stack))
+            .when(is_number & want, state(yes, no, with_base(top, t.try_cast("double")), stack))
             .when(plus & want, state(yes, yes, signed, stack))
-            .when(plus, state(yes, yes, added, stack))
-            .when(t.isin("*", "/") & ~want, state(yes, yes, times, stack))
+            .when(plus, state(added["sum"].isNotNull(), yes, added, stack))
+            .when(t.isin("*", "/", "//") & ~want, state(times["product"].isNotNull(), yes, times, stack))
+            .when((t == "**") & ~want, state(yes, yes, top, stack))
             .when((t == "(") & want, state(yes, yes, fresh, F.concat(stack, F.array(top))))
-            .when((t == ")") & ~want & (F.size(stack) > 0), state(popped["term"].isNotNull(), no, popped, rest))
+            .when((t == ")") & ~want & (F.size(stack) > 0), state(total(top).isNotNull(), no, closed, rest))
             .when((t == "\n") & (F.size(stack) > 0), s)
             .otherwise(state(no, want, top, stack))
         )
 
     def done(s: Column) -> Column:
-        whole = s["ok"] & ~s["want"] & (F.size(s["stack"]) == 0)
-        return F.when(whole, s["top"]["acc"] + s["top"]["term"])
+        return F.when(s["ok"] & ~s["want"] & (F.size(s["stack"]) == 0), total(s["top"]))
 
-    tokens = F.regexp_extract_all(expression, F.lit(rf"({NUMBER}|\n|[^\s])"), F.lit(1))
+    tokens = F.regexp_extract_all(expression, F.lit(rf"({NUMBER}|\*\*|//|\n|[^\s])"), F.lit(1))
     start = state(F.lit(True), F.lit(True), fresh, F.array().cast(f"array<{frame}>"))
     return F.aggregate(tokens, start, step, done)
 

@@ -39,7 +39,7 @@ def build_vocab(words: DataFrame, words_col: str) -> DataFrame:
         words.select(F.explode(words_col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
     placed = ranked(counts, [F.desc("n"), F.asc("word")], "_pos")
-    return materialize(placed.select("word", (F.col("_pos") + FIRST_WORD).cast("int").alias("id")))
+    return placed.select("word", (F.col("_pos") + FIRST_WORD).cast("int").alias("id"))
 
 
 def encode_words(df: DataFrame, key: str, words_col: str, vocab: DataFrame, out: str = "input_ids") -> DataFrame:
@@ -50,6 +50,7 @@ def encode_words(df: DataFrame, key: str, words_col: str, vocab: DataFrame, out:
     rows: they are joined with the vocabulary and put back into their places. Rows without words,
     or with NULL words, keep an empty array.
     """
+    vocab = materialize(vocab)  # read by every step below
     held = vocab.filter(F.length("word") <= LONGEST).orderBy("id").limit(HELD).toArrow()
     shared = df.sparkSession.sparkContext.broadcast((held["word"].combine_chunks(), held["id"].combine_chunks()))
     whole = vocab.count() <= held.num_rows

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
@@ -159,28 +162,56 @@ def pick_source(df: DataFrame, out: str = "proof") -> DataFrame:
     )
 
 
+PROOF = "merged_proof"
+#: Fields of a sample that its slot carries along.
+CARRIED = ("reasoning", "completion", "raw_completion", "complete_lean_proof_section")
+_WIDE = re.compile(rf"(?:{PROOF}|{'|'.join(CARRIED)})_[0-9]+")
+
+
 def normalize_slots(records: DataFrame) -> DataFrame:
-    """One row per proof slot of nested records, 1-based, with the slot count `n`.
+    """One row per proof slot, 1-based, with the slot count `n`, the name `field` of its proof, the
+    proof, and the carried fields (NULL where the record has none).
 
-    Records without a `samples` array hold one ready proof in `merged_proof`
-    and give one slot. A record with an empty array gives no slot.
+    Three forms of records, told apart row by row: a `samples` array gives a slot per sample, none
+    where it is empty, and its fields take the place of a record's of the same name; one ready `merged_proof` gives one slot; `merged_proof_1`, `merged_proof_2`
+    and so on give `n` slots (1 if there is no `n`), those without a column an empty proof. A record
+    with none of these gives one slot with an empty proof.
     """
-    has_samples = "samples" in records.columns
-    has_proof = "merged_proof" in records.columns
-    keys = [c for c in records.columns if c not in ("samples", "merged_proof", "n")]
+    columns = set(records.columns)
+    wide = sorted(int(c.rpartition("_")[2]) for c in columns if re.fullmatch(rf"{PROOF}_[0-9]+", c))
+    inner = records.schema["samples"].dataType.elementType.names if "samples" in columns else []
+    keys = [c for c in records.columns if c not in ("samples", PROOF, "n", *CARRIED, *inner) and not _WIDE.fullmatch(c)]
+
+    def held(name: str) -> Column:
+        return F.col(name).isNotNull() if name in columns else F.lit(False)
+
+    def field(name: str) -> Column:
+        return (F.col(name) if name in columns else F.lit(None)).cast("string")
+
+    is_wide = F.coalesce(*[F.when(held(f"{PROOF}_{i}"), F.lit(True)) for i in wide], F.lit(False))
+    form = F.when(held("samples"), "samples").when(held(PROOF), "one").when(is_wide, "wide").otherwise("none")
+    rows = records.withColumn("_form", form)
     parts = []
-    if has_samples:
-        rows = records.filter(F.col("samples").isNotNull())
-        long = rows.select(*keys, F.size("samples").alias("n"), F.posexplode("samples").alias("slot", "s"))
-        long = long.select(*keys, "n", (F.col("slot") + 1).alias("slot"), "s.*")
-        parts.append(pick_source(long).select(*keys, "n", "slot", "proof"))
-    if has_proof:
-        rows = records.filter(F.col("samples").isNull()) if has_samples else records
-        parts.append(rows.select(*keys, F.lit(1).alias("n"), F.lit(1).alias("slot"), F.col("merged_proof").alias("proof")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if "samples" in columns:
+        nested = rows.filter("_form = 'samples'").select(*keys, F.size("samples").alias("n"), F.posexplode("samples").alias("slot", "s"))
+        long = nested.select(*keys, "n", (F.col("slot") + 1).alias("slot"), "s.*")
+        own = {c: F.col(c) if c in inner else F.lit(None).cast("string") for c in CARRIED}
+        section = own["complete_lean_proof_section"]
+        own["complete_lean_proof_section"] = F.when(section != "", section).otherwise(X.proof_section(own["completion"]))
+        name = F.concat(F.lit(f"{PROOF}_"), F.col("slot").cast("string"))
+        parts.append(pick_source(long).select(*keys, "n", "slot", name.alias("field"), "proof", *[v.alias(c) for c, v in own.items()]))
+    slots = [(i, F.struct(field(f"{PROOF}_{i}").alias("proof"), *[field(f"{c}_{i}").alias(c) for c in CARRIED])) for i in wide]
+    if slots:
+        n = F.coalesce(F.col("n").cast("int"), F.lit(1)) if "n" in columns else F.lit(1)
+        by_number = F.array(*[dict(slots).get(i, F.lit(None).cast("struct<proof: string, " + ", ".join(f"{c}: string" for c in CARRIED) + ">")) for i in range(1, wide[-1] + 1)])
+        each = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.try_element_at(by_number, i)))
+        long = rows.filter("_form = 'wide'").select(*keys, n.alias("n"), F.posexplode(each).alias("slot", "s"))
+        name = F.concat(F.lit(f"{PROOF}_"), (F.col("slot") + 1).cast("string"))
+        parts.append(long.select(*keys, "n", (F.col("slot") + 1).alias("slot"), name.alias("field"), "s.proof", *[f"s.{c}" for c in CARRIED]))
+    rest = rows.filter("_form IN ('one', 'none')")
+    one = F.lit(1)
+    parts.append(rest.select(*keys, one.alias("n"), one.alias("slot"), F.lit(PROOF).alias("field"), field(PROOF).alias("proof"), *[field(c).alias(c) for c in CARRIED]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 EMPTY, MISMATCH, CHECK = "empty", "mismatch", "verify"
@@ -190,17 +221,31 @@ def route(slots: DataFrame, mode: str = EXACT) -> DataFrame:
     """Decide per slot whether it needs the checker.
 
     `route` is `empty`, `mismatch` (only for slots with a statement) or
-    `verify`; the first two carry their failed verdict's message already.
+    `verify`; the first two carry their failed verdict already, as `route_verdict`.
     """
     matched = prepare_match(slots, mode)
     stated = T.strip(T.text_or_empty("formal_statement")) != ""
     empty = F.coalesce(F.col("proof") == "", F.lit(True))
     decided = F.when(empty, EMPTY).when(stated & ~F.col("match_final"), MISMATCH).otherwise(CHECK)
-    message = F.when(F.col("route") == EMPTY, F.lit("proof is null or empty")).when(
+    named = F.col("field") if "field" in slots.columns else F.lit(PROOF)
+    message = F.when(F.col("route") == EMPTY, F.concat(named, F.lit(" is null or empty"))).when(
         F.col("route") == MISMATCH,
         F.lit(f"formal statement does not match proof (statement_match={mode})"),
     )
-    return matched.withColumn("route", decided).withColumn("route_error", message)
+    return matched.withColumn("route", decided).withColumn("route_error", message).withColumn("route_verdict", failed_verdict())
+
+
+def failed_verdict() -> Column:
+    """The verdict of a slot that no checker sees, from its route and flags; NULL for others."""
+    mismatch = F.col("route") == MISMATCH
+    none = F.array().cast("array<struct<data: string>>")
+    flags = {"formal_statement_match_original": "match_original", "formal_statement_match": "match_final", "formal_statement_substituted": "substituted"}
+    verdict = F.struct(
+        F.lit(False).alias("pass"), F.lit(False).alias("complete"), F.array(F.struct(F.col("route_error").alias("data"))).alias("errors"),
+        none.alias("warnings"), none.alias("sorries"), F.lit(0.0).alias("verify_time"), F.lit(None).cast("string").alias("system_errors"),
+        F.when(mismatch, F.lit(True)).alias("statement_match_failed"), *[F.when(mismatch, F.col(c)).alias(n) for n, c in flags.items()],
+    )
+    return F.when(F.col("route") != CHECK, verdict)
 
 
 def route_counts(routed: DataFrame) -> DataFrame:

@@ -134,18 +134,19 @@ def verification_source(spark, sf):
     return X.add_sample_fields(I.samples(spark, sf), X.DIFFUSION).select(*_ID, "verification_source")
 
 
-RECORD_SIZE = 8
+# Each problem has been sampled in runs of 8.
+RUN = "floor(sample_id / 8)"
 _NESTED = f"""SELECT dataset_index, run, any_value(name) AS name, any_value(prompt_formal_statement) AS prompt_formal_statement,
   count(*) AS num_samples,
   string_agg(concat(sample_id, ':', md5(completion), ':', coalesce(md5(reasoning), '-'), ':', coalesce(md5(lean_code_block), '-'), ':',
      coalesce(md5(verification_source), '-'), ':', md5(candidate_source), ':', coalesce(md5(complete_lean_proof_section), '-')), ';' ORDER BY sample_id) AS samples
-  FROM (SELECT *, sample_id // {RECORD_SIZE} AS run FROM fields) f GROUP BY dataset_index, run"""
+  FROM (SELECT *, CAST({RUN} AS BIGINT) AS run FROM fields) f GROUP BY dataset_index, run"""
 
 
 @query("sample_records", _sql(_NESTED))
 def sample_records(spark, sf):
-    """Nested records of at most RECORD_SIZE samples, each field shown by its md5."""
-    records = X.nest_samples(X.add_sample_fields(I.samples(spark, sf)), RECORD_SIZE)
+    """Nested records, one for each run of a problem, each field shown by its md5."""
+    records = X.nest_samples(X.add_sample_fields(I.samples(spark, sf)).withColumn("run", F.expr(RUN).cast("bigint")))
 
     def show(s):
         parts = [

@@ -35,18 +35,19 @@ def _times(spark, sf):
 def _d_alpha(kind):
     a, ad = _A[kind].format(x="t"), _AD[kind].format(x="t")
     half = _A[kind].format(x="(t / 2)")
-    return f"""SELECT doc_id, '{kind}' AS kind, round({a}, 6) AS alpha, round({ad}, 6) AS derivative, round(-{ad} / (1 - {a} + 1e-6), 4) AS weight,
-      round((1 - {half}) / (1 - {a}), 6) AS still_masked FROM t WHERE t > 0.001"""
+    return f"""SELECT doc_id, '{kind}' AS kind, round({a}, 6) AS alpha, round({ad}, 6) AS derivative, round(ln(-{ad} / (1 - {a} + 1e-6)), 5) AS weight_log,
+      round((1 - {half}) / (1 - {a}), 6) AS still_masked FROM t"""
 
 
 @query("alpha_schedule", D.ctes(t=_T) + " UNION ALL ".join(_d_alpha(k) for k in _A))
 def alpha_schedule(spark, sf):
-    df = _times(spark, sf).filter(F.col("t") > 0.001)
+    """Weights as logarithms: they grow without bound where t is near 0."""
+    df = _times(spark, sf)
     t = F.col("t")
     parts = [
         df.select(
             "doc_id", F.lit(k).alias("kind"), r6(N.alpha(t, k)).alias("alpha"), r6(N.alpha_derivative(t, k)).alias("derivative"),
-            F.round(N.alpha_weight(t, k), 4).alias("weight"), r6(N.reverse_mask_prob(t / 2, t, k)).alias("still_masked"),
+            F.round(F.log(N.alpha_weight(t, k)), 5).alias("weight_log"), r6(N.reverse_mask_prob(t / 2, t, k)).alias("still_masked"),
         )
         for k in (N.LINEAR, N.COSINE)
     ]
@@ -55,17 +56,18 @@ def alpha_schedule(spark, sf):
 
 def _d_kappa(kind):
     k, kd = _K[kind].format(x="t"), _KD[kind].format(x="t")
-    return f"SELECT doc_id, '{kind}' AS kind, round({k}, 6) AS kappa, round({kd}, 6) AS derivative, round({kd} / (1 - {k} + 1e-6), 4) AS weight FROM t WHERE t < 0.999"
+    return f"SELECT doc_id, '{kind}' AS kind, round({k}, 6) AS kappa, round({kd}, 6) AS derivative, round(ln({kd} / (1 - {k} + 1e-6)), 5) AS weight_log FROM t"
 
 
 @query("kappa_schedule", D.ctes(t=_T) + " UNION ALL ".join(_d_kappa(k) for k in _K))
 def kappa_schedule(spark, sf):
-    df = _times(spark, sf).filter(F.col("t") < 0.999)
+    """Weights as logarithms: they grow without bound where t is near 1."""
+    df = _times(spark, sf)
     t = F.col("t")
     parts = [
         df.select(
             "doc_id", F.lit(k).alias("kind"), r6(N.kappa(t, k)).alias("kappa"), r6(N.kappa_derivative(t, k)).alias("derivative"),
-            F.round(N.kappa_weight(t, k), 4).alias("weight"),
+            F.round(F.log(N.kappa_weight(t, k)), 5).alias("weight_log"),
         )
         for k in (N.CUBIC, N.LINEAR, N.COSINE)
     ]
@@ -135,14 +137,18 @@ def mask_noise_stratified(spark, sf):
 
 
 # Terms beyond 100 positions are below 1e-15 and cannot show in 5 digits.
-_NEAR = " + ".join(
-    f"{0.7 ** (d - 1)!r} * (coalesce(lag(u, {d}) OVER w, 0) + coalesce(lead(u, {d}) OVER w, 0))" for d in range(1, 101)
-)
-_CART = f"""SELECT * FROM (SELECT doc_id, pos, u, 0.15 * ({_NEAR}) AS w FROM
+def _cart_sql(p: float, reach: int = 101) -> str:
+    near = " + ".join(
+        f"{(1 - p) ** (d - 1)!r} * (coalesce(lag(u, {d}) OVER w, 0) + coalesce(lead(u, {d}) OVER w, 0))" for d in range(1, reach)
+    )
+    return f"""SELECT * FROM (SELECT doc_id, pos, u, {p / 2!r} * ({near}) AS w FROM
   (SELECT doc_id, unnest(range(len(masked))) AS pos, unnest(list_transform(masked, lambda v: CASE WHEN v THEN 0.0 ELSE 1.0 END)) AS u FROM m) l
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) z WHERE u = 0"""
 
 
+_CART = _cart_sql(0.3)
+
+
 @query("weight_cart", D.ctes(**MASKED, c=_CART) + "SELECT doc_id, count(*) AS n, round(sum(w) + 1e-9, 5) AS weight_sum, round(max(w) + 1e-9, 6) AS weight_max, round(sum(w * pos) / nullif(sum(w), 0) + 1e-9, 3) AS centre FROM c GROUP BY doc_id")
 def weight_cart(spark, sf):
     df = N.with_cart_weights(masked(spark, sf).select("doc_id", "masked"))
@@ -157,12 +163,23 @@ def weight_cart(spark, sf):
     )
 
 
-@query("loss_weights", D.ctes(**MASKED) + "SELECT doc_id, round(1 / (1 - (1 - t) + 1e-6), 4) AS scheduler, 1.0::DOUBLE AS uniform FROM m WHERE t > 0.01")
+@query(
+    "loss_weights",
+    D.ctes(**MASKED, c=_cart_sql(0.5))
+    + """SELECT doc_id, round(len(masked) * (1 / (1 - (1 - t) + 1e-6)), 3) AS scheduler, len(masked)::DOUBLE AS uniform, round(coalesce(w, 0) + 1e-9, 5) AS cart
+      FROM m LEFT JOIN (SELECT doc_id, sum(w) AS w FROM c GROUP BY doc_id) s USING (doc_id)""",
+)
 def loss_weights(spark, sf):
-    t = F.col("t")
-    return masked(spark, sf).filter(t > 0.01).select(
-        "doc_id", F.round(N.loss_weight("scheduler", t), 4).alias("scheduler"), N.loss_weight("uniform", t).alias("uniform")
-    )
+    """The weights of all tokens of a row, added up."""
+    df = masked(spark, sf).select("doc_id", "t", "masked")
+    kinds = {"scheduler": "scheduler", "uniform": "uniform", "cart": "cart[geo_p:0.5]"}
+    for name, kind in kinds.items():
+        df = N.with_loss_weights(df, kind, out=name)
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, w: a + w)
+
+    return df.select("doc_id", F.round(total("scheduler"), 3).alias("scheduler"), total("uniform").alias("uniform"), F.round(total("cart") + 1e-9, 5).alias("cart"))
 
 
 # ---- accounting ------------------------------------------------------------------

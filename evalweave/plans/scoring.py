@@ -174,29 +174,35 @@ def reward_boxed_tags(spark, sf):
 
 # ---- countdown and sudoku ------------------------------------------------------------
 
-_COUNTDOWN = """SELECT doc_id, 1 + doc_id % 9 AS a, 1 + doc_id % 7 AS b, 1 + doc_id % 5 AS c, CASE doc_id % 8
+_COUNTDOWN = """SELECT doc_id, 1 + doc_id % 9 AS a, 1 + doc_id % 7 AS b, 1 + doc_id % 5 AS c, CASE doc_id % 10
   WHEN 0 THEN concat(text, '<answer>', 1 + doc_id % 9, ' + ', 1 + doc_id % 7, ' * ', 1 + doc_id % 5, '</answer>')
   WHEN 1 THEN concat(text, '<answer>(', 1 + doc_id % 9, '-', 1 + doc_id % 7, ')/', 1 + doc_id % 5, '</answer>')
   WHEN 2 THEN concat('<answer>', 1 + doc_id % 9, '+', 1 + doc_id % 7, '</answer>') WHEN 3 THEN text
   WHEN 4 THEN concat('<answer>1</answer>', text, '<answer>', chr(10), '-', 1 + doc_id % 9, '*(', 1 + doc_id % 7, '-(', 1 + doc_id % 5, '))</answer>')
   WHEN 5 THEN concat('<answer>', 1 + doc_id % 9, ' ', 1 + doc_id % 7, ' ', 1 + doc_id % 5, '</answer>')
   WHEN 6 THEN concat('<answer>', 1 + doc_id % 9, '/(', 1 + doc_id % 7, '-', 1 + doc_id % 5, ')</answer>')
+  WHEN 7 THEN concat('<answer>', 1 + doc_id % 9, '**', 1 + doc_id % 7, ' // ', 1 + doc_id % 5, '</answer>')
+  WHEN 8 THEN concat(text, '<answer>-', 1 + doc_id % 9, '//', 1 + doc_id % 7, '**-', 1 + doc_id % 5, '</answer>')
   ELSE concat('<answer>', 1 + doc_id % 9, '+', 1 + doc_id % 7, '+', 1 + doc_id % 5, ' apples</answer>') END AS completion FROM documents"""
-_VALUE = """CASE doc_id % 8 WHEN 0 THEN a + b * c WHEN 1 THEN (a - b) / c WHEN 4 THEN -a * (b - c) WHEN 6 THEN CASE WHEN b <> c THEN a / (b - c) END END"""
+_VALUE = """CASE doc_id % 10 WHEN 0 THEN a + b * c WHEN 1 THEN (a - b) / c WHEN 2 THEN a + b WHEN 4 THEN -a * (b - c) WHEN 6 THEN CASE WHEN b <> c THEN a / (b - c) END
+  WHEN 7 THEN floor(pow(a, b) / c) WHEN 8 THEN floor(-a / pow(b, -c)) END"""
+_TARGET = "(CASE WHEN doc_id % 10 = 7 THEN CAST(floor(pow(a, b) / c) AS BIGINT) ELSE a + b * c END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)"
 
 
-@query("reward_countdown", D.ctes(x=_COUNTDOWN) + f"SELECT doc_id, CASE WHEN doc_id % 8 = 3 THEN 0.0::DOUBLE WHEN abs({_VALUE} - (a + b * c + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)) < 1e-5 THEN 1 ELSE 0.1 END AS reward FROM x")
+@query(
+    "reward_countdown",
+    D.ctes(x=_COUNTDOWN)
+    + f"SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 0.0::DOUBLE WHEN doc_id % 10 <> 2 AND abs({_VALUE} - {_TARGET}) < 1e-5 THEN 1 ELSE 0.1 END AS reward FROM x",
+)
 def reward_countdown(spark, sf):
     df = I.run(spark, sf, _COUNTDOWN)
-    df = df.withColumn("numbers", F.array("c", "a", "b")).withColumn(
-        "target", F.expr("a + b * c + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END")
-    )
+    df = df.withColumn("numbers", F.array("c", "a", "b")).withColumn("target", F.expr(_TARGET))
     return R.with_countdown_reward(df, "completion", "numbers", "target").select("doc_id", "reward")
 
 
-@query("countdown_value", D.ctes(x=_COUNTDOWN) + f"SELECT doc_id, round({_VALUE}, 6) AS value FROM x WHERE doc_id % 8 IN (0, 1, 4, 5, 6)")
+@query("countdown_value", D.ctes(x=_COUNTDOWN) + f"SELECT doc_id, round(CAST({_VALUE} AS DOUBLE), 6) AS value FROM x")
 def countdown_value(spark, sf):
-    df = I.run(spark, sf, _COUNTDOWN).filter((F.col("doc_id") % 8).isin(0, 1, 4, 5, 6))
+    df = I.run(spark, sf, _COUNTDOWN)
     return df.select("doc_id", F.round(R.arithmetic(R.last_answer(c())), 6).alias("value"))
 
 

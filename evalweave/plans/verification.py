@@ -8,7 +8,7 @@ from evalweave.operators import extract as X
 from evalweave.operators import verify as V
 from evalweave.plans import duck as D
 from evalweave.plans import inputs as I
-from evalweave.plans.extraction import RECORD_SIZE, extracted
+from evalweave.plans.extraction import RUN, extracted
 from evalweave.plans.registry import query
 
 _WS = D.WS_CLASS
@@ -128,27 +128,52 @@ def prepare_match(spark, sf):
     )
 
 
-_NORMALIZED = """SELECT dataset_index, sample_id // 8 AS run, sample_id % 8 + 1 AS slot, least(8, cnt - 8 * (sample_id // 8)) AS n, proof FROM
-  (SELECT *, count(*) OVER (PARTITION BY dataset_index) AS cnt FROM slots) s
-  UNION ALL SELECT dataset_index, -1, 1, 1, formal_statement FROM problems"""
+_SECTION = "coalesce(md5(complete_lean_proof_section), '-')"
+_NORMALIZED = f"""SELECT dataset_index, sample_id // 8 AS run, sample_id % 8 + 1 AS slot, least(8, cnt - 8 * (sample_id // 8)) AS n,
+    concat('merged_proof_', sample_id % 8 + 1) AS field, proof, md5(concat(completion, '|', coalesce(reasoning, '-'), '|', {_SECTION})) AS carried FROM
+  (SELECT s.*, f.completion, f.reasoning, f.complete_lean_proof_section, count(*) OVER (PARTITION BY dataset_index) AS cnt
+    FROM slots s JOIN (SELECT dataset_index, sample_id, completion, reasoning, complete_lean_proof_section FROM fields) f USING (dataset_index, sample_id)) s
+  UNION ALL SELECT dataset_index, -1, 1, 1, 'merged_proof', formal_statement, NULL FROM problems WHERE dataset_index % 3 = 0
+  UNION ALL SELECT dataset_index, -1, i, dataset_index % 3 + 1, concat('merged_proof_', i), CASE i WHEN 1 THEN formal_statement WHEN 2 THEN name END,
+    CASE WHEN i < 3 THEN md5(concat(CASE i WHEN 1 THEN name ELSE split END, '|-|-')) END FROM problems, range(1, 4) r(i) WHERE dataset_index % 3 > 0 AND i <= dataset_index % 3 + 1"""
 
 
 @query("normalize_slots", D.ctes(**slots_ctes()) + _NORMALIZED)
 def normalize_slots(spark, sf):
-    """Nested records of several samples beside records with one ready proof."""
-    nested = X.nest_samples(X.add_sample_fields(I.samples(spark, sf)), RECORD_SIZE).select(
+    """Nested records of several samples beside records with one ready proof and such with two or three, of which the third is missing."""
+    nested = X.nest_samples(X.add_sample_fields(I.samples(spark, sf)).withColumn("run", F.expr(RUN).cast("bigint"))).select(
         "dataset_index", "run", "formal_statement", "samples"
     )
-    ready = I.problems(spark, sf).select(
-        "dataset_index", F.lit(-1).cast("bigint").alias("run"), "formal_statement", F.col("formal_statement").alias("merged_proof")
+    index, run = F.col("dataset_index"), F.lit(-1).cast("bigint").alias("run")
+    problems = I.problems(spark, sf)
+    ready = problems.filter(index % 3 == 0).select("dataset_index", run, "formal_statement", F.col("formal_statement").alias("merged_proof"))
+    wide = problems.filter(index % 3 > 0).select(
+        "dataset_index", run, "formal_statement", (index % 3 + 1).alias("n"), F.col("formal_statement").alias("merged_proof_1"),
+        F.col("name").alias("merged_proof_2"), F.col("name").alias("completion_1"), F.col("split").alias("completion_2"),
     )
-    records = nested.unionByName(ready, allowMissingColumns=True)
-    return V.normalize_slots(records).select("dataset_index", "run", "slot", "n", "proof")
+    records = nested.unionByName(ready, allowMissingColumns=True).unionByName(wide, allowMissingColumns=True)
+    shown = [F.coalesce("reasoning", F.lit("-")), F.coalesce(F.md5("complete_lean_proof_section"), F.lit("-"))]
+    carried = F.md5(F.concat(F.col("completion"), F.lit("|"), shown[0], F.lit("|"), shown[1])).alias("carried")
+    return V.normalize_slots(records).select("dataset_index", "run", "slot", "n", "field", "proof", carried)
 
 
-@query("route_proofs", D.ctes(**routed_ctes(V.EXACT)) + "SELECT dataset_index, slot, route FROM routed")
+@query(
+    "route_proofs",
+    D.ctes(**routed_ctes(V.SUBSTITUTE))
+    + """SELECT dataset_index, slot, route, CASE route WHEN 'empty' THEN 'merged_proof is null or empty'
+        WHEN 'mismatch' THEN 'formal statement does not match proof (statement_match=substitute)' END AS error,
+      CASE WHEN route <> 'verify' THEN 0.0::DOUBLE END AS verify_time, CASE WHEN route <> 'verify' THEN false END AS pass, CASE WHEN route = 'mismatch' THEN true END AS statement_match_failed,
+      CASE WHEN route = 'mismatch' THEN match_original END AS match_original, CASE WHEN route = 'mismatch' THEN match_final END AS match_final,
+      CASE WHEN route = 'mismatch' THEN substituted END AS substituted FROM routed""",
+)
 def route_proofs(spark, sf):
-    return V.route(_slots(spark, sf), V.EXACT).select("dataset_index", "slot", "route")
+    """The route of each slot and the verdict of those that fail without the checker."""
+    v = F.col("route_verdict")
+    return V.route(_slots(spark, sf), V.SUBSTITUTE).select(
+        "dataset_index", "slot", "route", v["errors"][0]["data"].alias("error"), v["verify_time"].alias("verify_time"), v["pass"].alias("pass"),
+        v["statement_match_failed"].alias("statement_match_failed"), v["formal_statement_match_original"].alias("match_original"),
+        v["formal_statement_match"].alias("match_final"), v["formal_statement_substituted"].alias("substituted"),
+    )
 
 
 @query(

@@ -156,6 +156,42 @@ def test_records_with_and_without_samples(spark):
     assert got[0]["proof"] == X.DEFAULT_HEADER + "\n\ntheorem x" and got[1]["proof"] == "import A" and got[2]["proof"] == "proof"
 
 
+def test_slots_of_wide_records(spark):
+    """Three forms of records in one table, told apart row by row, with what each slot carries."""
+    schema = """dataset_index long, formal_statement string, n int, merged_proof string, merged_proof_1 string, merged_proof_3 string, reasoning string, reasoning_1 string,
+        completion_10 string, samples array<struct<sample_id: int, completion: string, reasoning: string, raw_completion: string>>"""
+    section = "plan\n### Complete Lean 4 Proof\n```lean4\ntheorem x := by simp\n```"
+    rows = [
+        (0, "s", 9, None, None, None, "record", None, None, [(0, section, "why", None), (1, "no", None, "```lean4\nimport Z\n```")]),
+        (1, "s", None, "p", "q", None, "record", None, None, None),
+        (2, "s", 4, None, "a", "c", None, "r1", "x", None),
+        (3, "s", None, None, "only", None, None, None, None, None),
+        (4, "s", 2, None, None, None, None, None, None, None),
+        (5, "s", 2, None, None, None, None, None, None, []),
+        (6, "s", 0, None, "none asked for", None, None, None, None, None),
+    ]
+    out = V.normalize_slots(spark.createDataFrame(rows, schema))
+    assert out.columns == ["dataset_index", "formal_statement", "n", "slot", "field", "proof", *V.CARRIED]
+    got = {(r["dataset_index"], r["slot"]): r for r in out.collect()}
+    assert sorted(got) == [(0, 1), (0, 2), (1, 1), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (4, 1)]
+    assert [got[k]["n"] for k in sorted(got)] == [2, 2, 1, 4, 4, 4, 4, 1, 1]
+    assert got[0, 1]["proof"].endswith("theorem x := by simp") and got[0, 1]["reasoning"] == "why" and "theorem x" in got[0, 1]["complete_lean_proof_section"]
+    assert got[0, 2]["proof"] == "import Z" and got[0, 2]["raw_completion"].startswith("```") and got[0, 2]["field"] == "merged_proof_2"
+    assert got[1, 1]["proof"] == "p" and got[1, 1]["field"] == "merged_proof" and got[1, 1]["reasoning"] == "record"
+    assert [got[2, i]["proof"] for i in range(1, 5)] == ["a", None, "c", None] and got[2, 1]["reasoning"] == "r1"
+    assert got[4, 1]["proof"] is None
+
+
+def test_verdicts_without_the_checker(spark):
+    rows = [(1, "theorem a : x := by\n  sorry", None), (2, "theorem a : x := by\n  sorry", "theorem b : y := by\n  simp"), (3, None, "anything"), (4, "theorem a : x := by\n  sorry", "theorem a : x := by\n  simp")]
+    df = spark.createDataFrame(rows, "slot int, formal_statement string, proof string").withColumn("field", F.concat(F.lit("merged_proof_"), F.col("slot").cast("string")))
+    got = {r["slot"]: r["route_verdict"] for r in V.route(df).collect()}
+    assert got[3] is None and got[4] is None
+    assert got[1]["errors"][0]["data"] == "merged_proof_1 is null or empty" and got[1]["statement_match_failed"] is None and got[1]["verify_time"] == 0
+    assert got[2]["errors"][0]["data"].endswith("(statement_match=exact)") and got[2]["statement_match_failed"] and not got[2]["pass"]
+    assert (got[2]["formal_statement_match"], got[2]["formal_statement_match_original"], got[2]["formal_statement_substituted"]) == (False, False, False)
+
+
 # ---- order, limits, splits ---------------------------------------------------------
 
 
@@ -178,9 +214,9 @@ def test_positions_are_dense_with_sparse_and_skewed_keys(spark, monkeypatch, few
 def test_ranges_follow_the_rows(spark):
     """Ten times the rows give ten times the ranges, and none holds much more than the set rows."""
     for n in (3_000, 30_000):
-        rows = ordering.sorted_ranges(spark.range(n).withColumnRenamed("id", "k"), ["k"], 1_000)
+        rows, ranges = ordering.sorted_ranges(spark.range(n).withColumnRenamed("id", "k"), ["k"], 1_000)
         sizes = [r["count"] for r in rows.groupBy("_range").count().collect()]
-        assert len(sizes) == n // 1_000 and max(sizes) < 2_500
+        assert len(sizes) == ranges == n // 1_000 and max(sizes) < 2_500
     assert ordering.ranked(spark.range(0).withColumnRenamed("id", "k"), ["k"], "p").count() == 0
 
 
@@ -403,10 +439,23 @@ def brute_cart(masked, p):
 
 @pytest.mark.parametrize("p", [0.3, 0.9, 0.999])
 def test_cart_weights_against_brute_force(spark, p):
-    masked = [(i * i) % 7 < 3 or 200 < i < 420 for i in range(1200)]
-    df = spark.createDataFrame([(0, masked)], "k long, masked array<boolean>")
-    got = N.with_cart_weights(df, p=p).first()["cart_weight"]
-    assert got == pytest.approx(brute_cart(masked, p), rel=1e-9, abs=1e-12)
+    """Rows of all lengths in one batch: what one row hands on never reaches the next."""
+    rows = [[(i * i) % 7 < 3 or 200 < i < 420 for i in range(1200)], [], None, [True], [False], [True, False], [False] * 700, [True] * 300 + [False], [None, True, False]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, masked array<boolean>").coalesce(1)
+    got = {r["k"]: r["cart_weight"] for r in N.with_cart_weights(df, p=p).collect()}
+    for k, masked in enumerate(rows):
+        assert got[k] is None if masked is None else got[k] == pytest.approx(brute_cart([bool(m) for m in masked], p), rel=1e-9, abs=1e-12)
+
+
+def test_weights_of_all_kinds(spark):
+    df = spark.createDataFrame([([True, False, True], 0.5)], "masked array<boolean>, t double")
+    assert N.with_loss_weights(df, "uniform").first()["loss_weight"] == [1.0] * 3
+    assert N.with_loss_weights(df, "scheduler").first()["loss_weight"] == pytest.approx([2.0] * 3, rel=1e-5)
+    for kind, p in (("cart", 0.3), ("cart[geo_p:0.5]", 0.5)):
+        assert N.with_loss_weights(df, kind).first()["loss_weight"] == pytest.approx([0.5 * p, 0, 0.5 * p])
+    for kind in ("cart[geo_p:2]", "cartwheel", "other"):
+        with pytest.raises(NotImplementedError):
+            N.with_loss_weights(df, kind)
 
 
 def test_schedules_check_their_range(spark):
@@ -495,26 +544,25 @@ def test_unclosed_truth_has_no_score(spark):
     assert [r["reward"] for r in R.with_math_reward(df, "c", "t").collect()] == [0.0, None]
 
 
-def python_value(text):
-    try:
-        return float(eval(text, {"__builtins__": None}, {}))
-    except Exception:
-        return None
-
-
 @pytest.mark.parametrize(
-    "text",
-    ["1+2*3", "(1+2)*3", "2*-3", "--4", "8/4/2", "1-2-3", "1-(2-(3-4))*2", "1/0", "1/(2-2)", "(1", "1)", "()", "1 2", "1+", "*2",
-     "007+1", "0+1", "1.5*2", ".5+1", "(1)(2)", "3(2)", "2 * ( 3 + 4 ) - 5 / 2", "(1\n+2)", "1\n+2", "", "-(3)", "(-3)*(+2)", "2+-(1+1)"],
+    "text, want",
+    [
+        ("1+2*3", 7), ("(1+2)*3", 9), ("2*-3", -6), ("--4", 4), ("8/4/2", 1), ("1-2-3", -4), ("1-(2-(3-4))*2", -5), ("1/0", None), ("1/(2-2)", None),
+        ("(1", None), ("1)", None), ("()", None), ("1 2", None), ("1+", None), ("*2", None), ("007+1", None), ("0+1", 1), ("1.5*2", 3), (".5+1", 1.5),
+        ("(1)(2)", None), ("3(2)", None), ("2 * ( 3 + 4 ) - 5 / 2", 11.5), ("(1\n+2)", 3), ("1\n+2", None), ("", None), ("-(3)", -3), ("(-3)*(+2)", -6), ("2+-(1+1)", 0),
+        ("2**3", 8), ("2**3**2", 512), ("(2**3)**2", 64), ("-2**2", -4), ("(-2)**2", 4), ("2**-1", 0.5), ("2**-2**2", 0.0625), ("3*2**2", 12), ("2**2*3", 12),
+        ("1-2**2", -3), ("1--2**2", 5), ("0**-1", None), ("0**0", 1), ("(0-8)**0.5", None), ("2* *3", None), ("2**", None), ("**2", None), ("2***3", None),
+        ("7//2", 3), ("-7//2", -4), ("5-2//3", 5), ("7//2*2", 6), ("7/2//1", 3), ("7//0", None), ("7//(1/2)", 14), ("2//3/4", 0), ("9//2**2", 2), ("1///2", None),
+        ("10-2**2**0//1", 8), ("(1+2)**(1+1)//2-1", 3), ("9**9**9", None),
+    ],
 )
-def test_arithmetic_like_python(spark, text):
-    want = python_value(text)
+def test_arithmetic(spark, text, want):
     got = one(spark, text, R.arithmetic)
     assert got is None if want is None else got == pytest.approx(want)
 
 
 def test_countdown_scores(spark):
-    rows = [("none", 0.0), ("<answer>1+2+4</answer>", 0.1), ("<answer>1+2+3</answer>", 1.0), ("<answer>1*2*3</answer>", 1.0), ("<answer>3-2-1</answer>", 0.1)]
+    rows = [("none", 0.0), ("<answer>1+2+4</answer>", 0.1), ("<answer>1+2+3</answer>", 1.0), ("<answer>1*2*3</answer>", 1.0), ("<answer>3-2-1</answer>", 0.1), ("<answer>3*2**1</answer>", 1.0), ("<answer>1*2*3//1</answer>", 0.1)]
     df = spark.createDataFrame(rows, "c string, want double").withColumn("n", F.array(F.lit(3), F.lit(1), F.lit(2))).withColumn("t", F.lit(6))
     for r in R.with_countdown_reward(df, "c", "n", "t").collect():
         assert r["reward"] == r["want"], r["c"]
