@@ -202,12 +202,14 @@ def block_plan(max_new_tokens: Column, steps: Column, block_size: Column, explic
     return F.struct(blocks.alias("num_blocks"), F.coalesce(explicit, F.ceil(steps / blocks)).alias("steps_per_block"))
 
 
-def run_summary(merged: DataFrame, resumed: DataFrame, num_samples: int, settings: dict) -> DataFrame:
-    """One row: counts of the run beside its settings."""
+def run_summary(merged: DataFrame, resumed: DataFrame, num_samples: int, settings: dict, cfg_scale: float = 0.0) -> DataFrame:
+    """One row: counts of the run beside its settings, and the summary of the metrics the records carry."""
     counts = merged.agg(F.count(F.lit(1)).alias("num_examples")).withColumn(
         "num_resumed_examples", resumed.agg(F.count(F.lit(1))).scalar()
     )
     new = F.greatest(F.col("num_examples") - F.col("num_resumed_examples"), F.lit(0))
+    if "generation_metrics" in merged.columns:
+        counts = counts.withColumn("generation_metrics", metrics_summary(merged, cfg_scale).select(F.struct("*")).scalar())
     return counts.withColumn("num_new_examples", new).withColumns(
         {
             "num_samples_per_example": F.lit(num_samples).cast("bigint"),

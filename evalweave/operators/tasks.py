@@ -43,12 +43,16 @@ TASKS = {
     "math": Task(
         P.prompt_math, {"math": lambda df: R.with_math_reward(df, C, "answer", "math"), "boxed_tags": BOXED}
     ),
-    "code": Task(P.prompt_code, {"xmlcount": XMLCOUNT}),
+    "code": Task(P.prompt_code, {"xmlcount": XMLCOUNT, "code": lambda df: _no_results()}),
 }
 
 
+def _no_results():
+    raise ValueError("the code reward needs the table of unit-test outcomes: task('code', results)")
+
+
 def task(name: str, results: DataFrame | None = None, key: str = "doc_id") -> Task:
-    """A task by name. The code reward needs the table of unit-test outcomes."""
+    """A task by name. The code reward needs the table of unit-test outcomes; scoring without it fails."""
     if name not in TASKS:
         raise ValueError(f"unknown task {name!r}; known: {', '.join(TASKS)}")
     found = TASKS[name]

@@ -113,19 +113,17 @@ SELECT u.conv_id, u.text AS instruction, a.text AS output FROM
 """
 
 
-# The key rows are spread by when a table comes in fewer files than there are cores.
+#: A session may ask for the key tables to be dealt out by their key, over so many tasks. The small test
+#: tables are one row group each, which one task would read; data in many files needs no such step.
+SPREAD = "spark.evalweave.spreadInputs"
 KEYS = {"documents": "doc_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A large one is read as it is stored; one in a few files is
-    spread over the cores first, by key, so that later steps on the key stay put.
-    """
+    """A given table as it is stored, or spread as the session's SPREAD setting says."""
     df = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in KEYS and cores > 1 and len(df.inputFiles()) < cores:
-        return df.repartition(cores, KEYS[name])
-    return df
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks), KEYS[name]) if tasks and name in KEYS else df
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from contextlib import ExitStack
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ WORD_PROBLEMS = """SELECT doc_id, text AS question, CASE WHEN doc_id % 5 = 0 THE
   WHEN doc_id % 5 = 1 THEN concat(text, '####', doc_id, ' #### tail') ELSE concat(text, ' #### ', doc_id, chr(10)) END AS answer FROM documents"""
 SPLIT_DOCS = """SELECT doc_id, text, lang, CASE WHEN doc_id % 10 = 0 THEN 'test_sft' WHEN doc_id % 10 = 1 THEN 'test_gen' ELSE 'train_sft' END AS split FROM documents"""
 _RANK_RECORD = """concat('{"dataset_index": ', CASE WHEN doc_id % 13 = 0 THEN '"x"' ELSE concat('', CAST(floor(doc_id * 3 / 4) AS BIGINT)) END,
-    ', "num_samples": 2, "samples": [{"sample_id": 0, "completion": "', body, '"}',
+    ', "generation_metrics": ', CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE concat('{"output_tokens": ', doc_id, ', "wall_seconds": 0.5, "own": 1, "batch_metrics": [{"output_tokens": ', doc_id, '}]}') END,
+    ', "num_samples": 2, "samples": [{"sample_id": 0, "raw_completion": "', lang, '", "completion": "', body, '"}',
     CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat(', {"sample_id": 1, "completion": "', lang, '"}') END, ']}')"""
 RANK_LINES = f"""SELECT doc_id % 4 + 1 AS file_no, CAST(floor(doc_id / 4) AS BIGINT) AS line_no,
   CASE WHEN doc_id % 7 = 0 THEN substr(rec, 1, length(rec) - 9) ELSE rec END AS line
@@ -80,9 +83,19 @@ def _first_completion():
 _D_FIRST = "md5(json_extract_string(line, '$.samples[0].completion')) AS completion_md5"
 
 
-@query("src_json_tolerant", D.ctes(**RANK_CTES) + f"SELECT file_no, line_no, dataset_index, {_D_FIRST} FROM complete")
+@query(
+    "src_json_tolerant",
+    D.ctes(**RANK_CTES)
+    + f"""SELECT file_no, line_no, dataset_index, {_D_FIRST}, json_extract_string(line, '$.samples[0].raw_completion') AS raw_completion,
+      CAST(json_extract(line, '$.generation_metrics.output_tokens') AS BIGINT) AS output_tokens, CAST(json_extract(line, '$.generation_metrics.wall_seconds') AS DOUBLE) AS wall_seconds,
+      CAST(json_extract(line, '$.generation_metrics.batch_metrics[0].output_tokens') AS BIGINT) AS batch_tokens FROM complete""",
+)
 def src_json_tolerant(spark, sf):
-    return _complete(spark, sf).select("file_no", "line_no", "dataset_index", _first_completion())
+    metrics = F.col("generation_metrics")
+    return _complete(spark, sf).select(
+        "file_no", "line_no", "dataset_index", _first_completion(), F.col("samples")[0]["raw_completion"].alias("raw_completion"),
+        metrics["output_tokens"].alias("output_tokens"), metrics["wall_seconds"].alias("wall_seconds"), F.get(metrics["batch_metrics"], F.lit(0))["output_tokens"].alias("batch_tokens"),
+    )
 
 
 def _write_lines(spark, sf):
@@ -92,23 +105,28 @@ def _write_lines(spark, sf):
     return folder
 
 
-@query("src_json_records", D.ctes(**RANK_CTES) + "SELECT CAST(count(*) AS BIGINT) AS records, CAST(sum(dataset_index) AS BIGINT) AS index_sum FROM complete")
+@query("src_json_records", D.ctes(**RANK_CTES) + f"SELECT dataset_index, {_D_FIRST}, CAST(json_extract(line, '$.generation_metrics.output_tokens') AS BIGINT) AS output_tokens FROM complete")
 def src_json_records(spark, sf):
     """Records written as JSON lines and read back with the stated schema."""
     path = f"{scratch_dir(spark)}/records.jsonl"
-    W.write_jsonl(_complete(spark, sf).select("dataset_index", "num_samples", "samples"), path)
-    return R.json_records(spark, path).agg(F.count("*").alias("records"), F.sum("dataset_index").alias("index_sum"))
+    W.write_jsonl(_complete(spark, sf).select("dataset_index", "num_samples", "samples", "generation_metrics"), path)
+    return R.json_records(spark, path).select("dataset_index", _first_completion(), F.col("generation_metrics.output_tokens").alias("output_tokens"))
 
 
-@query("src_latest_file", "SELECT true AS found, count(*) AS n_rows FROM documents")
+@query("src_latest_file", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 1")
 def src_latest_file(spark, sf):
-    """The newest file of a written folder, found from the listing alone."""
+    """Of two results of different age and a newer one that is not finished, the newest finished one is read."""
     folder = scratch_dir(spark)
-    rows = docs(spark, sf).select("doc_id", "text")
-    rows.write.json(f"{folder}/b")
-    newest = R.latest_file(spark, f"{folder}/b", "*.json")
-    part = spark.read.schema("doc_id BIGINT, text STRING").json(f"{folder}/b")
-    return part.agg(F.lit(newest.endswith(".json")).alias("found"), F.count("*").alias("n_rows"))
+    schema = "doc_id BIGINT, text STRING"
+    system, root = growing.opened(folder)
+    for age, (name, rest) in enumerate((("old.json", 0), ("new.json", 1), ("later.part.json", 0))):
+        rows = docs(spark, sf).select("doc_id", "text").filter(F.col("doc_id") % 2 == rest)
+        rows.coalesce(1).write.json(f"{folder}/{name}.d")
+        (made,) = [i.path for i in system.get_file_info(fs.FileSelector(f"{root}/{name}.d")) if i.extension == "json" and not i.base_name.startswith(".")]
+        system.create_dir(f"{root}/results")
+        system.move(made, f"{root}/results/{name}")
+        time.sleep(0.02 * (age < 2))  # times in a listing are whole milliseconds
+    return spark.read.schema(schema).json(R.latest_file(spark, f"{folder}/results", "*.json")).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 _SUDOKU = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '1' END, CASE WHEN (doc_id + 1) % 3 = 0 THEN '0' ELSE '2' END,
@@ -217,7 +235,7 @@ def src_stream_samples(spark, sf):
     return rows.select("dataset_index", file_no.alias("file_no"), _first_completion())
 
 
-@query("src_file_jobs", D.ctes(**RANK_CTES) + "SELECT concat('file_no=', file_no) AS source, count(*) AS records FROM complete GROUP BY file_no")
+@query("src_file_jobs", D.ctes(**RANK_CTES) + f"SELECT concat('out', file_no) AS output, dataset_index, {_D_FIRST} FROM complete")
 def src_file_jobs(spark, sf):
     folder = _write_lines(spark, sf)
     jobs = R.file_jobs([f"{folder}/ranks/file_no={i}" for i in range(1, 5)], [f"{folder}/out{i}" for i in range(1, 5)])
@@ -226,7 +244,9 @@ def src_file_jobs(spark, sf):
         .withColumn("source", F.element_at(F.split("_metadata.file_path", "/"), -2))
     )
     complete = G.complete_records(rows.filter(F.col(R.CORRUPT).isNull()), 2)
-    return complete.groupBy("source").agg(F.count("*").alias("records"))
+    W.write_jobs(complete, "source", {a.rpartition("/")[2]: b for a, b in jobs})
+    written = [R.json_records(spark, f"{b}/*.json").withColumn("output", F.lit(b.rpartition("/")[2])) for _, b in jobs]
+    return G.concat_by_split(*written).select("output", "dataset_index", _first_completion())
 
 
 @query("sink_jsonl", D.ctes(**RANK_CTES) + f"SELECT dataset_index, {_D_FIRST} FROM complete")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from evalweave.operators import merge as G
 from evalweave.operators import metrics as M
 from evalweave.operators import rewards as R
 from evalweave.operators import tasks as TK
 from evalweave.plans import duck as D
 from evalweave.plans import inputs as I
-from evalweave.plans.registry import query
+from evalweave.plans.registry import ORACLE, query
 from evalweave.plans.verification import VERDICT_CTES
 from evalweave.sources import readers as RD
 from evalweave.sources import sinks as W
@@ -340,14 +343,38 @@ def totals(spark, sf):
     return M.reward_total(with_gaps(spark, sf), ["group_id", "doc_id"], WEIGHTS)
 
 
+_BY_TASK = " UNION ALL ".join(
+    f"SELECT '{t}' AS task, doc_id, '{func}' AS func, reward FROM ({ORACLE[q]}) {t}_{func}"
+    for t, func, q in (
+        ("countdown", "countdown", "reward_countdown"), ("sudoku", "sudoku", "reward_sudoku"), ("math", "math", "reward_math"),
+        ("math", "boxed_tags", "reward_boxed_tags"), ("code", "code", "reward_code"),
+    )
+)
+
+
 @query(
     "task_catalog",
-    D.ctes(**LONG) + "SELECT doc_id, round(xmlcount, 6) AS xmlcount, soft_format, strict_format, int_r AS int, correctness FROM s",
+    D.ctes(**LONG, code_rows=_CODE)
+    + f"""SELECT 'gsm8k' AS task, doc_id, unnest(['xmlcount', 'soft_format', 'strict_format', 'int', 'correctness']) AS func,
+        unnest([round(xmlcount, 6), soft_format, strict_format, int_r, correctness]) AS reward FROM s
+      UNION ALL SELECT 'code', doc_id, 'xmlcount', round({_XMLCOUNT}, 6) FROM code_rows UNION ALL {_BY_TASK}""",
 )
 def task_catalog(spark, sf):
-    rows = _roll(spark, sf).withColumnRenamed("truth", "answer")
-    out = TK.score(rows, TK.task("gsm8k").rewards)
-    return out.select("doc_id", F.round("xmlcount", 6).alias("xmlcount"), "soft_format", "strict_format", "int", "correctness")
+    """All five tasks, each with all its rewards."""
+    truth = F.concat(F.lit("\\boxed{\\frac1"), (1 + F.col("doc_id") % 4).cast("string"), F.lit("}"))
+    rows = {
+        "gsm8k": _roll(spark, sf).withColumnRenamed("truth", "answer"),
+        "countdown": I.run(spark, sf, _COUNTDOWN).withColumn("numbers", F.array("c", "a", "b")).withColumn("target", F.expr(_TARGET)),
+        "sudoku": I.run(spark, sf, _SUDOKU),
+        "math": _roll(spark, sf).withColumn("answer", truth),
+        "code": I.run(spark, sf, _CODE),
+    }
+    parts = []
+    for name, df in rows.items():
+        rewards = TK.task(name, I.run(spark, sf, _RESULTS)).rewards
+        long = TK.long_rewards(TK.score(df, rewards).select("doc_id", *[F.round(F.col(r).cast("double"), 6).alias(r) for r in rewards]), ["doc_id"], list(rewards))
+        parts.append(long.withColumn("task", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("task", "doc_id", "func", "reward")
 
 
 @query("reward_total", D.ctes(**LONG) + "SELECT group_id, doc_id, round(reward, 6) AS reward FROM t")
@@ -497,19 +524,46 @@ def gen_metrics_ratios(spark, sf):
 
 
 def _records(spark, sf):
-    """One record per problem; every fourth has no metrics."""
-    rows = M.sum_counters(batches(spark, sf), ["dataset_index"])
-    metrics = F.when(F.col("dataset_index") % 4 != 0, F.struct(*M.COUNTERS))
-    return rows.select("dataset_index", metrics.alias("generation_metrics"))
+    """One record per problem, with the counters of its batches; every fourth has no metrics."""
+    one = F.struct(*[F.col(c).cast("double" if c == "wall_seconds" or c.endswith("flops") else "bigint").alias(c) for c in M.COUNTERS])
+    made = batches(spark, sf).withColumn("b", one)
+    sums = [F.sum(f"b.{c}").alias(c) for c in M.COUNTERS]
+    per_batch = F.sort_array(F.collect_list(F.struct("batch_id", "b")))["b"]  # as many as a record has batches
+    rows = made.groupBy("dataset_index").agg(*sums, per_batch.alias("batch_metrics"))
+    samples = F.from_json(F.lit('[{"sample_id": 0}, {"sample_id": 1}]'), f"ARRAY<{RD.SAMPLE}>")
+    metrics = F.when(F.col("dataset_index") % 4 != 0, F.struct(*M.COUNTERS, "batch_metrics"))
+    return rows.select("dataset_index", F.lit(2).cast("bigint").alias("num_samples"), samples.alias("samples"), metrics.alias("generation_metrics"))
+
+
+def _merged_records(spark, sf):
+    """The records of two ranks and an earlier output, written, read and merged: what the earlier output
+    holds is out of date, and the last file holds records without all their samples.
+    """
+    folder = scratch_dir(spark)
+    good = _records(spark, sf)
+    old = good.withColumn("generation_metrics", F.col("generation_metrics").withField("output_tokens", F.lit(1).cast("bigint")))
+    short = good.withColumn("samples", F.slice("samples", 1, 1))
+    even = F.col("dataset_index") % 2 == 0
+    files = [old, good.filter(even), good.filter(~even), short]
+    for k, rows in enumerate(files):
+        W.write_jsonl(rows, f"{folder}/{k}")
+    read = [RD.json_tolerant(spark, f"{folder}/{k}", 2).withColumns({"file_no": F.lit(k), "line_no": F.lit(0)}) for k in range(len(files))]
+    return G.merge_rank_outputs(G.concat_by_split(*read))
 
 
 @query(
     "gen_metrics_summary",
-    D.ctes(**CALLS, p=f"SELECT {_SUMS}, count(DISTINCT dataset_index) AS records_with_metrics FROM w WHERE dataset_index % 4 <> 0")
-    + f"SELECT records_with_metrics, model_forward_calls, {_RATIO_SQL.replace('(denoise_forward_calls / 2)', 'denoise_forward_calls')} FROM p",
+    D.ctes(**CALLS, p=f"SELECT {_SUMS}, count(DISTINCT dataset_index) AS records_with_metrics, count(*) AS batches FROM w WHERE dataset_index % 4 <> 0")
+    + f"SELECT records_with_metrics, batches, model_forward_calls, {_RATIO_SQL.replace('(denoise_forward_calls / 2)', 'denoise_forward_calls')} FROM p",
 )
 def gen_metrics_summary(spark, sf):
-    return M.metrics_summary(_records(spark, sf)).select("records_with_metrics", "model_forward_calls", *_rounded())
+    """The summary of merged files; the counters of the batches add up to those of the records."""
+    records = _merged_records(spark, sf)
+    nested = records.select(F.explode("generation_metrics.batch_metrics").alias("b")).select("b.*")
+    both = M.metrics_summary(records).withColumns(
+        {"batches": nested.agg(F.count(F.lit(1))).scalar(), "_calls": nested.agg(F.sum("model_forward_calls")).scalar()}
+    )
+    return both.select("records_with_metrics", "batches", F.when(F.col("_calls") == F.col("model_forward_calls"), F.col("_calls")).alias("model_forward_calls"), *_rounded())
 
 
 @query(
@@ -526,13 +580,22 @@ def block_plan(spark, sf):
 # ---- sinks of this family ---------------------------------------------------------------
 
 
-@query("sink_summary", "SELECT count(*) AS num_examples, CAST(count_if(doc_id % 3 = 0) AS BIGINT) AS num_resumed_examples, CAST(count_if(doc_id % 3 <> 0) AS BIGINT) AS num_new_examples, 8 AS num_samples_per_example, count(*) * 8 AS total_generations, CAST(count_if(doc_id % 3 <> 0) * 8 AS BIGINT) AS new_generations, 'test' AS dataset_split FROM documents")
+@query(
+    "sink_summary",
+    D.ctes(**CALLS, n="SELECT DISTINCT dataset_index FROM w", p=f"SELECT {_SUMS}, count(DISTINCT dataset_index) AS records_with_metrics FROM w WHERE dataset_index % 4 <> 0")
+    + f"""SELECT (SELECT count(*) FROM n) AS num_examples, (SELECT CAST(count_if(dataset_index % 3 = 0) AS BIGINT) FROM n) AS num_resumed_examples,
+      (SELECT CAST(count_if(dataset_index % 3 <> 0) AS BIGINT) FROM n) AS num_new_examples, 2 AS num_samples_per_example, (SELECT count(*) * 2 FROM n) AS total_generations,
+      (SELECT CAST(count_if(dataset_index % 3 <> 0) * 2 AS BIGINT) FROM n) AS new_generations, 'test' AS dataset_split, records_with_metrics, 2 AS cfg_forward_multiplier, output_tokens, {_RATIO_SQL} FROM p""",
+)
 def sink_summary(spark, sf):
-    docs = I.table(spark, sf, "documents").select("doc_id")
-    out = M.run_summary(docs, docs.filter(F.col("doc_id") % 3 == 0), 8, {"dataset_split": "test"})
+    records = _merged_records(spark, sf)
+    out = M.run_summary(records, records.filter(F.col("dataset_index") % 3 == 0), 2, {"dataset_split": "test"}, cfg_scale=1.5)
     path = f"{scratch_dir(spark)}/summary"
     W.write_summary(out, path)
-    return spark.read.schema(out.schema).json(path)
+    read = spark.read.schema(out.schema).json(path)
+    counts = [c for c in read.columns if c != "generation_metrics"]
+    metrics = read.select(*counts, "generation_metrics.*")
+    return metrics.select(*counts, "records_with_metrics", "cfg_forward_multiplier", "output_tokens", *_rounded())
 
 
 @query("sink_verified", D.ctes(**VERDICT_CTES) + "SELECT doc_id, pass, complete, system_errors FROM verdicts")

@@ -16,6 +16,7 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.evalweave.spreadInputs", str(shuffle_partitions))  # the tables at hand are one row group each
         # Call sites in error messages cost a round trip per expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE = "STRUCT<sample_id: INT, completion: STRING, reasoning: STRING, complete_lean_proof_section: STRING, " \
+from evalweave.operators.metrics import COUNTERS
+
+SAMPLE = "STRUCT<sample_id: INT, completion: STRING, raw_completion: STRING, reasoning: STRING, complete_lean_proof_section: STRING, " \
     "lean_code_block: STRING, candidate_source: STRING, verification_source: STRING>"
+_COUNTED = ", ".join(f"{c}: {'DOUBLE' if c == 'wall_seconds' or c.endswith('flops') else 'BIGINT'}" for c in COUNTERS)
+#: Counters of a record, and of each batch its samples were made in.
+METRICS = f"STRUCT<{_COUNTED}, batch_metrics: ARRAY<STRUCT<{_COUNTED}>>>"
 RECORD = (
     "dataset_index BIGINT, name STRING, informal_prefix STRING, formal_statement STRING, "
-    f"prompt_formal_statement STRING, num_samples BIGINT, samples ARRAY<{SAMPLE}>"
+    f"prompt_formal_statement STRING, num_samples BIGINT, samples ARRAY<{SAMPLE}>, generation_metrics {METRICS}"
 )
 CORRUPT = "_corrupt"
 

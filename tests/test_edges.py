@@ -583,6 +583,12 @@ def test_unknown_task():
         TK.task("chess")
 
 
+def test_code_task_without_results(spark):
+    df = spark.createDataFrame([("x", "assert f(1)")], "completion string, tests string")
+    with pytest.raises(ValueError, match="unit-test"):
+        TK.score(df, TK.task("code").rewards)
+
+
 def test_single_member_group(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, 4.0)], "g long, reward double")
     got = {(r["g"], r["reward"]): r for r in M.group_advantage(df, "g", scale=True).collect()}
