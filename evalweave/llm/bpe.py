@@ -6,7 +6,8 @@ pair, links its neighbours past it and changes three leaves, each in as many ste
 the tree is deep; so one match of n bytes costs n log n, however long it is.
 
 The rank file is read once on the driver and broadcast (its size is that of a
-vocabulary). Tasks keep a bounded memo of matches already encoded.
+vocabulary). A task keeps a memo of matches already encoded, bounded in bytes, and drops it
+when it ends.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO = 1_000_000  # matches a task remembers before it starts afresh
+MEMO = 64_000_000  # bytes of matches a task remembers before it starts afresh
+SHORT = 200  # letters of a match worth remembering
+_ENTRY = 200  # bytes that the objects of an entry take besides its text and ids
 _SHIFT, _NONE = 32, 1 << 62
 
 
@@ -42,12 +45,18 @@ class Encoder(dict):
             ranks[t[:k]] << 20 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
         self.bytes = {r: t for t, r in ranks.items()}
+        self.held = 0
 
     def __missing__(self, match: str) -> bytes:
         piece = match.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(piece)
         ids = array("i", (whole,) if whole is not None else self.merge(piece)).tobytes()
-        self[match] = ids
+        if len(match) <= SHORT:
+            self[match] = ids
+            self.held += _ENTRY + len(piece) + len(ids)
+            if self.held > MEMO:
+                self.clear()
+                self.held = 0
         return ids
 
     def merge(self, piece: bytes) -> list[int]:
@@ -92,26 +101,12 @@ class Encoder(dict):
         return [t for t in token if t >= 0]
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self) > MEMO:
-            self.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def _encoder(shared, pattern: str) -> Encoder:
-    """One encoder a worker process, whatever the number of its tasks."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, ids array<int> and decoded binary (the bytes that the ids stand for).
 
@@ -123,7 +118,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, pattern)
+        encoder = Encoder(shared.value, pattern)  # the task's own, gone with it
         for batch in batches:
             lo, size, ids, cut, decoded = 0, 0, [], [0], []
 

@@ -1,16 +1,18 @@
 """Toxicity by weak supervision.
 
 Voters are a word lexicon and patterns (whole words, word beginnings and endings) that
-are much more frequent in texts labelled toxic. A vote is cast where a voter occurs in a
-text. A generative label model is fitted on the votes of all documents by expectation
-maximisation: for each voter how often it fires on toxic and on other texts, and for each
-pair of voters their correlation within the classes, by which the say of voters that
-repeat each other is cut. Its posterior labels train a logistic model on the votes, and
-that model scores texts.
-
-Labels are read for training rows only (crc32 of doc_id mod 5 is not 0), and for at most
-about FIT_ROWS of them, picked by a hash. The votes, and what the label model estimates
-from them, cover all documents.
+are much more frequent in texts labelled toxic, counted over all labelled training rows. A
+vote is cast where a voter occurs in a text. A generative label model is fitted on the
+votes of all documents by expectation maximisation: for each voter how often it fires on
+toxic and on other texts, and for each pair of voters their correlation within the
+classes, by which the say of voters that repeat each other is cut. Its posterior labels
+train a logistic model on the votes, and that model scores texts.
+
+Labels are read for training rows only (crc32 of doc_id mod 5 is not 0). They choose the
+voters, set the scale and the base of the votes, and in the label model they are one more
+vote, of accuracy SURE, on the rows that have one: evidence against or for, which other
+votes can outweigh. The classifier is trained on the posteriors alone. Only the rows given
+to the fit of the scale and to that of the classifier are bounded, by FIT_ROWS.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,13 @@ from pyspark.sql.functions import pandas_udf
 
 from evalweave.sources.scratch import materialize
 
-FIT_ROWS = 20_000  # labelled training rows read for patterns, and rows of votes for the classifier
-VOTERS = 1_000  # pattern voters at most, the most telling first
+FIT_ROWS = 20_000  # rows of votes for the scale of the posteriors and for the classifier, labelled and other
 ROUNDS = 3  # of expectation maximisation
 EVIDENCE = 14.0  # nats by which a pattern's labels must differ from the base rate (chance: about 1 in 10^6)
+ODDS = 4.0  # times by which a pattern is more frequent in toxic than in other texts
+SIEVE = 1 << 22  # places of the table that tells tasks which patterns are worth counting
+SURE = 0.99  # accuracy of a label as a vote in the label model
+HELD = 100_000  # patterns or pairs of voters a task counts before it hands the counts on
 
 #: Insults in the four languages of the texts. Fixed values.
 LEXICON = frozenset(
@@ -99,37 +105,60 @@ def _share(rows: DataFrame, most: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1_000_000)) < 1_000_000 * most // n)
 
 
-def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update(patterns_of(words_of(text.as_py() or "")))
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([seen[0][v] for v in names], pa.int64()), pa.array([seen[1][v] for v in names], pa.int64())],
-            names=["name", "clean", "toxic"],
-        )
+def _pattern_counts(sieve=None):
+    """Per task: how many texts hold each pattern, of those whose place in the sieve is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        open_ = None if sieve is None else sieve.value
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["name", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                names = patterns_of(words_of(text.as_py() or ""))
+                seen.update(names if open_ is None else [v for v in names if open_[crc32(v.encode("utf-8", "surrogatepass")) % SIEVE]])
+                if len(seen) > HELD:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
+
+    return run
 
 
 def mine_voters(docs: DataFrame, training: DataFrame) -> Voters:
-    """The lexicon and the most telling patterns of a bounded share of labelled texts."""
-    share = materialize(_share(training, FIT_ROWS))
-    n = {r["toxic"]: r["c"] for r in share.groupBy("toxic").agg(F.count(F.lit(1)).alias("c")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
+    """The lexicon and all patterns that tell: by EVIDENCE and by ODDS, over all labelled training rows.
+
+    Toxic texts come first; a pattern in too few of them cannot reach the evidence. Other texts
+    are then counted for the patterns left, which tasks know by a table of fixed size.
+    """
+    size = {r["toxic"]: r["c"] for r in training.groupBy("toxic").agg(F.count(F.lit(1)).alias("c")).collect()}
+    bad, good = size.get(1, 0), size.get(0, 0)
     names = sorted("=" + w for w in LEXICON)
-    if bad and good:
-        base, n = bad / (bad + good), F.col("toxic") + F.col("clean")
-        p = F.col("toxic") / n
-        differs = F.col("toxic") * F.log(p / base) + F.when(p < 1, F.col("clean") * F.log((1 - p) / (1 - base))).otherwise(0.0)
-        best = (
-            docs.join(F.broadcast(share), "doc_id").select("text", "toxic")  # at most about FIT_ROWS ids
-            .mapInArrow(_pattern_counts, "name string, clean bigint, toxic bigint")
-            .groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .filter((p > base) & (differs >= EVIDENCE))
-            .orderBy(F.desc(differs), "name").limit(VOTERS).collect()
-        )
-        names += [r["name"] for r in best if r["name"] not in set(names)]
-    return Voters(names)
+    if not (bad and good):
+        return Voters(names)
+    base = bad / (bad + good)
+    texts = docs.join(training, "doc_id").select("text", "toxic")
+
+    def counts(label: int, sieve=None) -> DataFrame:
+        rows = texts.filter(F.col("toxic") == label).select("text").mapInArrow(_pattern_counts(sieve), "name string, n bigint")
+        return rows.groupBy("name").agg(F.sum("n").alias("n"))
+
+    least = math.ceil(EVIDENCE / -math.log(base))
+    toxic = materialize(counts(1).filter(F.col("n") >= least).withColumnRenamed("n", "toxic"))
+    places = toxic.select((F.crc32(F.col("name").cast("binary")) % SIEVE).cast("int").alias("p")).distinct().toPandas()["p"]  # SIEVE at most
+    sieve = np.zeros(SIEVE, dtype=bool)
+    sieve[places.to_numpy()] = True
+    clean = counts(0, docs.sparkSession.sparkContext.broadcast(sieve)).withColumnRenamed("n", "clean")
+    both = toxic.join(clean, "name", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
+    p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    differs = F.col("toxic") * F.log(p / base) + F.when(p < 1, F.col("clean") * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    odds = F.col("toxic") * good >= ODDS * F.col("clean") * bad
+    found = both.filter(odds & (p > base) & (differs >= EVIDENCE)).orderBy(F.desc(differs), "name").select("name").toPandas()["name"]
+    known = set(names)
+    return Voters(names + [v for v in found if v not in known])
 
 
 def _votes(voters: Voters):
@@ -159,17 +188,18 @@ class LabelModel:
         self.gain, self.base = self.gain * max(float(w[0]), 0.1), bias
 
     def posterior(self, fired: np.ndarray, row: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """P(toxic) of rows given as a flat list of votes; a label (0 or 1) outweighs the votes."""
+        """P(toxic) of rows given as a flat list of votes; a label (0 or 1) is one more vote, of accuracy SURE."""
         x = self.base + np.bincount(row, weights=self.gain[fired], minlength=len(label))
-        p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        return np.where(label >= 0, np.where(label == 1, 0.95, 0.05), p)
+        x += np.where(label >= 0, np.where(label == 1, 1, -1), 0) * math.log(SURE / (1 - SURE))
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = batch.column(0)
-    size = np.diff(lists.offsets.to_numpy())
-    label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), size), label
+def _pairs(fired: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, i, j) of the pairs of votes of each row, by the distance of the two votes in it."""
+    step = 1
+    while step < len(fired) and len(at := np.flatnonzero(row[step:] == row[:-step])):
+        yield row[at], fired[at], fired[at + step]
+        step += 1
 
 
 def _moments(model: LabelModel, pairs: bool, size: int):
@@ -177,39 +207,48 @@ def _moments(model: LabelModel, pairs: bool, size: int):
     for, each pair of voters. Rows (i, j, on, off); i = j for a voter, -1 for all rows.
     """
 
+    def rows_of(i: np.ndarray, j: np.ndarray, on: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip((i, j, on, off), kinds, strict=True)], names=["i", "j", "on", "off"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, rows = np.zeros((2, size)), {}, np.zeros(2)
+        one, rows = np.zeros((2, size)), np.zeros(2)
+        key, two = np.zeros(0, np.int64), np.zeros((2, 0))  # sums of the pairs seen so far, sorted by pair
         for batch in batches:
-            fired, row, label = _flat(batch)
+            lists = batch.column(0)
+            fired, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             p = model.posterior(fired, row, label)
-            rows += [p.sum(), (1 - p).sum()]
-            for k, w in enumerate((p, 1 - p)):
-                one[k] += np.bincount(fired, weights=w[row], minlength=size)
-            if pairs:
-                cut = np.searchsorted(row, np.arange(len(p) + 1))
-                for r in np.flatnonzero(np.diff(cut) > 1):
-                    f = fired[cut[r] : cut[r + 1]].tolist()
-                    for x, i in enumerate(f):
-                        for j in f[x + 1 :]:
-                            t = two.setdefault((i, j), [0.0, 0.0])
-                            t[0] += p[r]
-                            t[1] += 1 - p[r]
-        out = [(-1, -1, *rows), *((i, i, one[0][i], one[1][i]) for i in range(size)), *((i, j, *t) for (i, j), t in two.items())]
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["i", "j", "on", "off"])
+            weights = np.stack((p, 1 - p))
+            rows += weights.sum(axis=1)
+            for k in range(2):
+                one[k] += np.bincount(fired, weights=weights[k][row], minlength=size)
+            for r, i, j in _pairs(fired, row) if pairs else ():
+                key, place = np.unique(np.concatenate((key, i.astype(np.int64) * size + j)), return_inverse=True)
+                two = np.stack([np.bincount(place, weights=np.concatenate((two[k], weights[k][r])), minlength=len(key)) for k in range(2)])
+                if len(key) > HELD:
+                    yield rows_of(key // size, key % size, *two)
+                    key, two = key[:0], two[:, :0]
+        yield rows_of(np.array([-1]), np.array([-1]), rows[:1], rows[1:])
+        yield rows_of(np.arange(size), np.arange(size), *one)
+        if len(key):
+            yield rows_of(key // size, key % size, *two)
 
     return run
 
 
 def fit_label_model(votes: DataFrame, size: int) -> LabelModel:
-    """Expectation maximisation over the votes of all documents (fired, toxic or NULL)."""
+    """Expectation maximisation over the votes of all documents (fired, toxic or NULL).
+
+    Rows count by the posterior of the step before, in which a label is one more vote.
+    """
     on, off, prior, say = np.full(size, 0.3), np.full(size, 0.01), 0.1, np.ones(size)
     narrow = votes.select("fired", "toxic")
     for k in range(ROUNDS):
         pairs = k == 0  # correlations are read once, under the first posterior
         sums = (
             narrow.mapInArrow(_moments(LabelModel(on, off, prior, say), pairs, size), "i int, j int, on double, off double")
-            .groupBy("i", "j").agg(F.sum("on").alias("on"), F.sum("off").alias("off")).toPandas()  # at most VOTERS squared rows
+            .groupBy("i", "j").agg(F.sum("on").alias("on"), F.sum("off").alias("off")).toPandas()  # the pairs of voters that meet in a text
         )
         all_rows = sums[sums.i == -1]
         if all_rows.empty:
