@@ -21,7 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO = 64_000_000  # bytes of matches a task remembers before it starts afresh
+from evalweave.llm.frugal import frugal
+
+MEMO = 200_000_000  # bytes of matches a task remembers before it starts afresh
 SHORT = 200  # letters of a match worth remembering
 _ENTRY = 200  # bytes that the objects of an entry take besides its text and ids
 _SHIFT, _NONE = 32, 1 << 62
@@ -143,4 +145,4 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             if lo < batch.num_rows:
                 yield out(lo, batch.num_rows)
 
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, decoded binary")
+    return rows.mapInArrow(frugal(run), f"{schema}, ids array<int>, decoded binary")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.llm.frugal import frugal
 from evalweave.llm.components import components, extended, tasks_for
 from evalweave.llm.words import chunks, shingle_sets
 from evalweave.sources.scratch import materialize
@@ -282,7 +283,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     near = beside(pairs, "sig", tasks_for(4 * max(size, pairs.count()))).filter(_bitmaps("sig_a", "sig_b", "n_a", "n_b"))
     near = materialize(near.select("a", "b", "n_a", "n_b"))
     k = tasks_for(4 * max(size, near.count()))
-    near = materialize(beside(near, "wide", k).mapInArrow(_wide_bound, "a bigint, b bigint").distinct().coalesce(k))
+    near = materialize(beside(near, "wide", k).mapInArrow(frugal(_wide_bound), "a bigint, b bigint").distinct().coalesce(k))
     cells = materialize(_cells(near, k))
     wanted = materialize(
         cells.select("a", "cell", F.lit(False).alias("member"), F.col("a").alias("id")).distinct()
@@ -291,10 +292,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     )
     arrays = (
         _perhaps(texts, wanted).join(wanted, F.col("doc_id") == F.col("id")).select("text", "a", "cell", "member", "id", "h")
-        .mapInArrow(_arrays, _ARRAYS)
+        .mapInArrow(frugal(_arrays), _ARRAYS)
     )
     placed = arrays.repartition("a", "cell").sortWithinPartitions("a", "cell", "member")
-    return materialize(placed.mapInArrow(_verified, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return materialize(placed.mapInArrow(frugal(_verified), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -319,7 +320,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     key = F.xxhash64("id")
     tiles = materialize(
         rows.repartitionByRange("token", key).sortWithinPartitions("token", key).select("token", "id", "n", "pos")
-        .mapInArrow(_tiles, "token bigint, id bigint, n bigint, pos int, hub bigint, hub_n bigint")
+        .mapInArrow(frugal(_tiles), "token bigint, id bigint, n bigint, pos int, hub bigint, hub_n bigint")
     )
     k = tasks_for(tiles.count())
     heads = materialize(tiles.select("token", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct().coalesce(k))

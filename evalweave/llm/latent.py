@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.llm.frugal import frugal
 from evalweave.llm.words import LETTERS_DIGITS, chunks, word_hashes
 from evalweave.sources.scratch import materialize
 
@@ -233,7 +234,7 @@ def fit_basis(passages: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     own = _matrix(items.words, idf)
     basis = np.random.default_rng(seed).standard_normal((m, rank))
     for _ in range(ROUNDS):
-        parts = passages.select("words").mapInArrow(_product(idf, basis), "term bigint, y array<double>")
+        parts = passages.select("words").mapInArrow(frugal(_product(idf, basis)), "term bigint, y array<double>")
         sums = parts.groupBy("term").agg(*(F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(rank))).toPandas()  # a row a term at most
         product = _back(*own, _times(*own, basis, len(items.words)), m)
         product[sums["term"].to_numpy(np.int64)] += sums.drop(columns="term").to_numpy(float).reshape(len(sums), rank)
@@ -300,13 +301,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
         items = Items.read(some["item_id"].to_numpy(), some["text"].tolist())
         if not len(items.ids):
             continue
-        seen = materialize(texts.mapInArrow(_passages(items), "doc_id bigint, start bigint, count bigint, item bigint, words array<int>"))
+        seen = materialize(texts.mapInArrow(frugal(_passages(items)), "doc_id bigint, start bigint, count bigint, item bigint, words array<int>"))
         counts = dict(seen.filter("doc_id IS NULL").groupBy("start").agg(F.sum("count")).collect())  # a row a term
         held = np.array([counts.get(t, 0) for t in range(len(items.vocabulary))])
         idf = np.log((1 + counts.get(-1, 0)) / (1 + held)) + 0.1
         passages = seen.filter("doc_id IS NOT NULL").select("doc_id", "start", "item", "words")
         basis = fit_basis(passages, items, idf)
-        out = out.union(passages.mapInArrow(_matches(items, idf, basis, cosine), out.schema))
+        out = out.union(passages.mapInArrow(frugal(_matches(items, idf, basis, cosine)), out.schema))
     best = F.max(F.struct("common", -F.col("start"), "words", "cosine")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.col2")).alias("start"), F.col("b.common").alias("common"), F.col("b.words").alias("words"), F.col("b.cosine").alias("cosine")

@@ -28,23 +28,40 @@ QUERIES = 4096  # queries of a group, about
 HELD = 64  # blocks a task orders at a time
 
 
+_TOP = 2**63 - 1
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
 
 def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    exact = float(np.abs(queries).max(initial=0)) < 2**20
+    largest = float(np.abs(queries).max(initial=0)) * queries.shape[1]
 
     def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if exact and float(np.abs(b).max(initial=0)) < 2**20:  # sums stay below 2^53: floats are exact
+        """Exact products; of Python integers where their sums could pass 62 bits."""
+        sums = largest * float(np.abs(b).max(initial=0))
+        if sums < 2**53:  # floats are exact
             return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-        return a @ b.T
+        return a @ b.T if sums < 2**62 else a.astype(object) @ b.T.astype(object)
+
+    def bounded(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        bounds = product(np.maximum(queries, 0), high) + product(np.minimum(queries, 0), low)
+        return np.minimum(bounds, _TOP).astype(np.int64) if bounds.dtype == object else bounds
+
+    def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = product(a, b)
+        if found.dtype == object:
+            if found.size and max(found.max(), -found.min()) > _TOP:
+                raise OverflowError("a score does not fit into 64 bits")
+            found = found.astype(np.int64)
+        return found
 
     def score(held: list[tuple[np.ndarray, np.ndarray]], best: list) -> None:
         high = np.stack([m.max(axis=0) for _, m in held])
         low = np.stack([m.min(axis=0) for _, m in held])
-        bounds = product(np.maximum(queries, 0), high) + product(np.minimum(queries, 0), low)
+        bounds = bounded(high, low)
         order = np.argsort(-bounds, axis=1, kind="stable")
         active = np.arange(len(queries))
         for turn in range(len(held)):
@@ -57,7 +74,7 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
             for block in np.unique(at):
                 mine = active[at == block]
                 ids, vectors = held[block]
-                found = product(queries[mine], vectors)
+                found = scores(queries[mine], vectors)
                 for q, row in zip(mine, found, strict=True):
                     use = ids != query_ids[q]
                     if len(best[q][1]) >= k:
@@ -89,11 +106,14 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
 
 def integer_vectors(table: DataFrame, vector: str) -> DataFrame:
     """(vec_id, v array<bigint>) of the rows whose vector is whole: not NULL or empty, no
-    NULL and no non-finite component.
+    NULL and no non-finite component. A component that times 1024 passes 63 bits is an error.
     """
+    def scaled(c):
+        return F.when(F.abs(c * 1024) < 2.0**63, F.floor(c * 1024)).otherwise(F.raise_error(F.lit("a component times 1024 does not fit into 64 bits")).cast("bigint"))
+
     rows = table.select(F.col("vec_id").cast("bigint"), F.col(vector).cast("array<double>").alias("x"))
     whole = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & whole).select("vec_id", F.transform("x", lambda c: F.floor(c * 1024)).alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & whole).select("vec_id", F.transform("x", scaled).alias("v"))
 
 
 def top_k(table: DataFrame, is_query, k: int = 10, vector: str = "embedding") -> DataFrame:
@@ -101,7 +121,8 @@ def top_k(table: DataFrame, is_query, k: int = 10, vector: str = "embedding") ->
 
     Ties go to the smaller vec_id. Vectors score against those of the same length. Rows
     with the query's own vec_id are no candidates. A repeated query row answers once; a
-    repeated candidate counts as often as it occurs. Empty tables give an empty result.
+    repeated candidate counts as often as it occurs. Scores are exact; one beyond 64 bits is an
+    error. Empty tables give an empty result.
     """
     rows = materialize(integer_vectors(table, vector))
     queries = rows.filter(is_query).distinct().select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("vec_id", "v").alias("g"))

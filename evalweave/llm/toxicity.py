@@ -27,14 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
+from evalweave.llm.frugal import frugal
 from evalweave.sources.scratch import materialize
 
 FIT_ROWS = 20_000  # rows of votes for the scale of the posteriors and for the classifier, labelled and other
 ROUNDS = 3  # of expectation maximisation
 EVIDENCE = 14.0  # nats by which a pattern's labels must differ from the base rate (chance: about 1 in 10^6)
-ODDS = 4.0  # times by which a pattern is more frequent in toxic than in other texts
+ODDS = 20.0  # times by which a pattern is more frequent in toxic than in other texts
+LABELS = 1 << 20  # labelled rows up to which they are broadcast to the texts
 SIEVE = 1 << 22  # places of the table that tells tasks which patterns are worth counting
 SURE = 0.99  # accuracy of a label as a vote in the label model
 HELD = 100_000  # patterns or pairs of voters a task counts before it hands the counts on
@@ -140,10 +142,12 @@ def mine_voters(docs: DataFrame, training: DataFrame) -> Voters:
     if not (bad and good):
         return Voters(names)
     base = bad / (bad + good)
-    texts = docs.join(training, "doc_id").select("text", "toxic")
+    # Up to LABELS rows of 12 bytes go to all tasks; beyond that the texts are shuffled by doc_id.
+    marks = F.broadcast(training) if bad + good <= LABELS else training
+    texts = docs.join(marks, "doc_id").select("text", "toxic")
 
     def counts(label: int, sieve=None) -> DataFrame:
-        rows = texts.filter(F.col("toxic") == label).select("text").mapInArrow(_pattern_counts(sieve), "name string, n bigint")
+        rows = texts.filter(F.col("toxic") == label).select("text").mapInArrow(frugal(_pattern_counts(sieve)), "name string, n bigint")
         return rows.groupBy("name").agg(F.sum("n").alias("n"))
 
     least = math.ceil(EVIDENCE / -math.log(base))
@@ -237,6 +241,21 @@ def _moments(model: LabelModel, pairs: bool, size: int):
     return run
 
 
+def _repeated(pairs: DataFrame, on: np.ndarray, toxic: float, size: int) -> np.ndarray:
+    """For each voter the sum of its correlations (above 0.1) with other voters on toxic texts.
+
+    The pairs stay in Spark; one number a voter goes in with the plan's table and one comes back.
+    """
+    session = pairs.sparkSession
+    rate = F.broadcast(session.createDataFrame(list(enumerate(on.tolist())), "v int, p double"))  # a row a voter
+    both = pairs.join(rate.select(F.col("v").alias("i"), F.col("p").alias("pi")), "i").join(rate.select(F.col("v").alias("j"), F.col("p").alias("pj")), "j")
+    spread = F.sqrt(F.col("pi") * (1 - F.col("pi")) * F.col("pj") * (1 - F.col("pj")))
+    rho = F.least((F.col("on") / (toxic + 1) - F.col("pi") * F.col("pj")) / spread, F.lit(1.0))
+    strong = both.filter(F.col("on") >= 2).select("i", "j", rho.alias("rho")).filter("rho > 0.1")
+    sums = strong.select(F.explode(F.array("i", "j")).alias("v"), "rho").groupBy("v").agg(F.sum("rho").alias("s")).toPandas()
+    return np.bincount(sums["v"], weights=sums["s"], minlength=size)
+
+
 def fit_label_model(votes: DataFrame, size: int) -> LabelModel:
     """Expectation maximisation over the votes of all documents (fired, toxic or NULL).
 
@@ -246,25 +265,18 @@ def fit_label_model(votes: DataFrame, size: int) -> LabelModel:
     narrow = votes.select("fired", "toxic")
     for k in range(ROUNDS):
         pairs = k == 0  # correlations are read once, under the first posterior
-        sums = (
-            narrow.mapInArrow(_moments(LabelModel(on, off, prior, say), pairs, size), "i int, j int, on double, off double")
-            .groupBy("i", "j").agg(F.sum("on").alias("on"), F.sum("off").alias("off")).toPandas()  # the pairs of voters that meet in a text
-        )
-        all_rows = sums[sums.i == -1]
-        if all_rows.empty:
+        parts = narrow.mapInArrow(frugal(_moments(LabelModel(on, off, prior, say), pairs, size)), "i int, j int, on double, off double")
+        sums = parts.groupBy("i", "j").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
+        sums = materialize(sums) if pairs else sums
+        own = sums.filter("i = j").toPandas().sort_values("i")  # a row a voter, and one for all rows
+        if own.empty or own["i"].iloc[0] != -1:
             break
-        a, b = float(all_rows["on"].iloc[0]), float(all_rows["off"].iloc[0])
-        own = sums[(sums.i >= 0) & (sums.i == sums.j)].sort_values("i")
-        on, off = (own["on"].to_numpy() + 0.3) / (a + 1), (own["off"].to_numpy() + 0.02) / (b + 2)
+        a, b = float(own["on"].iloc[0]), float(own["off"].iloc[0])
+        on, off = (own["on"].to_numpy()[1:] + 0.3) / (a + 1), (own["off"].to_numpy()[1:] + 0.02) / (b + 2)
         on, off = np.clip(on, 1e-6, 0.999), np.clip(off, 1e-7, 0.999)
         prior = min(max((a + 1) / (a + b + 2), 0.01), 0.5)
         if pairs:
-            two = sums[sums.i != sums.j]
-            i, j = two["i"].to_numpy(), two["j"].to_numpy()
-            together = two["on"].to_numpy() / (a + 1)
-            rho = (together - on[i] * on[j]) / np.sqrt(on[i] * (1 - on[i]) * on[j] * (1 - on[j]))
-            rho = np.where((two["on"].to_numpy() >= 2) & (rho > 0.1), np.minimum(rho, 1), 0)
-            say = 1 / (1 + np.bincount(i, weights=rho, minlength=size) + np.bincount(j, weights=rho, minlength=size))
+            say = 1 / (1 + _repeated(sums.filter("i < j"), on, a, size))
     return LabelModel(on, off, prior, say)
 
 
@@ -298,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     voters = mine_voters(docs, training)
     size = len(voters.names)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cast = docs.mapInArrow(_votes(voters), f"doc_id {kind}, fired array<int>")
+    cast = docs.mapInArrow(frugal(_votes(voters)), f"doc_id {kind}, fired array<int>")
     votes = materialize(cast.join(training, "doc_id", "left"))
     model = fit_label_model(votes, size)
     # Rows for the classifier: labelled ones and others, both bounded by FIT_ROWS.
@@ -311,12 +323,10 @@ def fit(docs: DataFrame, labels: DataFrame):
     target = model.posterior(fired, row, label)
     weights, bias = fit_classifier(fired, row, target, size) if len(target) else (model.gain, model.base)
 
-    @pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        x = np.array([bias + sum(weights[i] for i in voters.fired(t or "")) for t in texts], dtype=float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    @arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([bias + sum(weights[i] for i in voters.fired(t.as_py() or "")) for t in texts], dtype=float)
+        return pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
     return score
 

@@ -260,6 +260,25 @@ def test_top_k(spark):
     assert top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Sums past 62 bits are exact; scores or components that 64 bits cannot hold are errors."""
+    import random
+
+    rng = random.Random(4)
+    near = [(i, [rng.choice([-1, 1]) * rng.uniform(1e6, 1.9e6) for _ in range(3)]) for i in range(60)]
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in near}
+    frame = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(frame, F.col("vec_id") < 3, 5).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(3):
+        order = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order)]
+    assert got == want and max(abs(w[3]) for w in want) > 2**62
+    for big in (1e8, 1e17):
+        with pytest.raises(Exception, match="64 bits"):
+            top_k(spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op3_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
