@@ -232,7 +232,9 @@ def _decayed(x: np.ndarray, border: np.ndarray, q: float) -> np.ndarray:
     scan = (before + carried[:, None] * q**at).reshape(-1)[: len(x)]
     size = np.diff(border)
     first = np.repeat(border[:-1], size)
-    return scan - scan[first] * q ** (np.arange(len(x)) - first)
+    own = scan - scan[first] * q ** (np.arange(len(x)) - first)
+    earlier = np.cumsum(x != 0) - (x != 0)
+    return np.where(earlier > earlier[first], own, 0.0)  # exactly 0 where the row has no earlier term
 
 
 def loss_weight(kind: str, t: Column, schedule: str = LINEAR) -> Column:

@@ -440,11 +440,12 @@ def brute_cart(masked, p):
 @pytest.mark.parametrize("p", [0.3, 0.9, 0.999])
 def test_cart_weights_against_brute_force(spark, p):
     """Rows of all lengths in one batch: what one row hands on never reaches the next."""
-    rows = [[(i * i) % 7 < 3 or 200 < i < 420 for i in range(1200)], [], None, [True], [False], [True, False], [False] * 700, [True] * 300 + [False], [None, True, False]]
+    rows = [[(i * i) % 7 < 3 or 200 < i < 420 for i in range(1200)], [], None, [True], [False], [True, False], [False] * 700, [True] * 300 + [False], [None, True, False], [False] * 9, [True] * 50, [True] * 7]
     df = spark.createDataFrame(list(enumerate(rows)), "k long, masked array<boolean>").coalesce(1)
     got = {r["k"]: r["cart_weight"] for r in N.with_cart_weights(df, p=p).collect()}
     for k, masked in enumerate(rows):
         assert got[k] is None if masked is None else got[k] == pytest.approx(brute_cart([bool(m) for m in masked], p), rel=1e-9, abs=1e-12)
+        assert masked is None or not all(masked) or not any(got[k])  # exactly 0 after a row that hands much on
 
 
 def test_weights_of_all_kinds(spark):
