@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a small block tree: block elements only, runs of like siblings folded
-into one node. The trees of a host's pages are aligned with one reference page of the
-host by simple tree matching. Aligned nodes with the same text on nearly all pages are
-template, and a page loses their blocks only where its text there is the template's; the
-others are slots. The content is the article or main element, or else the whole page,
-without template and without the elements whose role is boilerplate. Elements that are
-boilerplate by class, id or role only (whole names) stay nodes of their own: outside
-article and main, those that hold most of a page's varying text are content.
-
-Per host only counts for the nodes of its reference page are kept, and they are summed
-per task before they are shuffled, so a host with a third of all pages is no hot spot.
+into one node. The trees of a host's different pages are aligned with up to REFERENCES
+pages of the host by simple tree matching. Text that aligned nodes share on nearly all
+pages is template, and a page loses a block only where its text there is the template's;
+the others are slots. Two different pages are enough to tell; copies of a page count once.
+The content is what article and main elements hold, or else the whole page, without
+template and without the elements whose role is boilerplate. Elements that are boilerplate
+by class, id or role only, and forms, stay nodes of their own: those that hold most of a
+page's varying text are content, unless they are comments, adverts or menus.
+
+Per host only counts for the nodes of its reference pages are kept, and they are summed
+per task before they are shuffled; joins by host are salted, so a host with a third of all
+pages is no hot spot.
 """
 
 from __future__ import annotations
@@ -28,17 +30,18 @@ from pyspark.sql import functions as F
 
 from evalweave.sources.scratch import materialize
 
-CONSTANT = 0.9  # share of aligned pages with the same text that makes a node template
-LEAST_PAGES = 10  # aligned pages below which nothing counts as template
-BULK = 0.7  # share of varying text a child must hold for the article or main element to lie in it
+CONSTANT = 0.9  # share of aligned pages with the same text that makes it template
+LAYOUT = 0.25  # share of a host's pages that a template node is aligned on, at least
+REFERENCES = 3  # pages of a host that the others are aligned with
 MOST = 0.5  # share of a page's varying text above which an element is content whatever its class
+SALTS = 16  # tasks a host's pages go to
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
 BOILERPLATE = frozenset(
-    "nav header footer aside form script style noscript template iframe svg button select textarea menu dialog object canvas head title".split()
+    "nav header footer aside script style noscript template iframe svg button select textarea menu dialog object canvas head title".split()
 )
 ROLES = frozenset(
     "nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement advertising banner promo promoted"
@@ -46,19 +49,33 @@ ROLES = frozenset(
     " sharing social related recommended newsletter subscribe signup login search searchform breadcrumb breadcrumbs pagination pager"
     " widget toolbar copyright legal masthead contentinfo complementary".split()
 )
+#: Roles that say little on a paragraph, a heading or an inline element.
+WEAK = frozenset("legal search header footer related recommended comment reply replies respond login signup menu widget".split())
+#: Roles that are never content, however long.
+NEVER = frozenset(
+    "comment comments respond reply replies disqus ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent"
+    " nav navbar navigation menu".split()
+)
+#: Parts of a class name beside which another part does not make a role.
+OWN = frozenset("content article entry story text has no with without".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+CODE = frozenset(("pre", "code"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th img option".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table menu".split())
 WHOLE = frozenset("html body article main".split())
 
+# Quotes open only after "="; elsewhere they are characters of a name.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?"
+    rf"|<svg(?=[\s/>]){_REST}(?<=/)>"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)(?=[\s/>]){_REST}(?:\Z|>.*?(?:</(?P=raw)\s*+>|\Z))"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})(?:>|\Z)",  # a tag that does not end is none of the text
     re.S | re.I,
 )
-_ROLE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -78,9 +95,30 @@ class Page:
 
 
 @lru_cache(maxsize=4096)
-def _role(rest: str) -> str:
-    """The first class, id or role that is boilerplate, or nothing."""
-    return next((w for m in _ROLE.finditer(rest) for w in (m[1] or m[2] or m[3] or "").lower().split() if w in ROLES), "")
+def _names(rest: str) -> tuple[str, ...]:
+    """Classes, ids and roles of a tag, in lower case."""
+    return tuple(w for m in _ATTRIBUTE.finditer(rest) if m[1].lower() in ("class", "id", "role") for w in (m[2] or m[3] or m[4] or "").lower().split())
+
+
+@lru_cache(maxsize=4096)
+def _role(rest: str, parts: bool, weak: bool) -> str:
+    """The first class, id or role that is boilerplate, or nothing. With `parts` a part of a
+    name at - and _ is enough; without `weak`, roles of WEAK do not count.
+    """
+    for name in _names(rest):
+        if name in ROLES and (weak or name not in WEAK):
+            return name
+        own = re.split("[-_]+", name) if parts else ()
+        if len(own) > 1 and OWN.isdisjoint(own):
+            for w in own:
+                if w in ROLES and not (w in ("header", "footer") and "post" in own):
+                    return w
+    return ""
+
+
+def _label(tag: str, rest: str) -> str:
+    """What tells a plain container from its like siblings: letters of its first class or id."""
+    return re.sub("[^a-z]", "", next(iter(_names(rest)), ""))[:24] if tag in ("div", "section") else ""
 
 
 def _marked(path: str) -> str:
@@ -128,7 +166,11 @@ def parse(source: str) -> Page:
             continue
         if not block and tag in VOID:
             continue
-        role = _role(m["rest"]) if tag not in WHOLE and m["rest"] else ""
+        role = ""
+        if m["rest"] and tag not in WHOLE and (block or CODE.isdisjoint(x[0] for x in stack)):
+            role = _role(m["rest"], block and tag not in TEXT, block and tag not in TEXT)
+        if tag == "form":
+            role = "form"
         if not block:
             boiler = stack[-1][2] or tag in BOILERPLATE or bool(role)
             if boiler and not stack[-1][2] and not m["rest"].endswith("/"):
@@ -142,7 +184,8 @@ def parse(source: str) -> Page:
             elif stack[k][0] in BLOCKS and (stack[k][0] in LISTS or stack[k][0] != "p"):
                 break
         boiler = stack[-1][2] or tag in BOILERPLATE
-        key = f"{tag}.{role}" if role else tag
+        label = "" if role else _label(tag, m["rest"])
+        key = f"{tag}.{role}" if role else f"{tag}:{label}" if label else tag
         if tag == "hr":
             continue
         parent = stack[-1][1]
@@ -207,13 +250,18 @@ def _tree(page: Page) -> tuple[tuple[str, int], ...]:
     return tuple(zip(page.keys, page.parents, strict=True))
 
 
-def _texts(page: Page) -> tuple[list[int], list[int]]:
-    """Hash and length of each node's own text."""
-    sums, sizes = [0] * len(page.keys), [0] * len(page.keys)
+def _sums(page: Page) -> list[int]:
+    """Of each block the hash by which it is compared: of its own text, or of all text of its
+    node where that is running text.
+    """
+    whole: dict[int, int] = {}
+    own = []
     for node, text in page.blocks:
-        sums[node] = crc32(text.encode("utf-8", "surrogatepass"), sums[node])
-        sizes[node] += len(text)
-    return sums, sizes
+        data = text.encode("utf-8", "surrogatepass")
+        if page.keys[node].partition(".")[0] in TEXT:
+            whole[node] = crc32(data, whole.get(node, 0))
+        own.append(crc32(data))
+    return [whole.get(node, s) for (node, _), s in zip(page.blocks, own, strict=True)]
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,128 +269,117 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for source in batch.column(1):
             page = parse(source.as_py() or "")
-            sums, sizes = _texts(page)
-            out.append((page.keys, page.parents, sums, sizes))
-        columns = [pa.array([o[k] for o in out], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["host", "pick", "keys", "parents", "sums", "sizes"])
+            held = sorted({(node, s) for (node, _), s in zip(page.blocks, _sums(page), strict=True)})
+            out.append((page.keys, page.parents, [n for n, _ in held], [s for _, s in held]))
+        columns = [pa.array([o[k] for o in out], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "keys", "parents", "nodes", "sums"])
+
+
+def _by_node(nodes: list[int], sums: list[int]) -> dict[int, set[int]]:
+    out: dict[int, set[int]] = {}
+    for n, s in zip(nodes, sums, strict=True):
+        out.setdefault(n, set()).add(s)
+    return out
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, sum, seen, same, chars): sums over a batch for the nodes of the reference
-    page, `sum` being the hash of its text there.
+    """(host, ref, path, sum, seen, same): sums over a batch for the texts of the reference
+    pages, `sum` being a text's hash. Path '' and sum -1 count all pages.
     """
+    columns = ("host", "ref", "keys", "parents", "nodes", "sums", "ref_keys", "ref_parents", "ref_nodes", "ref_sums")
     for batch in batches:
-        total: dict[tuple[str, str, int], list[int]] = {}
+        total: dict[tuple[str, int, str, int], list[int]] = {}
         rows = batch.to_pydict()
-        for host, keys, parents, sums, sizes, rk, rp, rs in zip(*(rows[c] for c in ("host", "keys", "parents", "sums", "sizes", "ref_keys", "ref_parents", "ref_sums")), strict=True):
+        for host, no, keys, parents, nodes, sums, rk, rp, rn, rs in zip(*(rows[c] for c in columns), strict=True):
             ref = Page(rk, rp)
-            paths = ref.paths()
+            paths, theirs, own = ref.paths(), _by_node(rn, rs), _by_node(nodes, sums)
+            total.setdefault((host, no, "", -1), [0, 0])[0] += 1
             for x, y in align(_tree(ref), tuple(zip(keys, parents, strict=True))):
-                t = total.setdefault((host, paths[x], rs[x]), [0, 0, 0])
-                t[0] += 1
-                t[1] += sizes[y] > 0 and rs[x] == sums[y]
-                t[2] += sizes[y] if rs[x] != sums[y] else 0
+                for s in theirs.get(x, ()):
+                    t = total.setdefault((host, no, paths[x], s), [0, 0])
+                    t[0] += 1
+                    t[1] += s in own.get(y, ())
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array([k[i] for k in total], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))), *(pa.array([v[i] for v in total.values()], pa.int64()) for i in range(3))],
-            names=["host", "path", "sum", "seen", "same", "chars"],
+            [*(pa.array([k[i] for k in total], t) for i, t in enumerate(kinds)), *(pa.array([v[i] for v in total.values()], pa.int64()) for i in range(2))],
+            names=["host", "ref", "path", "sum", "seen", "same"],
         )
 
 
-@lru_cache(maxsize=20_000)
-def wrapper(nodes: tuple[tuple[str, int, int, int, int], ...]) -> tuple[str, frozenset[tuple[str, int]]]:
-    """The content's path and the template's (path, hash of the text) in it, from
-    (path, sum, seen, same, chars).
-    """
-    mass: dict[str, int] = {}
-    for path, _, _, _, chars in nodes:
-        while path and "." not in path:
-            mass[path] = mass.get(path, 0) + chars
-            path = path.rpartition("/")[0]
-    root = ""
-    while True:
-        below = [p for p in mass if p.rpartition("/")[0] == root]
-        best = max(below, key=lambda p: (mass[p], p), default=None)
-        holds = best is not None and any(p.startswith(best + "/") for p in mass)
-        if best is None or root.endswith(("/article", "/main")):
-            break
-        leaf_root = best.endswith(("/article", "/main", "/section", "/div"))
-        if not (holds or leaf_root) or mass[best] < BULK * sum(mass[p] for p in below) or not mass[best]:
-            break
-        root = best
-    if not root.endswith(("/article", "/main")):
-        root = ""  # a part of the text is no ground to cut the rest
-    fixed = {(p, text) for p, text, seen, same, _ in nodes if seen >= LEAST_PAGES and same >= CONSTANT * seen and ((p + "/").startswith(root + "/") or "." in p)}
-    return root, frozenset(fixed)
-
-
-def main_text(source: str, nodes: tuple = ()) -> str:
-    """Main text of a page, given what its host's pages have in common."""
+def main_text(source: str, template: frozenset[tuple[str, int]] = frozenset()) -> str:
+    """Main text of a page, given its host's template: (path, hash of the text)."""
     page = parse(source)
     paths = page.paths()
-    root, fixed = wrapper(nodes)
     marks = [_marked(p) for p in paths]
-    open_ = [k for k, m in enumerate(marks) if not m]
-    inside = [k for k in open_ if (paths[k] + "/").startswith(root + "/")]
-    explicit = bool(root and inside)
-    for name in ("article", "main"):
-        own = [k for k in open_ if f"/{name}/" in paths[k] + "/"]
-        if own and not (f"/{name}" in root):
-            inside = own
-        if own:
-            explicit = True
-            break
-    chosen = set(inside) or set(open_)
-    sums, _ = _texts(page)
-    if not explicit:
-        mass: dict[str, int] = {}
-        for k, t in page.blocks:
-            mass[marks[k]] = mass.get(marks[k], 0) + len(t) * ((paths[k], sums[k]) not in fixed)
-        bulk = max(mass, key=lambda m: mass[m], default="")
-        if bulk and mass[bulk] > MOST * sum(mass.values()):
-            chosen |= {k for k, m in enumerate(marks) if m == bulk}
-    kept = [(k, t) for k, t in page.blocks if k in chosen]
-    varying = [t for k, t in kept if (paths[k], sums[k]) not in fixed]
-    # A host that repeats one page has nothing varying; its text is still content.
-    if sum(map(len, varying)) * 2 < sum(len(t) for _, t in kept):
-        varying = [t for _, t in kept]
-    return "\n".join(varying)
+    sums = _sums(page)
+    varies = [(paths[k], s) not in template for (k, _), s in zip(page.blocks, sums, strict=True)]
+    mass: dict[str, int] = {}
+    running: set[str] = set()  # marked elements with running text
+    for (k, text), own in zip(page.blocks, varies, strict=True):
+        mass[marks[k]] = mass.get(marks[k], 0) + len(text) * own
+        if page.keys[k] in TEXT:
+            running.add(marks[k])
+    bulk = max(mass, key=lambda m: mass[m], default="")
+    role = bulk.rpartition(".")[2]
+    content = {""}
+    if mass.get(bulk, 0) > MOST * sum(mass.values()) and (role not in NEVER or not mass.get("")) and (role != "form" or bulk in running):
+        content.add(bulk)
+    chosen = {k for k, m in enumerate(marks) if m in content}
+    main = {k for k in chosen if "/main/" in paths[k] + "/"}
+    article = {k for k in chosen if "/article/" in paths[k] + "/"}
+    held = lambda some: sum(len(t) for k, t in page.blocks if k in some)
+    if main and 2 * held(main) >= held(main | article):
+        chosen = main
+    elif held(main | article):
+        chosen = main | article
+    kept = [(t, own) for (k, t), own in zip(page.blocks, varies, strict=True) if k in chosen]
+    # A page that is a template as a whole is content all the same.
+    return "\n".join(t for t, own in kept if own or not any(o for _, o in kept))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page (page_id, url, html).
 
-    NULL or empty html has an empty text. Pages without a host share one (empty) host.
-    Repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    NULL or empty html has an empty text. Pages without a host share one (empty) host; a host
+    with one page, or copies of one only, has no template. Repeated rows stay; an empty table
+    gives an empty result; other columns are ignored.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+    parts = "keys array<string>, parents array<int>, nodes array<int>, sums array<bigint>"
     skeletons = materialize(
-        rows.select("host", "html", F.xxhash64("page_id", "html").alias("pick"))
-        .mapInArrow(_skeletons, "host string, pick bigint, keys array<string>, parents array<int>, sums array<bigint>, sizes array<bigint>")
-    )
-    picks = skeletons.groupBy("host").agg(F.min("pick").alias("pick"))
-    refs = skeletons.join(picks, ["host", "pick"], "left_semi").dropDuplicates(["host"]).select(
-        "host", F.col("keys").alias("ref_keys"), F.col("parents").alias("ref_parents"), F.col("sums").alias("ref_sums")
+        rows.select("host", "html").mapInArrow(_skeletons, f"host string, {parts}")
+        .withColumn("pick", F.xxhash64("keys", "nodes", "sums")).dropDuplicates(["host", "pick"])
     )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    ref = F.pmod("pick", F.lit(REFERENCES)).cast("int").alias("ref")
+    picks = skeletons.groupBy("host", ref).agg(F.min("pick").alias("pick"))
+    refs = skeletons.join(picks, ["host", "pick"]).select("host", "ref", *(F.col(c).alias(f"ref_{c}") for c in ("keys", "parents", "nodes", "sums")), salts)
     counts = (
-        skeletons.drop("pick").join(refs, "host")
-        .mapInArrow(_aligned, "host string, path string, sum bigint, seen bigint, same bigint, chars bigint")
-        .groupBy("host", "path", "sum").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
+        skeletons.withColumn("salt", F.pmod(F.shiftright("pick", 8), F.lit(SALTS)).cast("int")).join(refs, ["host", "salt"])
+        .mapInArrow(_aligned, "host string, ref int, path string, sum bigint, seen bigint, same bigint")
+        .groupBy("host", "ref", "path", "sum").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    )
+    # One row a host, with an entry for each constant text of its reference pages.
+    by_host = counts.groupBy("host").agg(
+        F.max(F.when(F.col("sum") == -1, F.col("seen"))).alias("pages"),
+        F.collect_list(F.when((F.col("sum") >= 0) & (F.col("seen") > 1) & (F.col("same") >= CONSTANT * F.col("seen")), F.struct("path", "sum", "seen"))).alias("constant"),
     )
-    # One row a host, with an entry for each node of one page.
-    hosts = materialize(counts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "sum", "seen", "same", "chars"))).alias("nodes")))
+    hosts = materialize(by_host.select("host", F.array_distinct(F.expr(f"transform(filter(constant, c -> c.seen >= {LAYOUT} * pages), c -> struct(c.path, c.sum))")).alias("template")))
 
     page_id = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(h or "", tuple((n["path"], n["sum"], n["seen"], n["same"], n["chars"]) for n in nodes or ()))
-                for h, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                main_text(h or "", frozenset((n["path"], n["sum"]) for n in template or ()))
+                for h, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.join(hosts, "host", "left").select("page_id", F.col("url").cast("string").alias("url"), "html", "nodes").mapInArrow(
-        run, f"page_id {page_id}, url string, text string"
+    salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int").alias("salt")
+    return (
+        rows.select("*", salt).join(hosts.select("host", "template", salts), ["host", "salt"], "left")
+        .select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {page_id}, url string, text string")
     )
