@@ -34,6 +34,7 @@ CONSTANT = 0.9  # share of aligned pages with the same text that makes it templa
 LAYOUT = 0.25  # share of a host's pages that a template node is aligned on, at least
 REFERENCES = 3  # pages of a host that the others are aligned with
 MOST = 0.5  # share of a page's varying text above which an element is content whatever its class
+DEEPEST = 512  # level of nesting below which blocks belong to the node above them
 SALTS = 16  # tasks a host's pages go to
 
 BLOCKS = frozenset(
@@ -129,6 +130,7 @@ def _marked(path: str) -> str:
 
 def parse(source: str) -> Page:
     page = Page()
+    depth = [0]
     last: list[dict[str, int]] = [{}]  # of each node, its latest child
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # element, node, inside boilerplate
     words: list[str] = []
@@ -190,13 +192,14 @@ def parse(source: str) -> Page:
             continue
         parent = stack[-1][1]
         node = parent
-        if not boiler:
+        if not boiler and depth[parent] < DEEPEST:
             latest = last[parent]
             node = latest.get(key, -1)
             if node < 0 or latest.get(" ") != node:
                 node = len(page.keys)
                 page.keys.append(key)
                 page.parents.append(parent)
+                depth.append(depth[parent] + 1)
                 last.append({})
                 latest[key] = latest[" "] = node
         stack.append((tag, node, boiler))
