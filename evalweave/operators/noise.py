@@ -270,17 +270,28 @@ def masked_nll(df: DataFrame, nll: str = "nll", weight: Column | None = None) ->
     )
 
 
-def loss_norm(rows: DataFrame, batch: str, kind: str) -> DataFrame:
-    """Loss per batch from `masked_nll` rows, normalised by token, sequence or batch."""
-    if kind == "token":
-        loss = F.sum("nll_sum") / F.greatest(F.sum("n_maskable"), F.lit(1))
-    elif kind == "sequence":
-        loss = F.sum(F.col("nll_sum") / F.greatest("n_maskable", F.lit(1))) / F.count(F.lit(1))
-    elif kind == "batch":
-        loss = F.sum("nll_sum") / F.count(F.lit(1))
-    else:
-        raise ValueError(f"unknown normalisation {kind!r}")
-    return rows.groupBy(batch).agg(loss.alias("loss"))
+NORMS = ("token", "sequence", "batch")
+
+
+def loss_norm(rows: DataFrame, batch: str, *kinds: str) -> DataFrame:
+    """Loss per batch from `masked_nll` rows, normalised by token, sequence or batch.
+
+    One kind gives a row per batch (batch, loss), several a row per batch and kind
+    (batch, kind, loss), all from one aggregate.
+    """
+    if not kinds or not set(kinds) <= set(NORMS):
+        raise ValueError(f"unknown normalisation in {kinds!r}")
+    n = F.count(F.lit(1))
+    losses = {
+        "token": F.sum("nll_sum") / F.greatest(F.sum("n_maskable"), F.lit(1)),
+        "sequence": F.sum(F.col("nll_sum") / F.greatest("n_maskable", F.lit(1))) / n,
+        "batch": F.sum("nll_sum") / n,
+    }
+    if len(kinds) == 1:
+        return rows.groupBy(batch).agg(losses[kinds[0]].alias("loss"))
+    wide = rows.groupBy(batch).agg(*(losses[k].alias(f"_{k}") for k in kinds))
+    long = F.stack(F.lit(len(kinds)), *(c for k in kinds for c in (F.lit(k), F.col(f"_{k}"))))
+    return wide.select(batch, long.alias("kind", "loss"))
 
 
 def nll_ppl(rows: DataFrame, value: str = "nll_sum", weight: str = "n_maskable", split: str = "split") -> DataFrame:

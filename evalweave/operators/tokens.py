@@ -321,6 +321,18 @@ def resp_cutoff(df: DataFrame, batch: str, ratio: float, seed: int = 42) -> Data
     )
 
 
+def cut_batches(df: DataFrame, batch: str, key: str, perbatch: bool = False, ratio: float = 0.0, seed: int = 42) -> DataFrame:
+    """The cutoff that a collator's settings choose: with `perbatch` that one alone, whatever
+    the ratio; else the response cutoff in that share of batches; with neither, the rows
+    as they are. A ratio outside [0, 1] is an error.
+    """
+    if not 0 <= ratio <= 1:
+        raise ValueError(f"ratio {ratio} is not in [0, 1]")
+    if perbatch:
+        return perbatch_cutoff(df, batch, key, seed)
+    return resp_cutoff(df, batch, ratio, seed) if ratio else df
+
+
 def edit_source_pair(df: DataFrame, bos: int, masks: int = 0, mask_id: int = MASK) -> DataFrame:
     """Target x1 and source x0: the prompt (or BOS) followed by `masks` mask tokens."""
     ids = F.col("input_ids")

@@ -111,8 +111,8 @@ EXACT = {
 }
 
 
-def exact_k(spark, sf):
-    return N.mask_noise_exact_k(tokens(spark, sf), "doc_id", DRAWS)
+def exact_k(spark, sf, df=None):
+    return N.mask_noise_exact_k(tokens(spark, sf) if df is None else df, "doc_id", DRAWS)
 
 
 @query("mask_noise_exact_k", D.ctes(**EXACT) + "SELECT doc_id, draw, any_value(x) AS n_masked, round(any_value(x / n), 6) AS p_mask, md5(string_agg(CASE WHEN rk <= x THEN '2' ELSE CAST(tok AS VARCHAR) END, ',' ORDER BY i)) AS target_md5 FROM o GROUP BY doc_id, draw")
@@ -207,11 +207,8 @@ def accounted(spark, sf, df=None):
 )
 def loss_norm(spark, sf):
     rows = accounted(spark, sf, N.mask_noise(batched(spark, sf), "doc_id")).select("batch", "nll_sum", "n_maskable")
-    parts = [
-        N.loss_norm(rows, "batch", k).select("batch", F.lit(k).alias("kind"), F.round("loss", 4 if k == "batch" else 6).alias("loss"))
-        for k in ("token", "sequence", "batch")
-    ]
-    return parts[0].union(parts[1]).union(parts[2])
+    loss = F.round("loss", 6)
+    return N.loss_norm(rows, "batch", *N.NORMS).select("batch", "kind", F.when(F.col("kind") == "batch", F.round("loss", 4)).otherwise(loss).alias("loss"))
 
 
 @query(
@@ -230,7 +227,8 @@ def nll_ppl(spark, sf):
     + "SELECT doc_id, round(-avg(loss), 4) AS loglik, round(-avg(loss) / any_value(len_all), 6) AS loglik_union FROM l GROUP BY doc_id",
 )
 def mc_loglik(spark, sf):
-    draws = accounted(spark, sf, exact_k(spark, sf)).withColumn("length", F.size("input_ids")).select("doc_id", "nll_sum", "p_mask", "length")
+    # The loss of a token is the same in all draws, so it is there before rows are copied.
+    draws = N.masked_nll(exact_k(spark, sf, _with_nll(tokens(spark, sf)))).withColumn("length", F.size("input_ids")).select("doc_id", "nll_sum", "p_mask", "length")
     out = N.mc_loglik(draws, "doc_id", "length")
     return out.select("doc_id", F.round("loglik", 4).alias("loglik"), r6("loglik_union").alias("loglik_union"))
 

@@ -211,7 +211,7 @@ _KEPT = f"""SELECT *, first_value(len(input_ids) - prompt_len) OVER (PARTITION B
     D.ctes(**BATCHED, k=_KEPT) + f"SELECT doc_id, {D.ints('input_ids[1:len(input_ids) - greatest(len(input_ids) - prompt_len - kept, 0)]')} AS input_ids FROM k",
 )
 def perbatch_cutoff(spark, sf):
-    return K.perbatch_cutoff(batched(spark, sf), "batch", "doc_id").select("doc_id", ints("input_ids").alias("input_ids"))
+    return K.cut_batches(batched(spark, sf), "batch", "doc_id", perbatch=True, ratio=0.5).select("doc_id", ints("input_ids").alias("input_ids"))
 
 
 _RESP = """SELECT *, min(len(input_ids) - prompt_len) OVER (PARTITION BY batch) AS lo, max(len(input_ids)) OVER (PARTITION BY batch) AS hi FROM b"""
@@ -223,7 +223,7 @@ _RESP = """SELECT *, min(len(input_ids) - prompt_len) OVER (PARTITION BY batch)
     + f"SELECT doc_id, {D.ints('input_ids[1:keep]')} AS input_ids FROM n",
 )
 def resp_cutoff(spark, sf):
-    return K.resp_cutoff(batched(spark, sf), "batch", 0.5).select("doc_id", ints("input_ids").alias("input_ids"))
+    return K.cut_batches(batched(spark, sf), "batch", "doc_id", ratio=0.5).select("doc_id", ints("input_ids").alias("input_ids"))
 
 
 @query(

@@ -644,3 +644,30 @@ def test_verified_records_read_back_whole(spark, tmp_path):
     path = W.write_verified(rows.repartition(3), str(tmp_path / "s.jsonl"))
     back = RD.json_records(spark, path, "doc_id long, pass boolean, system_errors string")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_cutoff_of_a_collator(spark):
+    """The cutoff per batch goes before the response cutoff; without either rows stay."""
+    rows = spark.createDataFrame(
+        [(b, k, [1] * (3 + 2 * k), [2] * (3 + 2 * k), 2) for b in range(6) for k in range(1, 5)], "b int, k int, input_ids array<int>, labels array<int>, prompt_len int"
+    )
+    sizes = lambda df: sorted((r.b, r.k, len(r.input_ids)) for r in df.collect())
+    whole, per = sizes(rows), sizes(K.perbatch_cutoff(rows, "b", "k"))
+    assert sizes(K.cut_batches(rows, "b", "k")) == whole
+    assert sizes(K.cut_batches(rows, "b", "k", perbatch=True, ratio=1.0)) == per != whole
+    always = sizes(K.cut_batches(rows, "b", "k", ratio=1.0))
+    assert always == sizes(K.resp_cutoff(rows, "b", 1.0)) and always not in (whole, per)
+    for ratio in (-0.1, 1.5):
+        with pytest.raises(ValueError, match="ratio"):
+            K.cut_batches(rows, "b", "k", ratio=ratio)
+
+
+def test_loss_norm_kinds(spark):
+    rows = spark.createDataFrame([(0, 3.0, 2), (0, 1.0, 0), (1, 0.0, 0)], "b int, nll_sum double, n_maskable int")
+    got = {(r.b, r.kind): r.loss for r in N.loss_norm(rows, "b", *N.NORMS).collect()}
+    assert got == {(0, "token"): 2.0, (0, "sequence"): 1.25, (0, "batch"): 2.0, (1, "token"): 0.0, (1, "sequence"): 0.0, (1, "batch"): 0.0}
+    assert {r.b: r.loss for r in N.loss_norm(rows, "b", "sequence").collect()} == {0: 1.25, 1: 0.0}
+    assert N.loss_norm(rows.limit(0), "b", *N.NORMS).count() == 0
+    for kinds in ((), ("rows",)):
+        with pytest.raises(ValueError, match="normalisation"):
+            N.loss_norm(rows, "b", *kinds)
