@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from evalweave.sources.scratch import materialize
 
 BITS = 5
+HOT = 4096  # groups of copies with more than this part of all rows, so many at most, are sent to the rows
 DIMENSIONS = 3
 
 
@@ -113,13 +114,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     for c in cuts:
         placed = placed.withColumn(f"b_{c}", _bucket(c, cuts[c]))
     placed = placed.select("doc_id", "size", "text_crc32", "h", (F.col("b_lang") + 2**BITS * F.col("b_source") + 4**BITS * F.col("b_n_chars")).cast("bigint").alias("cell"))
-    copies = (
-        placed.groupBy("h", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "cell")).alias("first"))
-        .filter("n > 1").select("h", "text_crc32", "size", F.col("first.cell").alias("shared"))
+    key = ["h", "text_crc32", "size"]
+    copies = materialize(
+        placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "cell")).alias("first"))
+        .filter("n > 1").select(*key, "n", F.col("first.cell").alias("shared"))
     )
     curve = spark.sql(curve_sql(f"SELECT id AS cell FROM range({2 ** (BITS * DIMENSIONS)})"))
+    large = F.col("n") * HOT > rows.count()
+    hot = F.broadcast(copies.filter(large).drop("n"))  # HOT rows at most
+    placed = placed.join(hot, key).unionByName(placed.join(hot, key, "left_anti").join(copies.filter(~large).drop("n"), key, "left"))
     placed = (
-        placed.join(copies, ["h", "text_crc32", "size"], "left").withColumn("cell", F.coalesce("shared", "cell")).drop("shared")
+        placed.withColumn("cell", F.coalesce("shared", "cell")).drop("shared")
         .join(F.broadcast(curve), "cell")  # always 32,768 rows
     )
     parts = _ranges(placed, "hilbert", "text_crc32", "h", "doc_id")
