@@ -12,7 +12,8 @@ threshold and exceeds its trust.
 Edges are links between hosts, read from the html, and the tie of a host to its parent
 domain; neither end needs pages. Parents are domains of two labels at least, and any that
 occur. All ties of a parent to its hosts weigh as one link, as does each host's to it.
-Scores and edges are tables; every step is a join and a sum.
+Scores and edges are tables; every step is a join and a sum. A host with a large share of
+all edges or pages is met by a broadcast of such hosts, of which there are HOT at most.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from evalweave.sources.scratch import materialize
 
 DAMPING = 0.85
 STEPS = 12  # of propagation; what is left after them weighs less than DAMPING ** STEPS
+HOT = 4096  # hosts with more than this part of all rows, so many at most, are sent to the rows
 DISTRUST = 0.5  # at which a host without a rule is blocked
 
 #: (host suffix, path start, verdict). Fixed values.
@@ -57,6 +59,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
+def meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Each row with the row of `table` for its key. The table has one row for every key that
+    occurs, with the number of rows as `n`.
+    """
+    large = F.col("n") * HOT > rows.count()
+    hot = F.broadcast(table.filter(large).drop("n"))  # HOT rows at most
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table.filter(~large).drop("n"), key))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, urls) of pages with links: their distinct targets without scheme and query."""
     urls = F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))
@@ -70,9 +81,12 @@ def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
     linked = found.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
     known = hosts.select("host").union(linked.select("dst")).distinct()
     up = known.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst")).filter(r"src <> dst AND dst <> '' AND NOT src RLIKE '^[0-9.]+(:[0-9]+)?$'")
-    up = up.join(known.select(F.col("host").alias("dst"), F.lit(True).alias("occurs")), "dst", "left").filter("occurs OR dst LIKE '%_.%'").select("src", "dst")
-    kids = up.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    down = up.join(kids, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("n")).alias("w"))
+    # Whether a parent occurs is asked once a parent, and met with its hosts.
+    up = materialize(up)
+    parents = up.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    parents = parents.join(known.select(F.col("host").alias("dst"), F.lit(True).alias("occurs")), "dst", "left").filter("occurs OR dst LIKE '%_.%'")
+    down = materialize(meet(up, materialize(parents.select("dst", "n", F.col("n").alias("kids"))), "dst")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("kids")).alias("w"))
+    up = down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return linked.union(up.withColumn("w", F.lit(1.0))).union(down).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
@@ -98,13 +112,19 @@ def propagate(seeds: DataFrame, shares: DataFrame, steps: int = STEPS, damping:
     """(host, x): x = seed + (1 - seed) * damping * sum of p * x over the shares (src, dst, p)
     that come to it.
     """
-    state = materialize(seeds.select("host", "seed", F.col("seed").alias("x")))
-    if not shares.limit(1).count():
+    total = shares.count()
+    degrees = shares.groupBy(F.col("src").alias("host")).agg((F.count(F.lit(1)) * HOT > total).alias("hot"))
+    state = materialize(seeds.join(degrees, "host", "left").select("host", "seed", F.col("seed").alias("x"), F.coalesce("hot", F.lit(False)).alias("hot")))
+    if not total:
         return state.select("host", "x")
+    large = F.broadcast(state.filter("hot").select(F.col("host").alias("src")))  # HOT rows at most
+    few, many = materialize(shares.join(large, "src", "left_anti")), materialize(shares.join(large, "src", "left_semi"))
     for _ in range(steps):
-        comes = state.filter("x > 0").join(shares, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("y"))
+        sent = state.filter("x > 0").select(F.col("host").alias("src"), "x", "hot")
+        met = few.join(sent.filter("NOT hot"), "src").union(many.join(F.broadcast(sent.filter("hot")), "src"))
+        comes = met.groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("y"))
         x = F.col("seed") + (1 - F.col("seed")) * damping * F.coalesce("y", F.lit(0.0))
-        state = materialize(state.join(comes, state["host"] == comes["dst"], "left").select("host", "seed", x.alias("x")))
+        state = materialize(state.join(comes, state["host"] == comes["dst"], "left").select("host", "seed", x.alias("x"), "hot"))
     return state.select("host", "x")
 
 
@@ -125,14 +145,14 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = DISTRUST) -> Da
     links = materialize(page_links(rows))
     edges = materialize(host_edges(links, hosts))
     seeds = materialize(host_seeds(hosts, links, edges, rules))
-    out = edges.groupBy("src").agg(F.sum("w").alias("all"))
-    share = materialize(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")))
+    out = edges.groupBy("src").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("n"))
+    share = materialize(meet(edges, materialize(out), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")))
     trust = propagate(seeds.select("host", F.col("good").alias("seed")), share).withColumnRenamed("x", "trust")
     back = share.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p")
     distrust = propagate(seeds.select("host", F.col("bad").alias("seed")), back).withColumnRenamed("x", "distrust")
-    scores = trust.join(distrust, "host")
+    scored = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(trust.join(distrust, "host"), "host", "left")
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
-    judged = rows.drop("html").join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    judged = meet(rows.drop("html"), materialize(scored), "host").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     return judged.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust"
     )
