@@ -115,18 +115,16 @@ def src_json_records(spark, sf):
 
 @query("src_latest_file", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 1")
 def src_latest_file(spark, sf):
-    """Of two results of different age and a newer one that is not finished, the newest finished one is read."""
-    folder = scratch_dir(spark)
-    schema = "doc_id BIGINT, text STRING"
-    system, root = growing.opened(folder)
+    """Of two results of different age and a newer one that is not finished, the newest finished one is read.
+
+    Each result is a folder of JSON lines, written by as many tasks as read the table.
+    """
+    folder = f"{scratch_dir(spark)}/results"
     for age, (name, rest) in enumerate((("old.json", 0), ("new.json", 1), ("later.part.json", 0))):
         rows = docs(spark, sf).select("doc_id", "text").filter(F.col("doc_id") % 2 == rest)
-        rows.coalesce(1).write.json(f"{folder}/{name}.d")
-        (made,) = [i.path for i in system.get_file_info(fs.FileSelector(f"{root}/{name}.d")) if i.extension == "json" and not i.base_name.startswith(".")]
-        system.create_dir(f"{root}/results")
-        system.move(made, f"{root}/results/{name}")
+        rows.write.json(f"{folder}/{name}")
         time.sleep(0.02 * (age < 2))  # times in a listing are whole milliseconds
-    return spark.read.schema(schema).json(R.latest_file(spark, f"{folder}/results", "*.json")).select("doc_id", F.md5("text").alias("text_md5"))
+    return spark.read.schema("doc_id BIGINT, text STRING").json(R.latest_file(spark, folder, "*.json")).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 _SUDOKU = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '1' END, CASE WHEN (doc_id + 1) % 3 = 0 THEN '0' ELSE '2' END,

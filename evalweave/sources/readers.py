@@ -58,19 +58,25 @@ def parse_records(lines: DataFrame, line: str, expected_n: int, schema: str = RE
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
-    """Path of the newest file that matches a name pattern, leaving out `.part` files.
+    """Path of the newest result that matches a name pattern, leaving out `.part` names.
 
-    Only the listing is read (path and time), never the contents.
+    A result is a file, or a folder that Spark has finished writing, as old as its `_SUCCESS`
+    mark. Only the listing is read (path and time), never the contents.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    newest = (
-        listed.filter(~F.element_at(F.split("path", "/"), -1).contains(".part"))
-        .agg(F.max_by("path", "modificationTime").alias("path"))
-        .first()["path"]
-    )
-    if newest is None:
+    names = spark._jvm.org.apache.hadoop.fs
+    place = names.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in system.listStatus(place, names.GlobFilter(pattern)) if system.exists(place) else ():
+        path = entry.getPath()
+        if ".part" in path.getName() or path.getName()[0] in "._":
+            continue
+        mark = names.Path(path, "_SUCCESS") if entry.isDirectory() else path
+        if not entry.isDirectory() or system.exists(mark):
+            found.append((system.getFileStatus(mark).getModificationTime(), path.toString()))
+    if not found:
         raise FileNotFoundError(f"no file matches {pattern!r} in {folder}")
-    return newest
+    return max(found)[1]
 
 
 def csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
