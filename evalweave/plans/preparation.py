@@ -7,8 +7,6 @@ from collections.abc import Iterator
 from contextlib import ExitStack
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
@@ -193,31 +191,39 @@ _MERGED = """SELECT dataset_index, arg_max(file_no, file_no * 1000000000 + line_
   arg_max(line, file_no * 1000000000 + line_no) AS line FROM complete GROUP BY dataset_index"""
 
 
-def _write_rank_files(spark, sf, folder: str, share: float) -> None:
-    """One file per rank, as far as its process has come: that share of its lines and half of the next.
+SEGMENT = 1 << 14  # lines of a rank's file before it goes on in the next one
 
-    A task writes the whole file anew under another name and renames it, so it can run again.
+
+def _write_rank_files(spark, sf, folder: str, share: float, segment: int = SEGMENT) -> None:
+    """The files of each rank, as far as its process has come: that share of its lines and half of the next.
+
+    A rank goes on in a new file after so many lines, named in order. A task writes a whole file
+    anew under another name and renames it, so it can run again.
     """
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ExitStack() as files:
-            open_files = {}
+        system, root = growing.opened(folder)
+        name, n = None, 0
+        with ExitStack() as last:
             for batch in rows:
-                for file_no, line, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if file_no not in open_files:
-                        system, root = growing.opened(folder)
+                for file_no, part, line, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if name != (file_no, part):
+                        last.close()
                         system.create_dir(root)
-                        path = f"{root}/rank{file_no:05d}.jsonl"
-                        files.callback(system.move, path + ".part", path)  # runs when the file is closed
-                        open_files[file_no] = files.enter_context(system.open_output_stream(path + ".part"))
-                    open_files[file_no].write(f"{line}\n".encode() if whole else line.encode())
-        yield pa.RecordBatch.from_pydict({"n": [len(open_files)]})
+                        path = f"{root}/rank{file_no:05d}-{part:08d}.jsonl"
+                        last.callback(system.move, path + ".part", path)  # runs when the file is closed
+                        file = last.enter_context(system.open_output_stream(path + ".part"))
+                        name, n = (file_no, part), n + 1
+                    file.write(f"{line}\n".encode() if whole else line.encode())
+        yield pa.RecordBatch.from_pydict({"n": [n]})
 
     lines = q(spark, sf, RANK_LINES)
-    last = F.floor(F.max("line_no").over(Window.partitionBy("file_no")) * share)
-    rows = lines.withColumn("_last", last).filter(F.col("line_no") <= F.col("_last"))
+    ends = lines.groupBy("file_no").agg(F.floor(F.max("line_no") * share).alias("_last"))  # one row a rank
+    rows = lines.join(F.broadcast(ends), "file_no").filter(F.col("line_no") <= F.col("_last"))
     whole = (F.col("line_no") < F.col("_last")) | F.lit(share >= 1)
     text = F.when(whole, F.col("line")).otherwise(F.expr("substr(line, 1, length(line) div 2)"))
-    ordered = rows.select("file_no", text.alias("line"), whole.alias("whole"), "line_no").repartition("file_no").sortWithinPartitions("file_no", "line_no")
+    part = F.floor(F.col("line_no") / segment).alias("part")
+    dealt = rows.select("file_no", part, text.alias("line"), whole.alias("whole"), "line_no").repartition("file_no", "part")
+    ordered = dealt.sortWithinPartitions("file_no", "part", "line_no")
     ordered.drop("line_no").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
