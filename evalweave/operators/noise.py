@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays as A
-from evalweave.functions.hashing import hash_uniform
+from evalweave.functions.hashing import hash_least, hash_uniform
 from evalweave.operators.tokens import IGNORE, MASK
 
 HALF_PI = math.pi / 2
@@ -124,20 +124,13 @@ def mask_noise_exact_k(df: DataFrame, key: str, draws: int, seed: int = 42, mask
     """`draws` copies of each row that mask exactly x target tokens each.
 
     x steps through the target length over the draws from a random start. The x
-    tokens with the least hash are taken, found by sorting inside the row.
+    tokens with the least hash are taken, found inside the row in Arrow batches.
     """
     n, prompt = F.col("_n"), F.col("prompt_len")
     k = F.floor(hash_uniform(seed, "k", F.col(key)) * n) + 1
     x = F.rint(F.col("_k") + F.col("draw") * (n / draws)).cast("bigint")
 
-    def place(_: Column, i: Column) -> Column:
-        return F.struct(hash_uniform(seed, "pick", F.col(key), F.col("draw"), i).alias("u"), i.alias("i"))
-
-    def hits(order: Column) -> Column:
-        limit = F.get(F.sort_array(order), (F.col("n_masked") - 1).cast("int"))
-        return A.let(limit, lambda last: F.transform(order, lambda o: o <= last))
-
-    order = F.transform(A.tail_from(F.col("input_ids"), prompt), place)
+    hits = hash_least(n, F.col("n_masked"), seed, "pick", F.col(key), F.col("draw"))
     return (
         df.withColumn("_n", F.size("input_ids") - prompt)
         .filter(n > 0)
@@ -145,7 +138,7 @@ def mask_noise_exact_k(df: DataFrame, key: str, draws: int, seed: int = 42, mask
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("n_masked", F.pmod(x - 1, n) + 1)
         .withColumn("p_mask", F.col("n_masked") / n)
-        .withColumn("masked", F.concat(F.array_repeat(F.lit(False), prompt.cast("int")), A.let(order, hits)))
+        .withColumn("masked", F.concat(F.array_repeat(F.lit(False), prompt.cast("int")), hits))
         .withColumn("noised_ids", A.put_where("input_ids", "masked", mask_id))
         .drop("_n", "_k")
     )
