@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays as A
-from evalweave.functions.hashing import hash_uniform
+from evalweave.functions.hashing import hash_uniform, hash_uniforms, hashes, per_position, text_before
 
 # Fixed value: the gap of an aligned pair.
 BLANK = -1
@@ -23,12 +26,12 @@ def align_positional(x0: Column, x1: Column) -> Column:
 
 def kappa_mix(pairs: Column, key: Column, k: Column, seed: int = 42) -> Column:
     """Each position's target with probability k, else its source."""
-    def mix(share: Column) -> Column:
-        return F.transform(
-            pairs, lambda z, i: F.when(hash_uniform(seed, "mix", key, i) < share, z["z1"]).otherwise(z["z0"])
-        )
+    drawn = F.struct(hash_uniforms(F.size(pairs), u=(seed, "mix", key)).alias("at"), k.alias("share"))
+
+    def mix(d: Column) -> Column:
+        return F.zip_with(pairs, d["at"], lambda z, at: F.when(at["u"] < d["share"], z["z1"]).otherwise(z["z0"]))
 
-    return A.let(k, mix)
+    return A.let(drawn, mix)
 
 
 def strip_blanks(z: Column) -> Column:
@@ -39,25 +42,62 @@ def remaining_edits(df: DataFrame, key: str, zt: str, z1: str) -> DataFrame:
     """Rows `key`, `j`, `kind`, `pos`, `token`: what turns zt into z1.
 
     `pos` counts the tokens of zt before the position; an insertion goes after
-    the token before it. Only differing positions need the count, which is a
-    running total inside one pair.
+    the token before it.
     """
-    long = df.select(key, F.posexplode(F.arrays_zip(F.col(zt).alias("a"), F.col(z1).alias("b"))).alias("j", "z"))
-    long = long.select(key, "j", F.col("z.a").alias("a"), F.col("z.b").alias("b"))
-    order = Window.partitionBy(key).orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    a, b, seen = F.col("a"), F.col("b"), F.col("seen")
-    kind = F.when(a == BLANK, INSERT).when(b == BLANK, DELETE).otherwise(REPLACE)
-    return (
-        long.withColumn("seen", F.count_if(a != BLANK).over(order))
-        .filter(a != b)
-        .select(
-            key,
-            "j",
-            kind.alias("kind"),
-            F.when(kind == INSERT, F.greatest(seen - 1, F.lit(0))).otherwise(seen).alias("pos"),
-            F.when(kind != DELETE, b).alias("token"),
-        )
-    )
+    return edits_by_key(df, key, zt, z1).select(key, F.inline("edits"))
+
+
+def edits_by_key(df: DataFrame, key: str, zt: str, z1: str, *others: str) -> DataFrame:
+    """One row per key: `members`, its pairs with their other columns, and `edits`, a list.
+
+    Tokens stay in lists of whole pairs. The count is a running total inside one key, over
+    positions and then pairs; it is made in Arrow batches.
+    """
+    whole = df.filter(F.col(zt).isNotNull() & F.col(z1).isNotNull())
+    members = F.collect_list(F.struct(F.col(zt).alias("a"), F.col(z1).alias("b"), *others))
+    token = df.schema[z1].dataType.elementType.simpleString()
+    found = F.arrow_udf(_edits, f"array<struct<j: int, kind: string, pos: bigint, token: {token}>>").asNondeterministic()
+    rows = whole.groupBy(key).agg(members.alias("members"))
+    return rows.withColumn("edits", found(F.col("members")["a"], F.col("members")["b"]))
+
+
+def _numbers(values: pa.Array, missing=0) -> np.ndarray:
+    return values.fill_null(missing).to_numpy(zero_copy_only=False)
+
+
+def _borders(sizes: pa.Array) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(_numbers(sizes)))).astype(np.int64)
+
+
+def _edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The edits of rows, each a list of aligned pairs a, b."""
+    a_lists, b_lists = a.flatten(), b.flatten()
+    xs, ys = a_lists.flatten(), b_lists.flatten()
+    lists, border, other = _borders(a.value_lengths()), _borders(a_lists.value_lengths()), _borders(b_lists.value_lengths())
+    size, rows = np.diff(border), border[lists]  # rows: where the tokens of each row begin
+    at_list = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(xs)) - border[at_list]
+    x = _numbers(xs, BLANK)
+    token = x != BLANK
+    order = slice(None)
+    if np.diff(lists).max(initial=0) > 1:
+        order = np.lexsort((place, np.repeat(np.arange(len(a)), np.diff(rows))))  # stable: pairs in turn
+    seen = np.empty(len(x), np.int64)
+    seen[order] = np.cumsum(token[order]) - token[order]
+    before = np.concatenate(([0], np.cumsum(token)))
+    seen -= np.repeat(before[rows[:-1]], np.diff(rows))
+    in_b = place < np.diff(other)[at_list]
+    beside = np.where(in_b, other[at_list] + place, 0)
+    y = _numbers(ys, BLANK)[beside] if len(ys) else np.full(len(x), BLANK)
+    known = in_b & _numbers(xs.is_valid(), False) & (_numbers(ys.is_valid(), False)[beside] if len(ys) else False)
+    at = np.flatnonzero(known & (x != y))
+    inserted, deleted = ~token[at], y[at] == BLANK
+    kind = pa.array([REPLACE, DELETE, INSERT]).take(pa.array(np.where(inserted, 2, np.where(deleted, 1, 0))))
+    pos = np.where(inserted, np.maximum(seen[at] - 1, 0), seen[at])
+    changed = ys.take(pa.array(beside[at]))
+    changed = pc.if_else(pa.array(deleted & ~inserted), pa.scalar(None, changed.type), changed)
+    found = pa.StructArray.from_arrays([pa.array(place[at].astype(np.int32)), kind, pa.array(pos), changed], ["j", "kind", "pos", "token"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, rows).astype(np.int32)), found)
 
 
 def fire(rate: Column, tau: float, u: Column) -> Column:
