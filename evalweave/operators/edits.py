@@ -160,7 +160,7 @@ def apply_edits(ids: Column, decisions: Column) -> Column:
 
 
 def edit_rate_loss(
-    pairs: DataFrame, rates: DataFrame, edits: DataFrame, key: str, max_w: float | None = None, per_position: bool = True
+    pairs: DataFrame, rates: DataFrame | str, edits: DataFrame | str, key: str, max_w: float | None = None, per_position: bool = True
 ) -> DataFrame:
     """Survival and edit terms of the loss per pair.
 
@@ -187,10 +187,22 @@ def edit_rate_loss(
     return (
         pairs.join(survival, key, "left")
         .join(positive, key, "left")
+
+    Where rates and edits are names of columns, `pairs` has one row per key: a struct of lists, the
+    rates up to the longest pair in order of positions, a list of edits, and `members`, a list
+    of the pairs. Nothing is shuffled then.
         .select(
             key,
             (w * F.coalesce("_rate", F.lit(0.0)) / denom).alias("survival"),
             (w * F.coalesce("_edit", F.lit(0.0)) / denom).alias("positive"),
+    if isinstance(rates, str):
+        lists = [F.col(rates)[c] for c in ("del", "sub", "ins", "log_sub", "log_ins")]
+        sums = F.arrow_udf(_list_sums, "struct<rate: double, edit: double>").asNondeterministic()
+        both = sums(F.col("members")["cur_len"], F.col(edits)["kind"], F.col(edits)["pos"], *lists)
+        return pairs.select(key, "members", both.alias("_s")).select(key, "_s", F.inline("members")).select(
+            key, (w * F.col("_s.rate") / denom).alias("survival"), (w * F.col("_s.edit") / denom).alias("positive")
+        )
+
         )
     )
 
@@ -201,3 +213,31 @@ def mean_edit_loss(terms: DataFrame) -> DataFrame:
         F.avg("positive").alias("loss_pos"),
         (F.avg("survival") + F.avg("positive")).alias("loss"),
     )
+def _list_sums(ends: pa.Array, kind: pa.Array, pos: pa.Array, *rates: pa.Array) -> pa.Array:
+    """The sums of rates and of edit terms of rows; a position counts once for each pair that reaches it."""
+    n = len(ends)
+    drop, sub, ins, log_sub, log_ins = (_numbers(r.flatten(), 0.0) for r in rates)
+    border = _borders(rates[0].value_lengths())
+    row = np.repeat(np.arange(n), np.diff(border))
+    slots = border + np.arange(n + 1)  # one more per row, where its longest pair ends
+    end, owner = _numbers(ends.flatten()), np.repeat(np.arange(n), _numbers(ends.value_lengths()))
+    step = np.bincount(slots[owner], minlength=slots[-1])
+    step -= np.bincount(slots[owner] + np.minimum(end, np.diff(border)[owner]), minlength=slots[-1])
+    reach = np.cumsum(step)
+    total = np.bincount(row, (sub + drop + ins) * reach[np.arange(border[-1]) + row], n)
+
+    edited = np.repeat(np.arange(n), _numbers(pos.value_lengths()))
+    at = _numbers(pos.flatten())
+    if ((at < 0) | (at >= np.diff(border)[edited])).any() or (reach[slots[edited] + at] == 0).any():
+        raise ValueError("edit position out of range")
+    place = border[edited] + at
+    kinds = kind.flatten()
+    replaced, inserted = (_numbers(pc.equal(kinds, k), False) for k in (REPLACE, INSERT))
+
+    def term(rate: np.ndarray, log: np.ndarray | float) -> np.ndarray:
+        return log + np.log(np.maximum(rate[place], 1e-12))
+
+    terms = np.where(replaced, term(sub, log_sub[place]), np.where(inserted, term(ins, log_ins[place]), term(drop, 0.0)))
+    return pa.StructArray.from_arrays([pa.array(total), pa.array(np.bincount(edited, -terms * reach[slots[edited] + at], n))], ["rate", "edit"])
+
+
