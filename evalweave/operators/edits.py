@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays as A
-from evalweave.functions.hashing import hash_uniform, hash_uniforms, hashes, per_position, text_before
+from evalweave.functions.hashing import hash_uniforms, hashes, per_position, text_before
 
 # Fixed value: the gap of an aligned pair.
 BLANK = -1
@@ -110,53 +110,73 @@ def decide_edits(df: DataFrame, key: str, tau: float, seed: int = 42, edit_promp
     (array of struct del, sub, ins, sub_token, ins_token).
 
     A position that fires is deleted or replaced by the share of its rates. The
-    prompt is protected; insertion is allowed after its last token.
+    prompt is protected; insertion is allowed after its last token. Positions of
+    many rows are decided at once, in Arrow batches.
     """
-    n = F.greatest(F.least(F.col("prompt_len"), F.size("ids")), F.lit(1))
-    zero = F.lit(0.0)
-
-    def u(what: str, i: Column) -> Column:
-        return hash_uniform(seed, what, F.col(key), i)
-
-    def guarded(r: Column, i: Column, protected: Column | None) -> Column:
-        def rate(name: str, upto: Column | None) -> Column:
-            return r[name] if upto is None else F.when(i < upto, zero).otherwise(r[name])
-
-        before_last = None if protected is None else protected - 1
-        return F.struct(
-            rate("del", protected).alias("del"),
-            rate("sub", protected).alias("sub"),
-            rate("ins", before_last).alias("ins"),
-            r["sub_token"].alias("sub_token"),
-            r["ins_token"].alias("ins_token"),
+    n = F.lit(0) if edit_prompt else F.greatest(F.least(F.col("prompt_len"), F.size("ids")), F.lit(1))
+    whats = ("edit", "kind", "insert")
+    of = df.schema["rates"].dataType.elementType
+
+    def decide(columns: list[pa.Array], size: np.ndarray) -> pa.Array:
+        rates, upto, *starts = columns
+        r = rates.flatten()
+        border = np.concatenate(([0], np.cumsum(size)))
+        row = np.repeat(np.arange(len(size)), size)
+        protected = _numbers(upto)[row] - (np.arange(border[-1]) - border[row])  # positions up to the prompt's end
+        u = {what: hashes(start, size) / 2.0**32 for what, start in zip(whats, starts)}
+
+        def rate(name: str, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            given = pc.struct_field(r, name)
+            return np.where(free, _numbers(given.cast("double"), 0.0), 0.0), ~free | _numbers(given.is_valid(), False)
+
+        def hit(value: np.ndarray, top: float, draw: np.ndarray) -> np.ndarray:
+            return draw < np.fmin(np.maximum(value, 0.0), top)  # NaN counts as the highest
+
+        (drop, ok_drop), (sub, ok_sub) = rate("del", protected <= 0), rate("sub", protected <= 0)
+        ins, ok_ins = rate("ins", protected <= 1)
+        fires = ok_drop & ok_sub & hit((drop + sub) * tau, 1.0 - 1e-6, u["edit"])
+        deleted = fires & hit(drop / (drop + sub + 1e-8), 1.0, u["kind"])
+        inserted = ok_ins & hit(ins * tau, 1.0 - 1e-6, u["insert"])
+
+        def where(mask: np.ndarray, name: str) -> pa.Array:
+            tokens = pc.struct_field(r, name)
+            return pc.if_else(pa.array(mask), tokens, pa.scalar(None, tokens.type))
+
+        return pa.StructArray.from_arrays(
+            [pa.array(deleted), where(fires & ~deleted, "sub_token"), where(inserted, "ins_token")], ["delete", "replace", "insert"]
         )
 
-    def decide(r: Column, i: Column) -> Column:
-        both = r["del"] + r["sub"]
-        fires = fire(both, tau, u("edit", i))
-        drops = fires & (u("kind", i) < F.least(F.greatest(r["del"] / (both + 1e-8), zero), F.lit(1.0)))
-        return F.struct(
-            drops.alias("delete"),
-            F.when(fires & ~drops, r["sub_token"]).alias("replace"),
-            F.when(fire(r["ins"], tau, u("insert", i)), r["ins_token"]).alias("insert"),
-        )
-
-    if edit_prompt:
-        guarded_rates = F.col("rates")
-    else:
-        guarded_rates = A.let(n, lambda upto: F.transform("rates", lambda r, i: guarded(r, i, upto)))
-    return df.withColumn("decisions", F.transform(guarded_rates, decide))
+    kinds = [of[name].dataType.simpleString() for name in ("sub_token", "ins_token")]
+    call = per_position("array<struct<delete: boolean, replace: {}, insert: {}>>".format(*kinds), decide)
+    return df.withColumn("decisions", call(F.size("rates"), F.col("rates"), n, *(text_before((seed, what, F.col(key))) for what in whats)))
 
 
 def apply_edits(ids: Column, decisions: Column) -> Column:
     """Delete, replace and insert in one pass over the positions."""
 
-    def change(z: Column) -> Column:
-        d = z["d"]
-        kept = F.when(d["delete"], F.lit(None)).otherwise(F.coalesce(d["replace"], z["x"]))
-        return F.filter(F.array(kept.cast("int"), d["insert"].cast("int")), lambda v: v.isNotNull())
+    @F.arrow_udf("array<int>")
+    def change(tokens: pa.Array, choices: pa.Array) -> pa.Array:
+        x, d = tokens.flatten(), choices.flatten()
+        border, other = _borders(tokens.value_lengths()), _borders(choices.value_lengths())
+        slots = np.concatenate(([0], np.cumsum(2 * np.maximum(np.diff(border), np.diff(other)))))
+
+        def slot(ends: np.ndarray) -> np.ndarray:  # a position has two: what stands there, and what follows
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            return slots[row] + 2 * (np.arange(ends[-1]) - ends[row])
 
-    return F.flatten(F.transform(F.arrays_zip(ids.alias("x"), decisions.alias("d")), change))
+        value, there = np.zeros(slots[-1], np.int32), np.zeros(slots[-1], bool)
+        value[slot(border)], there[slot(border)] = _numbers(x), _numbers(x.is_valid(), False)
+        at = slot(other)
+        for name, shift in (("replace", 0), ("insert", 1)):
+            given = pc.struct_field(d, name).cast(pa.int32())
+            has = np.flatnonzero(_numbers(given.is_valid(), False))
+            value[at[has] + shift], there[at[has] + shift] = _numbers(given)[has], True
+        there[at[_numbers(pc.struct_field(d, "delete"), False)]] = False
+        kept = np.concatenate(([0], np.cumsum(there)))[slots]
+        none = pc.or_(tokens.is_null(), choices.is_null())
+        return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(value[there]), mask=none)
+
+    return change.asNondeterministic()(ids.cast("array<int>"), decisions)
 
 
 def edit_rate_loss(
@@ -167,10 +187,22 @@ def edit_rate_loss(
     `pairs`: key, w, x1_len, cur_len. `rates`: key, pos and the rates and token
     log-probabilities of each position. An edit beyond the current length fails.
     Logs are clamped at 1e-12 and w at max_w.
+
+    Where rates and edits are names of columns, `pairs` has one row per key: a struct of lists, the
+    rates up to the longest pair in order of positions, a list of edits, and `members`, a list
+    of the pairs. Nothing is shuffled then.
     """
     w = F.least(F.col("w"), F.lit(max_w)) if max_w else F.col("w")
     denom = F.greatest(F.col("x1_len"), F.lit(1)).cast("double") if per_position else F.lit(1.0)
 
+    if isinstance(rates, str):
+        lists = [F.col(rates)[c] for c in ("del", "sub", "ins", "log_sub", "log_ins")]
+        sums = F.arrow_udf(_list_sums, "struct<rate: double, edit: double>").asNondeterministic()
+        both = sums(F.col("members")["cur_len"], F.col(edits)["kind"], F.col(edits)["pos"], *lists)
+        return pairs.select(key, "members", both.alias("_s")).select(key, "_s", F.inline("members")).select(
+            key, (w * F.col("_s.rate") / denom).alias("survival"), (w * F.col("_s.edit") / denom).alias("positive")
+        )
+
     def safe_log(c: str) -> Column:
         return F.log(F.greatest(F.col(c), F.lit(1e-12)))
 
@@ -187,32 +219,14 @@ def edit_rate_loss(
     return (
         pairs.join(survival, key, "left")
         .join(positive, key, "left")
-
-    Where rates and edits are names of columns, `pairs` has one row per key: a struct of lists, the
-    rates up to the longest pair in order of positions, a list of edits, and `members`, a list
-    of the pairs. Nothing is shuffled then.
         .select(
             key,
             (w * F.coalesce("_rate", F.lit(0.0)) / denom).alias("survival"),
             (w * F.coalesce("_edit", F.lit(0.0)) / denom).alias("positive"),
-    if isinstance(rates, str):
-        lists = [F.col(rates)[c] for c in ("del", "sub", "ins", "log_sub", "log_ins")]
-        sums = F.arrow_udf(_list_sums, "struct<rate: double, edit: double>").asNondeterministic()
-        both = sums(F.col("members")["cur_len"], F.col(edits)["kind"], F.col(edits)["pos"], *lists)
-        return pairs.select(key, "members", both.alias("_s")).select(key, "_s", F.inline("members")).select(
-            key, (w * F.col("_s.rate") / denom).alias("survival"), (w * F.col("_s.edit") / denom).alias("positive")
-        )
-
         )
     )
 
 
-def mean_edit_loss(terms: DataFrame) -> DataFrame:
-    return terms.agg(
-        F.avg("survival").alias("loss_surv"),
-        F.avg("positive").alias("loss_pos"),
-        (F.avg("survival") + F.avg("positive")).alias("loss"),
-    )
 def _list_sums(ends: pa.Array, kind: pa.Array, pos: pa.Array, *rates: pa.Array) -> pa.Array:
     """The sums of rates and of edit terms of rows; a position counts once for each pair that reaches it."""
     n = len(ends)
@@ -241,3 +255,9 @@ def _list_sums(ends: pa.Array, kind: pa.Array, pos: pa.Array, *rates: pa.Array)
     return pa.StructArray.from_arrays([pa.array(total), pa.array(np.bincount(edited, -terms * reach[slots[edited] + at], n))], ["rate", "edit"])
 
 
+def mean_edit_loss(terms: DataFrame) -> DataFrame:
+    return terms.agg(
+        F.avg("survival").alias("loss_surv"),
+        F.avg("positive").alias("loss_pos"),
+        (F.avg("survival") + F.avg("positive")).alias("loss"),
+    )
