@@ -50,14 +50,15 @@ def remaining_edits(df: DataFrame, key: str, zt: str, z1: str) -> DataFrame:
 def edits_by_key(df: DataFrame, key: str, zt: str, z1: str, *others: str) -> DataFrame:
     """One row per key: `members`, its pairs with their other columns, and `edits`, a list.
 
+    A pair with a list that is NULL is a member without edits.
     Tokens stay in lists of whole pairs. The count is a running total inside one key, over
     positions and then pairs; it is made in Arrow batches.
     """
-    whole = df.filter(F.col(zt).isNotNull() & F.col(z1).isNotNull())
-    members = F.collect_list(F.struct(F.col(zt).alias("a"), F.col(z1).alias("b"), *others))
+    whole = F.col(zt).isNotNull() & F.col(z1).isNotNull()
+    members = F.collect_list(F.struct(F.when(whole, F.col(zt)).alias("a"), F.when(whole, F.col(z1)).alias("b"), *others))
     token = df.schema[z1].dataType.elementType.simpleString()
     found = F.arrow_udf(_edits, f"array<struct<j: int, kind: string, pos: bigint, token: {token}>>").asNondeterministic()
-    rows = whole.groupBy(key).agg(members.alias("members"))
+    rows = df.groupBy(key).agg(members.alias("members"))
     return rows.withColumn("edits", found(F.col("members")["a"], F.col("members")["b"]))
 
 

@@ -35,3 +35,13 @@ def test_loss_on_lists_is_the_loss_on_rows(spark):
 def test_loss_on_lists_fails_out_of_range(spark):
     with pytest.raises(Exception, match="out of range"):
         E.edit_rate_loss(_lists(*_rows(spark, last=3)), "rates", "edits", "k").collect()
+
+
+def test_pairs_without_lists_count_in_the_loss(spark):
+    df = spark.createDataFrame([(0, [7], [8], 1.0, 1, 1), (1, None, [8], 2.0, 1, None), (1, [7], None, 2.0, None, 1)], "k long, zt array<int>, z1 array<int>, w double, x1_len int, cur_len int")
+    pairs = E.edits_by_key(df, "k", "zt", "z1", "w", "x1_len", "cur_len")
+    names = ("sub", "del", "ins", "log_sub", "log_ins")
+    rates = F.when(F.col("k") == 0, F.array(F.lit(0.5))).cast("array<double>")
+    terms = E.edit_rate_loss(pairs.withColumn("rates", F.struct(*(rates.alias(n) for n in names))), "rates", "edits", "k")
+    got = sorted((r["k"], r["survival"]) for r in terms.collect())
+    assert got == [(0, 1.5), (1, 0.0), (1, 0.0)]
