@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from evalweave.llm.frugal import frugal
+from evalweave.llm.frugal import frugal, small_batches
 
 MEMO = 200_000_000  # bytes of matches a task remembers before it starts afresh
 SHORT = 200  # letters of a match worth remembering
@@ -115,6 +115,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     NULL or empty texts have no ids. Repeated rows stay; an empty table gives an empty
     result; other columns are ignored. A text needs memory in proportion to its length.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(*keep, docs[text].cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

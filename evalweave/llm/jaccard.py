@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.frugal import frugal
+from evalweave.llm.frugal import frugal, small_batches
 from evalweave.llm.components import components, extended, tasks_for
 from evalweave.llm.words import chunks, shingle_sets
 from evalweave.sources.scratch import materialize
@@ -235,7 +235,7 @@ def _ordered(rows: DataFrame, other: str, size: str) -> DataFrame:
 def _frequent(texts: DataFrame) -> np.ndarray:
     share = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
     seen = (
-        share.mapInArrow(_sets(np.zeros(0, dtype=np.int64)), _SETS)
+        share.mapInArrow(frugal(_sets(np.zeros(0, dtype=np.int64))), _SETS)
         .select(F.explode("prefix").alias("token"))
         .groupBy("token").agg(F.count(F.lit(1)).alias("c"))
         .filter(F.col("c") >= ORDER_SEEN)
@@ -306,8 +306,9 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     whose components are the components of all links; `names` has id and root of every
     node in them.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    sets = materialize(texts.mapInArrow(_sets(_frequent(texts)), _SETS))
+    sets = materialize(texts.mapInArrow(frugal(_sets(_frequent(texts))), _SETS))
     ids = sets.filter("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("id"))
     k = tasks_for(4 * sets.count())
     members = materialize(sets.filter("n > 0").select("doc_id", "h", "n").join(ids, ["h", "n"]).coalesce(k))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.frugal import frugal
+from evalweave.llm.frugal import frugal, small_batches
 from evalweave.llm.words import LETTERS_DIGITS, chunks, word_hashes
 from evalweave.sources.scratch import materialize
 
@@ -292,6 +292,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     give none; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     asked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, -(-asked.count() // ITEMS))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from evalweave.llm.frugal import frugal
+from evalweave.llm.frugal import frugal, small_batches
 from evalweave.sources.scratch import materialize
 
 FIT_ROWS = 20_000  # rows of votes for the scale of the posteriors and for the classifier, labelled and other
@@ -305,6 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     NULL texts count as empty; rows of one label id count once (the larger label); without
     labelled rows the lexicon alone votes. Other columns are never read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     training = materialize(_training(labels))
     voters = mine_voters(docs, training)

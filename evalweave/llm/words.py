@@ -1,7 +1,7 @@
 """Words and shingles of whole Arrow text batches as 64-bit hashes.
 
 A column of texts is one byte buffer with offsets. Word borders, hashes and
-shingles are computed over that buffer with NumPy, a few megabytes at a time, so
+shingles are computed over that buffer with NumPy, half a megabyte at a time, so
 no Python object is made per word and memory does not depend on the batch.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000  # bytes of text worked on at once; a longer text is one chunk
+CHUNK = 500_000  # bytes of text worked on at once; a longer text is one chunk
 SHINGLE = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
